@@ -1,35 +1,59 @@
-"""Corpus pipeline: stages that are each written as Parquet and read again by the next."""
+"""Corpus pipeline: each stage is written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import materialize
+from millrace.llm.lines import dedup_lines
+from millrace.llm.mixing import mixed_documents
 from millrace.llm.packing import pack_documents
-from millrace.llm.simhash import simhash_groups
+from millrace.llm.queries import fold, table
+from millrace.llm.simhash import first_of_groups
+from millrace.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more for toxicity go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"), ~fold(5, 0))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and near-repeated lines go from the texts; every document stays."""
+    return dedup_lines(docs).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id."""
-    groups = simhash_groups(docs).select("doc_id", "component_id").where("doc_id = component_id").distinct()
-    return docs.join(groups.select("doc_id"), "doc_id", "left_semi")
+    return first_of_groups(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, or left out, so that sources reach their target shares of words."""
+    return mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that the stages before kept, as pieces placed in sequences."""
+    """Every row that the stages before kept, as pieces placed in sequences."""
     return pack_documents(docs)
 
 
-STAGES = [("SimHash near-dedup", simhash_near_dedup), ("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("source mixing", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: Taken documents, hashes and packings can't be had from SQL.
+#: Fitted scores, hashes, copies and packings can't be had from SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"stage{i}")

@@ -53,3 +53,21 @@ def salted_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], name: st
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return numbered.join(shift, same).select(*df.columns, (F.col("_rank") + F.col("_shift")).cast("long").alias(name))
+
+
+def quantile_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
+    """At most parts - 1 rising values of the long column ``key`` that cut its rows into near-equal ranges."""
+    if parts < 2:
+        return []
+    found = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"]
+    return sorted(set(found or []))
+
+
+def bucket_of(key: str, bounds: list[int]):
+    """Column expression: how many of the rising ``bounds`` lie below ``key``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    steps = len(bounds).bit_length()
+    padded = F.lit(bounds + [(1 << 63) - 1] * ((1 << steps) - 1 - len(bounds))).cast("array<long>")
+    powers = F.array(*[F.lit(1 << (steps - 1 - i)) for i in range(steps)])
+    return F.aggregate(powers, F.lit(0), lambda lo, p: lo + F.when(F.element_at(padded, lo + p) < F.col(key), p).otherwise(0))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -221,3 +221,19 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFram
     by_root = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(by_root, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """One row of ``docs`` for each group of simhash_groups: that of the least doc_id, of equal ids the least text hash.
+
+    Rows with a null doc_id stay. All columns are kept.
+    """
+    groups = materialize(simhash_groups(docs, words, radius).select("doc_id", "component_id"), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    twice = materialize(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    single = kept.join(twice, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return kept.join(twice, "doc_id", "left_anti").union(single)
