@@ -182,9 +182,8 @@ def line_components(docs: DataFrame, signed: DataFrame, threshold: float) -> Dat
 def block_links(members: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
     """Links between components within large buckets (band, line, comp, n), two blocks of lines at a time.
 
-    A task holds two blocks of about BLOCK_LINES lines. Their MinHash values, compared
-    as arrays, leave the pairs that may be similar (the estimate misses a true pair
-    with a chance below 1e-4); those are verified exactly. Only links leave the task.
+    A task holds two blocks of about BLOCK_LINES lines. A line's exact overlaps with all
+    others are sums over one array of shingle ids. Only links leave the task.
     """
     with_text = members.join(bodies, "line").withColumn("blocks", F.ceil(F.col("n") / BLOCK_LINES).cast("int"))
     own = F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int")
@@ -194,19 +193,23 @@ def block_links(members: DataFrame, bodies: DataFrame, threshold: float) -> Data
     def run(t: pa.Table) -> pa.Table:
         body, comp = t.column("body").to_pylist(), t.column("comp").to_numpy()
         line, block = t.column("line").to_numpy(), t.column("own").to_numpy()
-        ends = np.cumsum([len(x) + 1 for x in body])
-        values = np.stack(list(minima("\n".join(body), [(int(e) - len(x) - 1, int(e) - 1) for x, e in zip(body, ends)])), axis=1)
+        names: dict[str, int] = {}
+        own = [np.array([names.setdefault(g, len(names)) for g in shingles(x)]) for x in body]
+        ids, sizes = np.concatenate(own), np.array([len(x) for x in own])
+        starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int32)
         one_block, group, a, b = t.column("i")[0] == t.column("j")[0], comp.copy(), [], []
         for x in range(len(body)):
-            agree = (values[x + 1 :] == values[x]).mean(axis=1)
-            own_set = None
-            for y in (np.flatnonzero((agree >= threshold - 0.2) & (comp[x + 1 :] != comp[x])) + x + 1).tolist():
-                if group[x] != group[y] and (one_block or block[x] != block[y]):
-                    own_set = own_set or shingles(body[x])
-                    if similar(own_set, body[y], threshold):
-                        group[group == group[y]] = group[x]
-                        a.append(min(line[x], line[y]))
-                        b.append(max(line[x], line[y]))
+            other = (group != group[x]) & (np.arange(len(body)) > x) & (one_block | (block != block[x]))
+            if not other.any():
+                continue
+            mark[own[x]] = 1
+            both = np.add.reduceat(mark[ids], starts)
+            mark[own[x]] = 0
+            for y in np.flatnonzero(other & (both >= threshold * (sizes + sizes[x] - both))).tolist():
+                if group[x] != group[y]:
+                    group[group == group[y]] = group[x]
+                    a.append(min(line[x], line[y]))
+                    b.append(max(line[x], line[y]))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
