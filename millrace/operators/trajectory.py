@@ -32,12 +32,13 @@ def kalman_residual(df: DataFrame, id_: str, t: str, cols: Sequence[str], q: flo
         zero = F.lit(0.0)
         start = F.struct(F.element_at("_seq", 1)[c].alias("x"), zero.alias("v"), F.lit(1.0).alias("a"), zero.alias("b"), F.lit(1.0).alias("d"), F.lit(None).cast("double").alias("e"))
 
-        def step(s, o, c=c):
+        def step(s, o):
             x, a, b, d = s["x"] + s["v"], s["a"] + 2 * s["b"] + s["d"], s["b"] + s["d"], s["d"]
             e, total = o[c] - x, a + r
             k0, k1 = a / total, b / total
             return F.struct((x + k0 * e).alias("x"), (s["v"] + k1 * e).alias("v"), ((1 - k0) * a).alias("a"), ((1 - k0) * b).alias("b"), (d - k1 * b + q).alias("d"), e.alias("e"))
 
+        # columns are built at once, so the loop variable is still this one
         grouped = grouped.withColumn(f"_{c}", F.aggregate(F.slice("_seq", 2, 1 << 30), start, step))
         out += [F.col(f"_{c}")["x"].alias(f"{c}_state"), F.col(f"_{c}")["v"].alias(f"{c}_velocity"), F.col(f"_{c}")["e"].alias(f"{c}_innovation")]
     return grouped.select(*out)
