@@ -119,18 +119,22 @@ def shingles(text: str) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
 
 
-def similar(of_a: set[str], b: str, threshold: float) -> bool:
-    """Whether the shingle sets have a Jaccard similarity of ``threshold``; the start of b settles most misses."""
+def alike(of_a: set, of_b: set, threshold: float) -> bool:
+    """Whether two sets have a Jaccard similarity of ``threshold`` or more."""
+    both = len(of_a & of_b)
+    return both >= threshold * (len(of_a) + len(of_b) - both)
+
+
+def similar_lines(of_a: set[str], b: str, threshold: float) -> bool:
+    """Whether line b is alike the line of the shingles of_a; the start of b settles most misses."""
     most = (max(1, len(b) - SHINGLE + 1) - threshold * len(of_a)) / (1 + threshold)
     if most < 0 or len(shingles(b[:40]) - of_a) > most:
         return False
-    of_b = shingles(b)
-    both = len(of_a & of_b)
-    return both >= threshold * (len(of_a) + len(of_b) - both)
+    return alike(of_a, shingles(b), threshold)
 
 
-def verified(pairs: DataFrame, line_texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose lines' shingle sets have an exact Jaccard similarity of ``threshold`` or more."""
+def verified(pairs: DataFrame, line_texts: DataFrame, threshold: float, parts=shingles, similar=similar_lines) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of ``parts`` have an exact Jaccard similarity of ``threshold`` or more."""
     of_a, of_b = line_texts.select(F.col("line").alias("a"), F.col("body").alias("text_a")), line_texts.select(F.col("line").alias("b"), F.col("body").alias("text_b"))
     joined = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b")
 
@@ -139,7 +143,7 @@ def verified(pairs: DataFrame, line_texts: DataFrame, threshold: float) -> DataF
             keep, last, own = [], None, set()
             for y, s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if y != last:  # the join leaves the pairs of a line together
-                    last, own = y, shingles(t)
+                    last, own = y, parts(t)
                 keep.append(similar(own, s, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -158,13 +162,27 @@ def line_components(docs: DataFrame, signed: DataFrame, threshold: float) -> Dat
     """(node, root) over the lines that have a near copy; see dedup_lines."""
     distinct = signed.where("b0 is not null").groupBy("line").agg(*[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
     banded = distinct.select("line", F.explode(F.array(*[F.col(f"b{i}") for i in range(BANDS)])).alias("band"))
+    return banded_components(banded, lambda few: texts_of(docs, few), threshold)
+
+
+def banded_components(banded: DataFrame, texts_for, threshold: float, parts=shingles, similar=similar_lines, more_pairs: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the texts that have a near copy among those of one ``band``.
+
+    ``banded`` has distinct (line, band), ``texts_for`` gives (line, body) of a table of
+    lines. ``more_pairs`` are further candidates (a, b) to verify.
+    """
     by = Window.partitionBy("band").orderBy("line")
     chained = banded.withColumn("before", F.lag("line").over(by)).withColumn("least", F.first("line").over(by)).where("before is not null")
     chained = materialize(chained, "buckets")
-    tried = materialize(chained.select(F.col("least").alias("a"), F.col("line").alias("b")).union(chained.select("before", "line")).distinct(), "pairs")
+    tried = chained.select(F.col("least").alias("a"), F.col("line").alias("b")).union(chained.select("before", "line"))
     members = chained.select("band", "line").union(chained.select("band", "least")).distinct()
-    bodies = texts_of(docs, materialize(members.select("line").distinct(), "candidates"))
-    links = materialize(verified(tried, bodies, threshold), "links")
+    candidates = members.select("line")
+    if more_pairs is not None:
+        tried = tried.union(more_pairs.select("a", "b"))
+        candidates = candidates.union(more_pairs.select("a")).union(more_pairs.select("b"))
+    tried = materialize(tried.distinct(), "pairs")
+    bodies = texts_for(materialize(candidates.distinct(), "candidates"))
+    links = materialize(verified(tried, bodies, threshold, parts, similar), "links")
     roots = materialize(connected_components(links), "roots")
     # what is left: pairs of one bucket that no path joins yet and that were not tried
     placed = members.join(roots, members.line == roots.node, "left").select("band", "line", F.coalesce("root", "line").alias("comp"))
@@ -175,11 +193,12 @@ def line_components(docs: DataFrame, signed: DataFrame, threshold: float) -> Dat
     few = open_.where(F.col("n") <= SMALL_BUCKET)
     cross = few.where("comp <> big").alias("x").join(few.alias("y"), F.expr("x.band = y.band and x.comp <> y.comp and (y.comp = y.big or x.line < y.line)"))
     rest = cross.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(verified(rest, bodies, threshold).union(block_links(open_.where(F.col("n") > SMALL_BUCKET), bodies, threshold)), "links")
+    blocks = block_links(open_.where(F.col("n") > SMALL_BUCKET), bodies, threshold, parts)
+    more = materialize(verified(rest, bodies, threshold, parts, similar).union(blocks), "links")
     return roots if more.isEmpty() else connected_components(links.union(more))
 
 
-def block_links(members: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+def block_links(members: DataFrame, bodies: DataFrame, threshold: float, parts=shingles) -> DataFrame:
     """Links between components within large buckets (band, line, comp, n), two blocks of lines at a time.
 
     A task holds two blocks of about BLOCK_LINES lines. A line's exact overlaps with all
@@ -194,7 +213,7 @@ def block_links(members: DataFrame, bodies: DataFrame, threshold: float) -> Data
         body, comp = t.column("body").to_pylist(), t.column("comp").to_numpy()
         line, block = t.column("line").to_numpy(), t.column("own").to_numpy()
         names: dict[str, int] = {}
-        own = [np.array([names.setdefault(g, len(names)) for g in shingles(x)]) for x in body]
+        own = [np.array([names.setdefault(g, len(names)) for g in parts(x)]) for x in body]
         ids, sizes = np.concatenate(own), np.array([len(x) for x in own])
         starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int32)
         one_block, group, a, b = t.column("i")[0] == t.column("j")[0], comp.copy(), [], []

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
+from .lines import _FOLD, _ODD, CHUNK, alike, banded_components
 from .tokens import texts
 
 BITS = 64
+#: MinHash bands of whole documents (the pipeline's near-copy stage), and values in each.
+DOCUMENT_BANDS, PER_BAND = 14, 5
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -32,7 +35,10 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Unsigned 64-bit SimHash; a bit is 1 if it is set in over half of the shingles' hashes."""
-    h = shingle_hashes(text, words)
+    return from_hashes(shingle_hashes(text, words))
+
+
+def from_hashes(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -223,17 +229,104 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFram
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """One row of ``docs`` for each group of simhash_groups: that of the least doc_id, of equal ids the least text hash.
+def shingle_set(text: str, words: int = 5) -> set[int]:
+    return set(shingle_hashes(text, words).tolist())
+
+
+def similar_documents(of_a: set[int], b: str, threshold: float) -> bool:
+    return alike(of_a, shingle_set(b), threshold)
+
+
+def document_bands(hashes: list[np.ndarray]) -> np.ndarray:
+    """Band keys (documents x DOCUMENT_BANDS) of MinHash values over each document's shingle hashes (at least one)."""
+    h = (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32)
+    starts = np.cumsum([0, *[len(x) for x in hashes[:-1]]])
+    keys = np.zeros((len(hashes), DOCUMENT_BANDS), np.uint64)
+    for k in range(DOCUMENT_BANDS * PER_BAND):
+        least = np.minimum.reduceat((h ^ _ODD[0, k]) * _ODD[1, k], starts)
+        band, nth = divmod(k, PER_BAND)
+        keys[:, band] = (keys[:, band] ^ least) * _FOLD[nth]
+        keys[:, band] ^= keys[:, band] >> np.uint64(29)
+    return (keys + np.arange(DOCUMENT_BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-    Rows with a null doc_id stay. All columns are kept.
+
+def signed_documents(docs: DataFrame) -> DataFrame:
+    """(row_key, doc_id, line, fp, bands): line is the XXH64 of the word sequence, bands null where there is no word."""
+    schema = "row_key long, doc_id long, line long, fp long, bands array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, texts_ = (c.to_pylist() for c in batch.columns)
+            at = 0
+            while at < len(keys):
+                hashes, lines_, fps, size, start = [], [], [], 0, at
+                while at < len(keys) and size < CHUNK:
+                    h = shingle_hashes(texts_[at], 5)
+                    hashes.append(h)
+                    lines_.append(xxhash.xxh64_intdigest(b" ".join((texts_[at] or "").encode().lower().split()), 42))
+                    fps.append(from_hashes(h))
+                    size += len(h)
+                    at += 1
+                full = [h for h in hashes if len(h)]
+                found = iter(document_bands(full).tolist() if full else [])
+                bands = [next(found) if len(h) else None for h in hashes]
+                longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                columns = [pa.array(keys[start:at], pa.int64()), pa.array(ids[start:at], pa.int64()), longs(lines_), longs(fps), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "line", "fp", "bands"])
+
+    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def normal_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, body): the word sequences of the given ``line`` hashes, one row each, words one space apart."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    body = F.trim(F.regexp_replace(F.translate(F.col("text").cast("string"), upper, upper.lower()), r"[\x20\x09-\x0D]+", " "))
+    each = docs.select(body.alias("body")).withColumn("line", F.xxhash64("body"))
+    return materialize(each.join(lines, "line", "left_semi").groupBy("line").agg(F.min("body").alias("body")), "bodies")
+
+
+def near_copies(docs: DataFrame, signed: DataFrame, threshold: float, radius: int) -> DataFrame:
+    """(node, root) over the word sequences that have a near copy.
+
+    Candidates are the pairs whose SimHash fingerprints lie within ``radius`` bits and
+    those that share a MinHash band; both are verified by the exact Jaccard similarity
+    of the sets of 5-word shingles.
+    """
+    distinct = materialize(signed.groupBy("line").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("bands is not null"), "distinct")
+    if distinct.isEmpty():
+        return distinct.select(F.col("line").alias("node"), F.col("line").alias("root"))
+    reps = materialize(distinct.groupBy("fp").agg(F.min("line").alias("rep")), "reps")
+    one_fp = distinct.join(reps, "fp").where("line <> rep").select(F.col("rep").alias("a"), F.col("line").alias("b"))
+    links = fingerprint_links(reps.select("fp"), radius)
+    of_a, of_b = reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
+    near_fp = links.join(of_a, "a").join(of_b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    pairs = materialize(one_fp.union(near_fp), "simhash")
+    banded = distinct.select("line", F.explode("bands").alias("band"))
+    return banded_components(banded, lambda few: normal_texts(docs, few), threshold, shingle_set, similar_documents, pairs)
+
+
+def first_of_groups(docs: DataFrame, threshold: float = 0.8, radius: int = 2) -> DataFrame:
+    """One row of ``docs`` for each group of near copies: that of the least doc_id, of equal ids the least row hash.
+
+    Near copies have sets of 5-word shingles with a Jaccard similarity of ``threshold``
+    or more, or are joined by a path of such. At 0.8 SimHash fingerprints differ in about
+    ten bits, too many for a selective search, so MinHash bands propose pairs beside the
+    fingerprints within ``radius`` bits (a pair at 0.8 is found with a chance of 0.996).
+    Texts of the same words are one group, those without any word too; texts of fewer
+    than five words match only if equal. Rows with a null doc_id stay, of rows alike in
+    doc_id and text one stays. An empty table gives no rows. All columns are kept.
     """
-    groups = materialize(simhash_groups(docs, words, radius).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = materialize(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    single = kept.join(twice, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return kept.join(twice, "doc_id", "left_anti").union(single)
+    signed = materialize(signed_documents(docs), "signed")
+    roots = near_copies(docs, signed, threshold, radius)
+    least = signed.where("doc_id is not null").groupBy("line").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    grouped = least.join(roots, least.line == roots.node, "left").groupBy(F.coalesce("root", "line")).agg(F.min("first").alias("first"))
+    stay = materialize(grouped.select(F.col("first.row_key").alias("_key")), "stay")
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    kept = keyed.where("doc_id is not null").join(stay, "_key", "left_semi")
+    counts = signed.where("doc_id is not null").groupBy("row_key").agg(F.count(F.lit(1)).alias("n"))
+    twice = materialize(counts.where("n > 1").select(F.col("row_key").alias("_key")), "twice")
+    if not twice.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
+        single = kept.join(twice, "_key", "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+        kept = kept.join(twice, "_key", "left_anti").union(single.select(kept.columns))
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))

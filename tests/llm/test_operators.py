@@ -154,6 +154,43 @@ def test_simhash_groups_match_brute_force(docs, empty, rows):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_near_copies_match_brute_force(spark, docs, empty, rows):
+    """Pairs are either clear of 0.8 or well above it, so the bands' chance of a miss is negligible."""
+    rng = random.Random(9)
+    base = [words(rng, n).split() for n in (60, 200, 900)]
+    extra = []
+    for b in base:
+        for edits in (1, len(b) // 60, len(b) // 4):
+            x = list(b)
+            for at in rng.sample(range(len(b)), edits):
+                x[at] = "edit" + str(rng.randrange(10**6))
+            extra.append(" ".join(x))
+        extra += [" ".join(b), "  ".join(b).upper()]
+    more = [(1000 + i, t, "en", "a", len(t), *CLASH) for i, t in enumerate(extra)]
+    both = docs.union(spark.createDataFrame(more, SCHEMA))
+    given = sorted({(d, t) for d, t, *_ in rows + more if d is not None}, key=lambda r: (r[0], r[1] or ""))
+    sets = [simhash.shingle_set(t or "") for _, t in given]
+    parent = list(range(len(given)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(given)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i, (d, _) in enumerate(given):
+        groups[find(i)].append(d)
+    got = simhash.first_of_groups(both)
+    assert got.columns == docs.columns
+    ids = [r.doc_id for r in got.collect()]
+    assert sorted(d for d in ids if d is not None) == sorted(min(g) for g in groups.values())
+    assert ids.count(None) == 1 and simhash.first_of_groups(empty).count() == 0
+
+
 def test_hot_buckets_lose_no_link(spark):
     rng = random.Random(9)
     seed = rng.getrandbits(64)
