@@ -396,6 +396,34 @@ def test_passages_are_found(docs, empty, rows):
     assert substrings.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_split_origin_are_found(spark):
+    """Documents 0-2 and 4-6 hold parts below 50 words of a passage that 3 and 7 hold whole."""
+    for seed in range(3):
+        rng = random.Random(100 + seed)
+        p = words(rng, 80).split()
+        pad = lambda x: " ".join([words(rng, 30), *x, words(rng, 30)])
+        parts = [p[:45], p[18:63], p[35:80]]
+        bodies = [*map(pad, parts), pad(p), *map(pad, parts), pad(p), pad(p)]
+        df = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+        got = {(r.doc_id, r.other_doc_id) for r in substrings.repeated_passages(df).collect() if r.words >= 80 and r.similarity == 1}
+        assert (7, 3) in got and any(d == 8 for d, _ in got)
+
+
+def test_places_before_are_the_same_in_ranges(spark, monkeypatch):
+    rng = random.Random(12)
+    places = sorted({(rng.choice([None, *range(40)]), rng.randrange(90), rng.randrange(9), rng.randrange(4)) for _ in range(900)}, key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
+    want, before = [], {}
+    for doc, row, at, seed in places:
+        if seed in before:
+            want.append((row, at, before[seed][0], before[seed][-1]))
+        before.setdefault(seed, []).append((row, at))
+    df = spark.createDataFrame([(*p, 300) for p in places], "doc_id long, row long, at int, seed long, n long")
+    for hot in (10, 1000):
+        monkeypatch.setattr(substrings, "HOT_PLACES", hot)
+        got = [(r.row, r.at, (r.o.row, r.o.at), (r.p.row, r.p.at)) for r in substrings.places_before(df, [5, 11, 30]).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_chains_rise_and_alignment_trims():
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 60, 80), rng.integers(0, 60, 80)
