@@ -424,6 +424,36 @@ def test_places_before_are_the_same_in_ranges(spark, monkeypatch):
         assert sorted(got) == sorted(want)
 
 
+def test_changed_passages_are_found(spark):
+    """Passages of 50, 60 and 100 words with up to 1 word in 5 substituted, known to be 0.8 alike or more by construction."""
+    rng = random.Random(21)
+    bodies, want = [], {}
+    for n in range(270):
+        size, rate = (50, 60, 100)[n % 3], (0.1, 1 / 7, 0.2)[n // 3 % 3]
+        p = words(rng, size).split()
+        q = list(p)
+        # the end words stay, so the passage keeps its length
+        for at in rng.sample(range(1, size - 1), int(rate * size)):
+            q[at] = f"edit{rng.randrange(10**9)}"
+        bodies += [" ".join([words(rng, 30), *x, words(rng, 30)]) for x in (p, q)]
+        want.setdefault(rate, []).append((2 * n + 1, 2 * n))
+    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    got = {(r.doc_id, r.other_doc_id) for r in substrings.repeated_passages(df).collect()}
+    recall = {rate: sum(p in got for p in pairs) / len(pairs) for rate, pairs in want.items()}
+    print(recall)
+    assert min(recall.values()) >= 0.98, recall
+
+
+def test_longest_alike_matches_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        pairs = list(zip(np.cumsum(rng.integers(1, 4, 30)).tolist(), np.cumsum(rng.integers(1, 3, 30)).tolist()))
+        length = lambda s, e: 1 + sum(max(pairs[n][0] - pairs[n - 1][0], pairs[n][1] - pairs[n - 1][1]) for n in range(s + 1, e + 1))
+        most = max(e - s + 1 for s in range(30) for e in range(s, 30) if e - s + 1 >= 0.8 * length(s, e) - 1e-9)
+        s, e = substrings.longest_alike(pairs, 0.8)
+        assert e - s + 1 == most and most >= 0.8 * length(s, e) - 1e-9
+
+
 def test_chains_rise_and_alignment_trims():
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 60, 80), rng.integers(0, 60, 80)
