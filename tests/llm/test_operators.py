@@ -278,6 +278,22 @@ def test_line_dedup_matches_brute_force(docs, empty, rows):
     assert got.count() == len(rows) and lines.dedup_lines(empty).count() == 0
 
 
+def test_line_pairs_just_over_the_threshold_are_found(spark):
+    rng = random.Random(14)
+    pairs = []
+    while len(pairs) < 2000:
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(94, 126)))
+        x, y = rng.randint(5, 40), rng.randint(50, 88)
+        b = a[:x] + "#" + a[x + 1 : y] + "#" + a[y + 1 :]
+        of_a, of_b = lines.shingles(a), lines.shingles(b)
+        if 0.8 <= len(of_a & of_b) / len(of_a | of_b) <= 0.85:
+            pairs.append((a, b))
+    data = [(i, "\n".join(x for pair in pairs[i::40] for x in pair)) for i in range(40)]
+    got = lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).agg(F.sum("n_removed")).first()[0]
+    print(got)
+    assert 1997 <= got <= 2000
+
+
 def test_large_buckets_meet_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.choice("abcdefghijklmnop") for _ in range(200)]
