@@ -150,7 +150,10 @@ class NearestExamples:
 
 
 def select_terms(examples: DataFrame, max_terms: int, least_gain: float = 12.0) -> list[str]:
-    """Terms whose presence shifts the rate of the toxic label at least twofold, by falling log-likelihood ratio."""
+    """Terms whose presence shifts the odds of the toxic label at least twofold, by falling log-likelihood ratio.
+
+    Odds, unlike rates, can shift so at any share of toxic labels.
+    """
 
     def run(batches):
         n: Counter = Counter()
@@ -170,8 +173,9 @@ def select_terms(examples: DataFrame, max_terms: int, least_gain: float = 12.0)
     t, c = F.col("t"), F.col("c")
     seen = t + c
     gain = 2 * (part(t, seen * T / (T + C)) + part(c, seen * C / (T + C)) + part(F.lit(T) - t, (F.lit(T + C) - seen) * T / (T + C)) + part(F.lit(C) - c, (F.lit(T + C) - seen) * C / (T + C)))
-    lift = (t / seen) / (T / (T + C))
-    kept = each.where("term <> ''").where(seen < T + C).where((lift >= 2) | (lift <= 0.5)).withColumn("gain", gain).where(F.col("gain") >= least_gain)
+    # odds with the term against odds without it, multiplied out
+    held, lacked = t * (F.lit(C) - c), c * (F.lit(T) - t)
+    kept = each.where("term <> ''").where(seen < T + C).where((held >= 2 * lacked) | (2 * held <= lacked)).withColumn("gain", gain).where(F.col("gain") >= least_gain)
     return [r["term"] for r in kept.orderBy(F.desc("gain"), "term").limit(max_terms).collect()]
 
 

@@ -377,6 +377,21 @@ def test_toxicity_index_is_exact(spark, docs, empty):
     assert toxicity.without_toxic(docs, labels.limit(0), F.lit(True)).count() == docs.count()
 
 
+@pytest.mark.parametrize("share", [0.5, 0.8])
+def test_toxic_terms_count_at_any_share_of_toxic_labels(spark, share):
+    """One word tells: 90 % of the toxic and 10 % of the clean documents hold it."""
+    rng = random.Random(17)
+    data = []
+    for i in range(600):
+        toxic = int(rng.random() < share)
+        telling = rng.random() < (0.9 if toxic else 0.1)
+        data.append((i, " ".join([rng.choice(["plain", "other", "thing"]) for _ in range(8)] + ["vile"] * telling), toxic, int(telling)))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int, telling int")
+    assert "vile" in toxicity.select_terms(df, 100)
+    out = toxicity.score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.col("doc_id") < 500).join(df, "doc_id")
+    assert out.where("predicted = telling").count() == 600
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
