@@ -7,15 +7,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import join_common, materialize
 from .components import connected_components
 
 SHINGLE, BANDS, PER_BAND = 5, 20, 5
 #: Buckets up to this size are paired by a join where pairs remain; larger ones meet block by block.
 SMALL_BUCKET, BLOCK_LINES = 32, 512
 #: Code points signed at once, so that the hashes stay in a core's cache.
-CHUNK = 1 << 15
+CHUNK = 1 << 16
+#: Lines whose bands a task remembers to have made; it starts afresh beyond that.
+SEEN_LINES = 1_000_000
 #: Candidate lines up to this number are broadcast (8 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 2_000_000
 _ODD = np.random.default_rng(20).integers(1, 1 << 31, (2, BANDS * PER_BAND), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -42,77 +45,104 @@ def minima(text: str, spans: list[tuple[int, int]]):
     # from, to, from, to, ...: every second reduction is a line's
     edges = np.array([x for a, b in spans for x in (a, b - SHINGLE + 1)])
     h = np.append(h, np.uint32(0xFFFFFFFF))
+    mixed = np.empty_like(h)
     for k in range(BANDS * PER_BAND):
-        yield np.minimum.reduceat((h ^ _ODD[0, k]) * _ODD[1, k], edges)[::2]
+        np.bitwise_xor(h, _ODD[0, k], out=mixed)
+        np.multiply(mixed, _ODD[1, k], out=mixed)
+        yield np.minimum.reduceat(mixed, edges)[::2]
 
 
 def band_keys(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     """48-bit band keys (len(spans) x BANDS) of the lines at ``spans`` of a text."""
-    keys = np.zeros((len(spans), BANDS), np.uint64)
-    for k, least in enumerate(minima(text, spans)):
-        band, nth = divmod(k, PER_BAND)
-        keys[:, band] = (keys[:, band] ^ least) * _FOLD[nth]
-        keys[:, band] ^= keys[:, band] >> np.uint64(29)
-    return ((keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)).astype(np.int64)
+    return (folded(np.array(list(minima(text, spans))), BANDS) >> np.uint64(16)).astype(np.int64)
 
 
-def line_rows(doc_key: int, text: str):
-    """(doc_key, line_no, line, bands...) of every line that holds anything but white space."""
-    at, lines, spans = 0, [], []
+def folded(least: np.ndarray, bands: int) -> np.ndarray:
+    """Keys (items x bands) of MinHash values (bands * PER_BAND x items)."""
+    least = least.reshape(bands, PER_BAND, -1)
+    keys = np.zeros((bands, least.shape[2]), np.uint64)
+    for nth in range(PER_BAND):
+        keys = (keys ^ least[:, nth]) * _FOLD[nth]
+        keys ^= keys >> np.uint64(29)
+    return (keys + np.arange(bands, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)).T
+
+
+def line_rows(text: str) -> list[tuple[int, int, int, int]]:
+    """(number, XXH64 of the text, from, to) of every line that holds anything but white space."""
+    at, found = 0, []
     for i, line in enumerate(text.split("\n")):
         if line and not line.isspace():
-            lines.append((i, xxhash.xxh64_intdigest(line.encode(), 42), len(line) >= SHINGLE))
-            if len(line) >= SHINGLE:
-                spans.append((at, at + len(line)))
+            found.append((i, xxhash.xxh64_intdigest(line.encode(), 42), at, at + len(line)))
         at += len(line) + 1
-    return lines, spans
+    return found
+
+
+class Signer:
+    """Gathers the lines of documents into (doc, doc_key, line_no, line, bands) batches.
+
+    bands is null for lines of fewer than SHINGLE code points, and for a line that this
+    task has signed before, so a common line has at most about one set of bands a task.
+    """
+
+    def __init__(self, doc_type: pa.DataType):
+        self.doc_type, self.seen = doc_type, set()
+        self.clear()
+
+    def clear(self) -> None:
+        self.docs, self.keys, self.no, self.line, self.signed, self.bands = [], [], [], [], [], []
+        self.pending, self.spans, self.length = [], [], 0
+
+    def add(self, doc, key: int, text: str) -> None:
+        for i, h, a, b in line_rows(text):
+            self.docs.append(doc)
+            self.keys.append(key)
+            self.no.append(i)
+            self.line.append(h)
+            self.signed.append(b - a >= SHINGLE and h not in self.seen)
+            if self.signed[-1]:
+                self.seen.add(h)
+                self.spans.append((a + self.length, b + self.length))
+        self.pending.append(text)
+        self.length += len(text) + 1
+        if self.length >= CHUNK:
+            self.sign()
+        if len(self.seen) > SEEN_LINES:
+            self.seen.clear()
+
+    def sign(self) -> None:
+        if self.spans:
+            self.bands.append(band_keys("\n".join(self.pending), self.spans))
+        self.pending, self.spans, self.length = [], [], 0
+
+    def batch(self) -> pa.RecordBatch:
+        self.sign()
+        signed = np.array(self.signed, bool)
+        offsets = np.concatenate([[0], np.cumsum(np.where(signed, BANDS, 0))]).astype(np.int32)
+        values = np.concatenate(self.bands).ravel() if self.bands else np.zeros(0, np.int64)
+        bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~signed))
+        cols = [pa.array(self.docs, self.doc_type), pa.array(self.keys, pa.int64()), pa.array(self.no, pa.int32()), pa.array(np.array(self.line, np.uint64).view(np.int64)), bands]
+        self.clear()
+        return pa.RecordBatch.from_arrays(cols, ["doc", "doc_key", "line_no", "line", "bands"])
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_key, line_no, line, b0, b1, ...) for all lines; line is the XXH64 of its text, short lines have null bands."""
-    names = ["doc_key", "line_no", "line", *[f"b{i}" for i in range(BANDS)]]
+    """(doc, doc_key, line_no, line, bands) of all lines of ``docs`` (doc, doc_key, text); line is the XXH64 of its text."""
 
     def run(batches):
+        signer = None
         for batch in batches:
-            keys, no, line, bands, fuzzy = [], [], [], [], []
-
-            def flush():
-                ids = np.array(line, np.uint64).view(np.int64)
-                blank = ~np.array(fuzzy, bool)
-                table = np.zeros((len(line), BANDS), np.int64)
-                if bands:
-                    table[~blank] = np.concatenate(bands)
-                cols = [pa.array(keys, pa.int64()), pa.array(no, pa.int32()), pa.array(ids), *[pa.array(table[:, i], mask=blank) for i in range(BANDS)]]
-                return pa.RecordBatch.from_arrays(cols, names)
-
-            pending, spans, length = [], [], 0
-
-            def sign():
-                if spans:
-                    bands.append(band_keys("\n".join(pending), spans))
-
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                lines, own = line_rows(key, text)
-                keys += [key] * len(lines)
-                no += [x[0] for x in lines]
-                line += [x[1] for x in lines]
-                fuzzy += [x[2] for x in lines]
-                spans += [(a + length, b + length) for a, b in own]
-                pending.append(text)
-                length += len(text) + 1
-                if length >= CHUNK:
-                    sign()
-                    pending, spans, length = [], [], 0
-                    if len(line) >= 20_000:
-                        yield flush()
-                        keys, no, line, bands, fuzzy = [], [], [], [], []
-            sign()
-            if line:
-                yield flush()
-
-    return docs.select("doc_key", "text").mapInArrow(run, "doc_key long, line_no int, line long, " + ", ".join(f"b{i} long" for i in range(BANDS)))
+            signer = signer or Signer(batch.schema.field(0).type)
+            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if text:
+                    signer.add(doc, key, text)
+                if len(signer.line) >= 20_000:
+                    yield signer.batch()
+            if signer.line:
+                yield signer.batch()
+
+    rows = docs.select("doc", "doc_key", "text")
+    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *T._parse_datatype_string("doc_key long, line_no int, line long, bands array<long>").fields])
+    return rows.mapInArrow(run, schema)
 
 
 def shingles(text: str) -> set[str]:
@@ -125,27 +155,67 @@ def alike(of_a: set, of_b: set, threshold: float) -> bool:
     return both >= threshold * (len(of_a) + len(of_b) - both)
 
 
-def similar_lines(of_a: set[str], b: str, threshold: float) -> bool:
-    """Whether line b is alike the line of the shingles of_a; the start of b settles most misses."""
-    most = (max(1, len(b) - SHINGLE + 1) - threshold * len(of_a)) / (1 + threshold)
-    if most < 0 or len(shingles(b[:40]) - of_a) > most:
-        return False
-    return alike(of_a, shingles(b), threshold)
-
-
-def verified(pairs: DataFrame, line_texts: DataFrame, threshold: float, parts=shingles, similar=similar_lines) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of ``parts`` have an exact Jaccard similarity of ``threshold`` or more."""
+def packed_shingles(texts: list[str]) -> list[np.ndarray] | None:
+    """The distinct shingles of each text (SHINGLE code points or more) as sorted numbers, alike across the texts; None beyond 4,096 different letters."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(int(codes.max()) + 1, bool)
+    used[codes] = True
+    if used.sum() > 1 << 12:
+        return None
+    places = (np.cumsum(used) - 1)[codes].astype(np.uint64)
+    packed = np.zeros(len(places) - SHINGLE + 1, np.uint64)
+    for i in range(SHINGLE):
+        packed = (packed << np.uint64(12)) | places[i : i + len(packed)]
+    out, at = [], 0
+    for text in texts:
+        own = np.sort(packed[at : at + len(text) - SHINGLE + 1])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        at += len(text)
+    return out
+
+
+def similar_pairs(a: np.ndarray, b: np.ndarray, texts: list[str], threshold: float) -> np.ndarray:
+    """Whether texts[a[i]] and texts[b[i]] have a Jaccard similarity of ``threshold`` or more, for every i; texts have SHINGLE code points or more."""
+    own = packed_shingles(texts)
+    if own is None:
+        sets = [shingles(x) for x in texts]
+        return np.array([alike(sets[x], sets[y], threshold) for x, y in zip(a.tolist(), b.tolist())])
+    counts = np.array([len(x) for x in own])
+    fits = np.minimum(counts[a], counts[b]) >= threshold * np.maximum(counts[a], counts[b])
+    out = np.zeros(len(a), bool)
+    for i in np.flatnonzero(fits).tolist():
+        both = np.concatenate([own[a[i]], own[b[i]]])
+        both.sort(kind="stable")
+        n = np.count_nonzero(both[1:] == both[:-1])
+        out[i] = n >= threshold * (len(both) - n)
+    return out
+
+
+def verified(pairs: DataFrame, line_texts: DataFrame, threshold: float, parts=None) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of ``parts`` (None: character shingles) have an exact Jaccard similarity of ``threshold`` or more."""
     of_a, of_b = line_texts.select(F.col("line").alias("a"), F.col("body").alias("text_a")), line_texts.select(F.col("line").alias("b"), F.col("body").alias("text_b"))
     joined = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b")
 
+    def by_sets(batch: pa.RecordBatch) -> list[bool]:
+        keep, last, own = [], None, set()
+        for y, s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if y != last:  # the join leaves the pairs of a line together
+                last, own = y, parts(t)
+            keep.append(alike(own, parts(s), threshold))
+        return keep
+
+    def by_shingles(batch: pa.RecordBatch) -> np.ndarray:
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        lines, first, at = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+        both = pa.chunked_array([batch.column(2), batch.column(3)]).take(pa.array(first)).to_pylist()
+        return similar_pairs(at[: len(a)], at[len(a) :], both, threshold)
+
     def run(batches):
         for batch in batches:
-            keep, last, own = [], None, set()
-            for y, s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if y != last:  # the join leaves the pairs of a line together
-                    last, own = y, parts(t)
-                keep.append(similar(own, s, threshold))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                keep = by_shingles(part) if parts is None else by_sets(part)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -160,19 +230,18 @@ def texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def line_components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """(node, root) over the lines that have a near copy; see dedup_lines."""
-    distinct = signed.where("b0 is not null").groupBy("line").agg(*[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    banded = distinct.select("line", F.explode(F.array(*[F.col(f"b{i}") for i in range(BANDS)])).alias("band"))
+    banded = signed.where("bands is not null").select("line", F.explode("bands").alias("band"))
     return banded_components(banded, lambda few: texts_of(docs, few), threshold)
 
 
-def banded_components(banded: DataFrame, texts_for, threshold: float, parts=shingles, similar=similar_lines, more_pairs: DataFrame | None = None) -> DataFrame:
+def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None, more_pairs: DataFrame | None = None) -> DataFrame:
     """(node, root) of the texts that have a near copy among those of one ``band``.
 
-    ``banded`` has distinct (line, band), ``texts_for`` gives (line, body) of a table of
-    lines. ``more_pairs`` are further candidates (a, b) to verify.
+    ``banded`` has (line, band), repeats allowed, ``texts_for`` gives (line, body) of a
+    table of lines. ``more_pairs`` are further candidates (a, b) to verify.
     """
     by = Window.partitionBy("band").orderBy("line")
-    chained = banded.withColumn("before", F.lag("line").over(by)).withColumn("least", F.first("line").over(by)).where("before is not null")
+    chained = banded.withColumn("before", F.lag("line").over(by)).withColumn("least", F.first("line").over(by)).where("before <> line")
     chained = materialize(chained, "buckets")
     tried = chained.select(F.col("least").alias("a"), F.col("line").alias("b")).union(chained.select("before", "line"))
     members = chained.select("band", "line").union(chained.select("band", "least")).distinct()
@@ -182,7 +251,7 @@ def banded_components(banded: DataFrame, texts_for, threshold: float, parts=shin
         candidates = candidates.union(more_pairs.select("a")).union(more_pairs.select("b"))
     tried = materialize(tried.distinct(), "pairs")
     bodies = texts_for(materialize(candidates.distinct(), "candidates"))
-    links = materialize(verified(tried, bodies, threshold, parts, similar), "links")
+    links = materialize(verified(tried, bodies, threshold, parts), "links")
     roots = materialize(connected_components(links), "roots")
     # what is left: pairs of one bucket that no path joins yet and that were not tried
     placed = members.join(roots, members.line == roots.node, "left").select("band", "line", F.coalesce("root", "line").alias("comp"))
@@ -194,31 +263,44 @@ def banded_components(banded: DataFrame, texts_for, threshold: float, parts=shin
     cross = few.where("comp <> big").alias("x").join(few.alias("y"), F.expr("x.band = y.band and x.comp <> y.comp and (y.comp = y.big or x.line < y.line)"))
     rest = cross.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     blocks = block_links(open_.where(F.col("n") > SMALL_BUCKET), bodies, threshold, parts)
-    more = materialize(verified(rest, bodies, threshold, parts, similar).union(blocks), "links")
+    more = materialize(verified(rest, bodies, threshold, parts).union(blocks), "links")
     return roots if more.isEmpty() else connected_components(links.union(more))
 
 
-def block_links(members: DataFrame, bodies: DataFrame, threshold: float, parts=shingles) -> DataFrame:
+def block_links(members: DataFrame, bodies: DataFrame, threshold: float, parts=None) -> DataFrame:
     """Links between components within large buckets (band, line, comp, n), two blocks of lines at a time.
 
     A task holds two blocks of about BLOCK_LINES lines. A line's exact overlaps with all
-    others are sums over one array of shingle ids. Only links leave the task.
+    others are sums over one array of shingle ids. Lines that share several buckets meet
+    in the one of the least band. Only links leave the task.
     """
-    with_text = members.join(bodies, "line").withColumn("blocks", F.ceil(F.col("n") / BLOCK_LINES).cast("int"))
+    of_line = members.groupBy("line").agg(F.collect_set("band").alias("bands"))
+    with_text = members.join(of_line, "line").join(bodies, "line").withColumn("blocks", F.ceil(F.col("n") / BLOCK_LINES).cast("int"))
     own = F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    dealt = with_text.withColumn("own", own).withColumn("at", F.explode(meet)).select("band", "at.i", "at.j", "own", "line", "comp", "body")
+    dealt = with_text.withColumn("own", own).withColumn("at", F.explode(meet)).select("band", "at.i", "at.j", "own", "line", "comp", "body", F.filter("bands", lambda x: x < F.col("band")).alias("before"))
 
     def run(t: pa.Table) -> pa.Table:
         body, comp = t.column("body").to_pylist(), t.column("comp").to_numpy()
         line, block = t.column("line").to_numpy(), t.column("own").to_numpy()
-        names: dict[str, int] = {}
-        own = [np.array([names.setdefault(g, len(names)) for g in parts(x)]) for x in body]
+        earlier = t.column("before").combine_chunks()
+        bands, at = np.unique(earlier.flatten().to_numpy(), return_inverse=True)
+        held = np.zeros((len(body), len(bands)), np.float32)
+        held[np.repeat(np.arange(len(body)), earlier.value_lengths().to_numpy()), at] = 1
+        group, a, b = comp.copy(), [], []
+        pending = np.triu(group[:, None] != group, 1) & (held @ held.T == 0)
+        if t.column("i")[0] != t.column("j")[0]:
+            pending &= block[:, None] != block
+        used = np.flatnonzero(pending.any(0) | pending.any(1))
+        if not len(used):
+            return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        pending, group, line = pending[np.ix_(used, used)], group[used], line[used]
+        names: dict = {}
+        own = [np.array([names.setdefault(g, len(names)) for g in (parts or shingles)(body[i])]) for i in used.tolist()]
         ids, sizes = np.concatenate(own), np.array([len(x) for x in own])
         starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int32)
-        one_block, group, a, b = t.column("i")[0] == t.column("j")[0], comp.copy(), [], []
-        for x in range(len(body)):
-            other = (group != group[x]) & (np.arange(len(body)) > x) & (one_block | (block != block[x]))
+        for x in np.flatnonzero(pending.any(1)).tolist():
+            other = pending[x] & (group != group[x]) & (np.minimum(sizes, sizes[x]) >= threshold * np.maximum(sizes, sizes[x]))
             if not other.any():
                 continue
             mark[own[x]] = 1
@@ -251,14 +333,18 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     but text, which changes, and n_chars (if there), which follows it; columns named
     n_lines and n_removed are replaced.
     """
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), F.col("doc_id").alias("doc"), "text")
-    signed = materialize(signed_lines(keyed.select("doc_key", "text").where("text is not null")), "lines")
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("doc_key"), "text").where("text is not null")
+    signed = materialize(signed_lines(keyed), "lines")
     roots = line_components(docs.select("text"), signed, threshold)
-    places = signed.join(keyed.select("doc_key", "doc").distinct(), "doc_key").select("doc_key", "doc", "line_no", "line")
-    named = places.join(roots, places.line == roots.node, "left").select("doc_key", "doc", "line_no", F.coalesce("root", "line").alias("line")).distinct()
-    named = materialize(named, "named")
-    first = named.groupBy("line").agg(F.min(F.struct("doc", "doc_key", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = named.join(first, "line").where("not (first.doc_key = doc_key and first.line_no = line_no)").groupBy("doc_key").agg(F.collect_list("line_no").alias("_gone"))
+    # one row per distinct line: its first place and count, then the first place of its component
+    place = F.struct("doc", "doc_key", "line_no")
+    each = materialize(signed.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    near = each.join(roots, each.line == roots.node).select("line", "first", "n", "root")
+    of_root = near.groupBy("root").agg(F.min("first").alias("least"))
+    joined = near.join(of_root, "root").select("line", F.col("least").alias("first"), "n")
+    repeated = materialize(joined.union(each.where("n > 1").join(roots.select(F.col("node").alias("line")), "line", "left_anti").select("line", "first", "n")), "repeated")
+    places = join_common(signed.select("doc_key", "line_no", "line"), repeated, "line")
+    gone = places.where("not (first.doc_key = doc_key and first.line_no = line_no)").groupBy("doc_key").agg(F.collect_set("line_no").alias("_gone"))
     kept = docs.drop("n_lines", "n_removed").withColumn("_key", F.xxhash64("doc_id", "text"))
     joined = kept.join(gone, kept["_key"] == gone["doc_key"], "left").drop("_key", "doc_key")
     lines = F.split("text", "\n")

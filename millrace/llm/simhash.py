@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_common, materialize
 from .components import connected_components
-from .lines import _FOLD, _ODD, CHUNK, alike, banded_components
+from .lines import _ODD, CHUNK, PER_BAND, banded_components, folded
 from .tokens import texts
 
 BITS = 64
-#: MinHash bands of whole documents (the pipeline's near-copy stage), and values in each.
-DOCUMENT_BANDS, PER_BAND = 14, 5
+#: MinHash bands of whole documents (the pipeline's near-copy stage), of PER_BAND values each.
+DOCUMENT_BANDS = 14
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -172,43 +172,86 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 2, hot_bucket: int = 64) -> DataFrame:
+def split_bits(bits: list[int], parts: int) -> list[list[int]]:
+    """Dealt into ``parts`` runs of near-equal width."""
+    return [bits[len(bits) * i // parts : len(bits) * (i + 1) // parts] for i in range(parts)]
+
+
+def finer_keys(members: DataFrame, hot: DataFrame, paths: dict[int, tuple[list[int], int]], radius: int) -> tuple[DataFrame, dict[int, tuple[list[int], int]]]:
+    """Members (fp, part, value) of hot buckets once per sub-part: the bucket's value and the sub-part's bits together.
+
+    ``paths`` has each part's bits not used yet and the width of its value. Two words of
+    a bucket within ``radius`` bits agree in one of radius + 1 sub-parts of these bits.
+    """
+    finer, keys = {}, {}
+    for path, (left, width) in paths.items():
+        keys[path] = []
+        for sub in split_bits(left, radius + 1):
+            to = len(finer)
+            finer[to] = ([x for x in left if x not in sub], width + len(sub))
+            keys[path].append(F.struct(F.lit(to).alias("part"), F.col("value").bitwiseOR(F.shiftleft(part_value(sub), width)).alias("value")))
+    each = F.lit(None).cast("array<struct<part:int,value:bigint>>")
+    for path, structs in keys.items():
+        each = F.when(F.col("part") == path, F.array(*structs)).otherwise(each)
+    return members.join(hot, ["part", "value"]).select("fp", F.explode(each).alias("x")).select("fp", "x.part", "x.value"), finer
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 2, hot_bucket: int = 64, levels: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints: all pairs within ``radius`` (<= 2) bits, or paths for them.
 
     Parts with a threshold t >= 0 are probed with every value within t bits; candidates
     are verified in the join itself, so only true links leave it. A bucket of more than
-    ``hot_bucket`` fingerprints is not paired. Its members and whoever probes it meet
-    instead at centres, the 65 words within one bit of a fingerprint: two words are
-    within two bits exactly if they share a centre, so linking each word with the least
-    word of the centre is exact and linear in the bucket's size.
+    ``hot_bucket`` fingerprints is not paired but cut by the same principle on the bits
+    that its part doesn't hold, ``levels`` times at most. The third level's buckets agree in
+    some 45 bits; members of those that are still large meet at centres instead, the 65
+    words within one bit of a fingerprint: two words are within two bits exactly if they
+    share a centre, so linking each word with the least word of the centre is exact and
+    linear in the bucket's size.
     """
     if radius > 2:
         raise ValueError("centres cover two bits at most")
     groups, ts = choose_parts(fps, radius)
-    probes, index = [], []
+    probes, index, paths = [], [], {}
     for i, (bits, t) in enumerate(zip(groups, ts)):
         if t >= 0:
             value = part_value(bits)
             index.append(F.struct(F.lit(i).alias("part"), value.alias("value")))
             probes += [F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(m)).alias("value")) for m in flips(len(bits), t)]
+            paths[i] = ([x for x in range(BITS) if x not in bits], len(bits))
     indexed = fps.select("fp", F.explode(F.array(*index)).alias("x")).select("fp", "x.part", "x.value")
     probing = indexed if max(ts) == 0 else fps.select("fp", F.explode(F.array(*probes)).alias("x")).select("fp", "x.part", "x.value")
-    sizes = indexed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(sizes.where(F.col("n") > hot_bucket).select("part", "value"), "hot")
-    pairing, meeting = (indexed, probing), None
-    if not hot.isEmpty():
-        pairing = tuple(x.join(hot, ["part", "value"], "left_anti") for x in (indexed, probing))
-        meeting = indexed.join(hot, ["part", "value"]).union(probing.join(hot, ["part", "value"])).select("fp").distinct()
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    links = pairing[0].join(pairing[1].withColumnRenamed("fp", "other"), ["part", "value"]).where(near & (F.col("fp") != F.col("other"))).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
-    if meeting is not None:
-        centres = materialize(meeting.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(signed(m))) for m in flips(BITS, radius - 1)])).alias("centre")), "centres") if radius else None
-        if centres is not None:
-            least = centres.groupBy("centre").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("centre", "a")
-            links = links.union(centres.join(least, "centre").where("a <> fp").select("a", F.col("fp").alias("b")))
+    found = []
+    for level in range(levels):
+        alone = probing is indexed
+        sizes = indexed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+        hot = materialize(sizes.where(F.col("n") > hot_bucket).select("part", "value"), "hot")
+        last = hot.isEmpty()
+        pairing = (indexed, probing) if last else tuple(x.join(hot, ["part", "value"], "left_anti") for x in (indexed, probing))
+        found.append(pairing[0].join(pairing[1].withColumnRenamed("fp", "other"), ["part", "value"]).where(near & (F.col("fp") != F.col("other"))).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")))
+        if last:
+            break
+        if level == levels - 1:
+            found.append(centre_links(indexed.join(hot, ["part", "value"]).union(probing.join(hot, ["part", "value"])).select("fp").distinct(), radius))
+        else:
+            finer, after = finer_keys(indexed, hot, paths, radius)
+            indexed = materialize(finer, "finer")
+            probing = indexed if alone else materialize(finer_keys(probing, hot, paths, radius)[0], "finer")
+            paths = after
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
     return links.distinct()
 
 
+def centre_links(meeting: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of each word (fp) with the least word that shares one of its centres."""
+    around = F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(signed(m))) for m in flips(BITS, radius - 1)])) if radius else F.col("fp")
+    centres = materialize(meeting.select("fp", around.alias("centre")), "centres")
+    least = centres.groupBy("centre").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("centre", "a")
+    return centres.join(least, "centre").where("a <> fp").select("a", F.col("fp").alias("b"))
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -219,35 +262,31 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFram
     not read.
     """
     fps = materialize(fingerprints(docs, words), "fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     if distinct.isEmpty():
         return fps.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
     roots = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    rooted = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "root"), "rooted")
-    by_root = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(by_root, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", "root"), "rooted")
+    by_root = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
+    linked = join_common(rooted.where("root is not null"), by_root, "root", "members").select("fp", "n", F.col("component").alias("component_id"))
+    named = materialize(linked.union(rooted.where("root is null").select("fp", "n", F.col("least").alias("component_id"))), "named")
+    return join_common(fps, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str, words: int = 5) -> set[int]:
     return set(shingle_hashes(text, words).tolist())
 
 
-def similar_documents(of_a: set[int], b: str, threshold: float) -> bool:
-    return alike(of_a, shingle_set(b), threshold)
-
-
 def document_bands(hashes: list[np.ndarray]) -> np.ndarray:
     """Band keys (documents x DOCUMENT_BANDS) of MinHash values over each document's shingle hashes (at least one)."""
     h = (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum([0, *[len(x) for x in hashes[:-1]]])
-    keys = np.zeros((len(hashes), DOCUMENT_BANDS), np.uint64)
+    mixed, least = np.empty_like(h), []
     for k in range(DOCUMENT_BANDS * PER_BAND):
-        least = np.minimum.reduceat((h ^ _ODD[0, k]) * _ODD[1, k], starts)
-        band, nth = divmod(k, PER_BAND)
-        keys[:, band] = (keys[:, band] ^ least) * _FOLD[nth]
-        keys[:, band] ^= keys[:, band] >> np.uint64(29)
-    return (keys + np.arange(DOCUMENT_BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        np.bitwise_xor(h, _ODD[0, k], out=mixed)
+        np.multiply(mixed, _ODD[1, k], out=mixed)
+        least.append(np.minimum.reduceat(mixed, starts))
+    return folded(np.array(least), DOCUMENT_BANDS).view(np.int64)
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
@@ -302,7 +341,7 @@ def near_copies(docs: DataFrame, signed: DataFrame, threshold: float, radius: in
     near_fp = links.join(of_a, "a").join(of_b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     pairs = materialize(one_fp.union(near_fp), "simhash")
     banded = distinct.select("line", F.explode("bands").alias("band"))
-    return banded_components(banded, lambda few: normal_texts(docs, few), threshold, shingle_set, similar_documents, pairs)
+    return banded_components(banded, lambda few: normal_texts(docs, few), threshold, shingle_set, pairs)
 
 
 def first_of_groups(docs: DataFrame, threshold: float = 0.8, radius: int = 2) -> DataFrame:
