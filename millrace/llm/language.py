@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import texts
 
 DIMS, GRAMS = 1 << 13, (1, 2, 3)
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages in one model, and how sharply the score tells cosines apart.
+LANGS, SHARP = 256, 30
 #: Code points counted at once.
 CHUNK = 1 << 20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -67,28 +66,41 @@ class Centroids:
     vectors: np.ndarray
     radius: np.ndarray
 
-    def predict(self, bodies: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[bool]]:
-        """Language, score, cosine distance to the nearest centroid, and whether that is beyond its language's radius."""
-        lettered = [bool(x) and LETTER.search(x) is not None for x in bodies]
-        at = [i for i, x in enumerate(lettered) if x and self.langs]
-        lang, score, distance, far = ["und"] * len(bodies), [0.0] * len(bodies), [None] * len(bodies), [True] * len(bodies)
+    def nearest(self, bodies: list[str | None]) -> list[tuple[str, float, float, bool] | None]:
+        """Per text with a letter: the nearest centroid's language, its cosine, the sum of exp(SHARP * cosine) over languages, and whether it is beyond its language's radius."""
+        found: list = [None] * len(bodies)
+        at = [i for i, x in enumerate(bodies) if x and any(map(str.isalpha, x))]
         for lo in range(0, len(at), 128):
             rows = at[lo : lo + 128]
             cos = unit(np.array([gram_counts(bodies[i]) for i in rows]), self.idf) @ self.vectors.T
             best = np.stack([cos[:, self.of == j].max(1) for j in range(len(self.langs))], axis=1)
-            weight = np.exp(30 * (best - best.max(1, keepdims=True)))
-            for i, b, w in zip(rows, best, weight):
-                j = int(np.argmax(b))
-                lang[i], score[i], distance[i], far[i] = self.langs[j], float(w[j] / w.sum()), float(1 - b[j]), bool(1 - b[j] > self.radius[j])
-        return lang, score, distance, far
+            top = np.argmax(best, axis=1)
+            for i, j, b in zip(rows, top.tolist(), best):
+                found[i] = (self.langs[j], float(b[j]), float(np.exp(SHARP * b.astype(float)).sum()), bool(1 - b[j] > self.radius[j]))
+        return found
 
 
-def fit(docs: DataFrame, learn: Column, sample: int = 400, clusters: int = 4, most_langs: int = 200) -> Centroids:
-    """Centroids from rows where ``learn`` holds and text and lang are not null.
+def sampled(train: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows of each lang, those of the least hashes of (doc_id, text).
+
+    Of a language with many rows only those whose hash is below a share of the range
+    that holds some three times the sample go on to be ranked, so no task gathers a language.
+    """
+    counts = materialize(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("_lang"), "n"), "languages")
+    hashed = train.withColumn("_h", F.xxhash64("doc_id", "text"))
+    share = (3 * sample + 64) / F.col("n")
+    few = hashed.join(counts, hashed["lang"] == counts["_lang"]).where(F.col("_h").cast("double") / 2.0**64 + 0.5 <= share)
+    by = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    return few.withColumn("_nth", F.row_number().over(by)).where(F.col("_nth") <= sample).select("lang", "text")
+
+
+def fit(docs: DataFrame, learn: Column, sample: int = 400, clusters: int = 4) -> list[Centroids]:
+    """Centroids from rows where ``learn`` holds and text and lang are not null: one model for every LANGS languages.
 
     Document frequencies come from all these rows. Centroids are clustered from at most
-    ``sample`` rows of each of the ``most_langs`` commonest languages, chosen by a hash
-    of doc_id; that bounds the driver's and every task's share.
+    ``sample`` rows of each language (rows, not ids: repeated ids count each), which
+    bounds every task's share. A model takes some 130 KB a language, so languages are
+    dealt into models of at most LANGS, whatever their number.
     """
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
 
@@ -106,11 +118,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = 400, clusters: int = 4, mo
         df[r["place"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    langs = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = train.select("doc_id", "lang").join(F.broadcast(langs.select("lang")), "lang").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= sample).select("doc_id", "lang").distinct()
-    # at most sample * most_langs ids
-    rows = materialize(train.join(F.broadcast(chosen), ["doc_id", "lang"]), "language-sample")
+    rows = materialize(sampled(train, sample), "language-sample")
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         v = unit(np.array([gram_counts(x) for x in pdf["text"]]), idf)
@@ -121,10 +129,17 @@ def fit(docs: DataFrame, learn: Column, sample: int = 400, clusters: int = 4, mo
         radius = min(1.0, 1.5 * float(np.quantile(1 - (v @ c.T).max(1), 0.99)))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "radius": radius, "vector": [x.astype("<f4").tobytes() for x in c]})
 
-    found = sorted(rows.groupBy("lang").applyInPandas(centroids, "lang string, radius double, vector binary").collect(), key=lambda r: (r["lang"], bytes(r["vector"])))
-    names = sorted({r["lang"] for r in found})
-    vectors = np.array([np.frombuffer(bytes(r["vector"]), "<f4") for r in found] or np.zeros((0, DIMS)), np.float32)
-    return Centroids(idf, names, np.array([names.index(r["lang"]) for r in found]), vectors, np.array([next(r["radius"] for r in found if r["lang"] == x) for x in names]))
+    found = materialize(rows.groupBy("lang").applyInPandas(centroids, "lang string, radius double, vector binary"), "centroids")
+    names = sorted(r["lang"] for r in found.select("lang").distinct().collect())
+    models = []
+    for lo in range(0, len(names), LANGS):
+        own = names[lo : lo + LANGS]
+        place = {x: i for i, x in enumerate(own)}
+        part = sorted(found.where(F.col("lang").between(own[0], own[-1])).collect(), key=lambda r: (r["lang"], bytes(r["vector"])))
+        vectors = np.array([np.frombuffer(bytes(r["vector"]), "<f4") for r in part], np.float32)
+        radius = {r["lang"]: r["radius"] for r in part}
+        models.append(Centroids(idf, own, np.array([place[r["lang"]] for r in part]), vectors, np.array([radius[x] for x in own])))
+    return models
 
 
 def identify_language(docs: DataFrame, learn: Column, **options) -> DataFrame:
@@ -134,15 +149,33 @@ def identify_language(docs: DataFrame, learn: Column, **options) -> DataFrame:
     null texts and texts without a letter (or if nothing could be learned). ``rejected``
     says that the nearest centroid is farther than the radius of its language (1.5
     times the 99th percentile of the sample's own distances), for callers that would
-    rather have no answer. Equal distances go to the first language by name. Repeated
+    rather have no answer. Equal distances go to the first language by name.
+    However many languages there are, each takes part (LANGS a pass over the texts). Repeated
     rows count each by itself, a null doc_id stays null, an empty table gives no rows;
     no column but text enters a prediction.
     """
-    model = fit(docs, learn, **options)
+    schema = "doc_id long, text string, lang_pred string, cosine double, weight double, rejected boolean"
+    best = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    best = best.select("doc_id", "text", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("cosine"), F.lit(0.0).alias("weight"), F.lit(True).alias("rejected"))
+    for model in fit(docs, learn, **options):
+        best = best.mapInArrow(better_of(model), schema)
+    score = F.exp(SHARP * F.col("cosine")) / F.col("weight")
+    return best.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"), (1 - F.col("cosine")).alias("distance"), "rejected")
 
-    def run(batches):
-        for ids, bodies in texts(batches):
-            lang, score, distance, far = model.predict(bodies)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang), pa.array(score), pa.array(distance, pa.float64()), pa.array(far)], ["doc_id", "lang_pred", "score", "distance", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, distance double, rejected boolean")
+def better_of(model: Centroids):
+    """A function over batches that takes the model's answer where it is nearer than the one so far."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                lang, cosine, weight, far = (part.column(i).to_pylist() for i in range(2, 6))
+                for i, hit in enumerate(model.nearest(part.column(1).to_pylist())):
+                    if hit:
+                        weight[i] += hit[2]
+                        if cosine[i] is None or hit[1] > cosine[i]:
+                            lang[i], cosine[i], far[i] = hit[0], hit[1], hit[3]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(cosine, pa.float64()), pa.array(weight, pa.float64()), pa.array(far, pa.bool_())], batch.schema.names)
+
+    return run
