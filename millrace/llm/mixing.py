@@ -36,35 +36,45 @@ def capped_targets(sources: DataFrame, cap: float) -> DataFrame:
     return told.withColumn("common", common).select("source", "source_size", "weight", F.least("limit", F.col("common") * F.col("weight")).alias("target"))
 
 
-def tilted_rates(stats: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-9, most: int = 60) -> DataFrame:
-    """Lambda of each source, by Newton iterations on the convex dual of entropy balancing.
+def tilted_rates(stats: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-9, most: int = 80) -> DataFrame:
+    """Lambda of each source, by safeguarded Newton iterations on the convex dual of entropy balancing.
 
     Among all document rates r the mix takes those with the least relative entropy to
     the base rates b, summed over words, that meet each source's target under the cap:
     r = min(cap, b * exp(lambda)). The dual's gradient in lambda is sum(size * r) -
-    target, its second derivative the same sum over rates below the cap. ``stats`` has
-    the words per (source, base), which is all that the sums need, so each iteration
-    aggregates that table on the cluster. Iterates start where no cap would bind.
+    target, its second derivative the same sum over rates below the cap. All multipliers
+    start at 0, the base rates, and move at once. ``low`` and ``high`` bracket each
+    solution; a Newton step of more than 1, or one that the cap leaves without a
+    slope, is shortened, one that leaves the bracket halves it. ``stats`` has the words
+    per (source, base), which is all that the sums need, so each iteration aggregates
+    that table on the cluster. A source without words or target gets no lambda.
     """
     joined = stats.join(targets.select(F.col("source").alias("_s"), "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    free = joined.groupBy("source").agg(F.sum(F.col("words") * F.col("base")).alias("mass"), F.first("target").alias("target"))
-    lam = materialize(free.select("source", F.when((F.col("mass") > 0) & (F.col("target") > 0), F.log(F.col("target") / F.col("mass"))).alias("lam")), "lambda")
+    open_ = joined.groupBy("source").agg(F.sum(F.col("words") * F.col("base")).alias("mass"), F.first("target").alias("target"))
+    null = F.lit(None).cast("double")
+    lam = materialize(open_.select("source", F.when((F.col("mass") > 0) & (F.col("target") > 0), F.lit(0.0)).alias("lam"), null.alias("low"), null.alias("high")), "lambda")
     for _ in range(most):
         rate = F.least(F.lit(float(cap)), F.col("base") * F.exp("lam"))
-        at = joined.join(lam.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        at = joined.where("base > 0").join(lam.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").where("lam is not null")
         sums = at.groupBy("source").agg(
-            F.first("target").alias("target"),
-            F.first("lam").alias("lam"),
+            *[F.first(c).alias(c) for c in ("target", "lam", "low", "high")],
             F.sum(F.col("words") * rate).alias("met"),
             F.sum(F.when(rate < cap, F.col("words") * rate).otherwise(0.0)).alias("slope"),
+            F.sum(F.col("words") * cap).alias("most"),
         )
         gap = F.col("target") - F.col("met")
-        moves = (F.abs(gap) > tolerance * F.col("target")) & (F.col("slope") > 0)
-        step = materialize(sums.select("source", F.when(moves, F.col("lam") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("slope")))).otherwise(F.col("lam")).alias("lam"), F.coalesce(moves, F.lit(False)).alias("moves")), "lambda")
-        lam = step.select("source", "lam")
-        if step.where("moves").isEmpty():
+        # what all rates at the cap can't meet is met as far as they can
+        moves = (F.abs(gap) > tolerance * F.col("target")) & ~((gap > 0) & (F.col("met") >= F.col("most")))
+        low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("low")), F.when(gap < 0, F.col("lam")).otherwise(F.col("high"))
+        newton = F.col("lam") + F.when(F.col("slope") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / F.col("slope")))).otherwise(F.signum(gap))
+        told = sums.select("source", "lam", low.alias("low"), high.alias("high"), moves.alias("moves"), newton.alias("newton"))
+        kept = (F.col("newton") > F.coalesce("low", F.lit(float("-inf")))) & (F.col("newton") < F.coalesce("high", F.lit(float("inf"))))
+        step = told.select("source", F.when(~F.col("moves"), F.col("lam")).when(kept, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2).alias("lam"), "low", "high", "moves")
+        lam = materialize(step, "lambda")
+        if lam.where("moves").isEmpty():
             break
-    return lam
+        lam = lam.drop("moves")
+    return lam.select("source", "lam")
 
 
 def rounded_classes(classes: DataFrame) -> DataFrame:
@@ -111,7 +121,7 @@ def entropy_mix(docs: DataFrame, cap: int = 3, base: Column | None = None, weigh
     targets = materialize(capped_targets(weights(totals), cap), "targets")
     stats = materialize(sizes.groupBy("source", "base").agg(F.sum("size").alias("words")), "stats")
     lam = tilted_rates(stats, targets, cap)
-    told = materialize(targets.join(lam.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "told")
+    told = materialize(targets.join(lam.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "told")
     rate = F.coalesce(F.least(F.lit(float(cap)), F.col("base") * F.exp("lam")), F.lit(0.0))
     rated = stats.join(told.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "base", "source_size", "target", rate.alias("rate"))
     rated = materialize(rated, "rates")
@@ -119,7 +129,7 @@ def entropy_mix(docs: DataFrame, cap: int = 3, base: Column | None = None, weigh
     each = sizes.join(rated.withColumnsRenamed({"source": "_s", "base": "_b"}), on).drop("_s", "_b")
     classes = each.groupBy("source", "rate", "size").agg(F.count(F.lit(1)).alias("n"), F.first("target").alias("target"))
     extra = materialize(rounded_classes(classes), "classes")
-    ranked = salted_rank(each, ["source", "rate", "size"], ["doc_id"], "nth", salts=16)
+    ranked = salted_rank(each, ["source", "rate", "size"], ["doc_id"], "nth")
     renamed = extra.select(F.col("source").alias("_s"), F.col("rate").alias("_r"), F.col("size").alias("_z"), "whole", "more")
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("rate") == F.col("_r")) & (F.col("size") == F.col("_z"))
     copies = F.col("whole") + (F.col("nth") < F.col("more")).cast("long")
