@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,6 @@ import pyarrow as pa
 
 #: Distinct chunks that one worker remembers; it starts afresh beyond that.
 CACHE_CHUNKS = 400_000
-_ODD = re.compile(r" \s|\s ")
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
@@ -20,11 +18,14 @@ class ChunkEncoder(dict):
 
     The vocabulary's split pattern never crosses a single space between two other
     non-white characters, so such a text is the concatenation of its chunks. Texts
-    with a space beside other white space are encoded as a whole, and texts that hold
-    a special token's string go to the ``tokenizers`` library itself. Ids equal those
-    of ``tokenizers`` in every case.
+    with a space beside other white space (their chunks are empty, or begin or end with
+    white space) are encoded as a whole, and texts that hold a special token's string
+    go to the ``tokenizers`` library itself. Ids equal those of ``tokenizers`` in every
+    case.
     """
 
+    SPECIAL = "<|endoftext|>"
+
     def __init__(self, name: str):
         super().__init__()
         import public_tokenizers
@@ -34,9 +35,10 @@ class ChunkEncoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.full_path, self._full = public_tokenizers.path(f"{name}.json"), None
-        self.special = re.compile(r"<\|endoftext\|>")
 
     def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise KeyError(chunk)
         if len(self) >= CACHE_CHUNKS:
             self.clear()
         self[chunk] = ids = np.asarray(self.plain(" " + chunk), dtype="<u4").tobytes()
@@ -45,16 +47,20 @@ class ChunkEncoder(dict):
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.special.search(text):
+        if self.SPECIAL in text:
             if self._full is None:
                 from tokenizers import Tokenizer
 
                 self._full = Tokenizer.from_file(self.full_path)
             return np.asarray(self._full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if _ODD.search(text):
-            return np.asarray(self.plain(text), dtype="<u4").tobytes()
         head, *rest = text.split(" ")
-        return np.asarray(self.plain(head), dtype="<u4").tobytes() + b"".join(map(self.__getitem__, rest))
+        try:
+            if rest and (not head or head[-1].isspace()):
+                raise KeyError(head)
+            parts = [self[x] for x in rest]
+        except KeyError:  # a space beside other white space
+            return np.asarray(self.plain(text), dtype="<u4").tobytes()
+        return np.asarray(self.plain(head), dtype="<u4").tobytes() + b"".join(parts)
 
 
 def encoder(name: str) -> ChunkEncoder:
