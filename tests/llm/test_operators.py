@@ -72,6 +72,18 @@ def test_packing_is_gapless_whole_and_tight(docs, empty, rows):
             assert offset == at
             at += length
         assert at <= 64
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text_of = {d: t for d, t, *_ in rows}
+    for r in got:
+        if r.doc_id is not None:
+            ids = np.array([*tok.encode(text_of[r.doc_id] or "", add_special_tokens=False).ids, 0], "<u4")
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+            assert r.start == (0 if r.piece == 0 else (len(ids) % 64 or 64) + 64 * (r.piece - 1))
     total = sum(r.length for r in got)
     assert len(by_seq) <= 1.05 * total / 64 + 1
     assert sorted(by_doc[43]) == [(0, 0, 1)] and len(by_doc[2]) == 3 * len({p for p, _, _ in by_doc[2]})
@@ -117,10 +129,25 @@ def test_id_matrix_round_trip(docs, empty, rows):
         if doc == 2 or doc is None:
             continue
         assert sum((list(p) for _, p in sorted(got[doc])), []) == tok.encode(text or "", add_special_tokens=False).ids + [0]
+    repeated = tok.encode(rows[2][1], add_special_tokens=False).ids + [0]
+    n = collections.Counter(p for p, _ in got[2])
+    assert set(n.values()) == {3} and sum(len(p) for _, p in got[2]) == 3 * len(repeated)
+    assert sum((list(p) for _, p in sorted(got[None])), []) == tok.encode(rows[3][1], add_special_tokens=False).ids + [0]
     assert token_output.packed_matrix(empty).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "x \n y", "it's <|endoftext|> ok", "é  b", "don't 's"])
+def test_ids_of_the_corpus_equal_the_tokenizer(sf_dir, spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.llm.tokens import encoder
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect():
+        assert np.frombuffer(encoder("byte_bpe_50k").ids(r.text), "<u4").tolist() == tok.encode(r.text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" a", "a\n", "\ta b\x1f c", "a \u00a0b", "",  "a  b", " lead", "trail ", "x \n y", "it's <|endoftext|> ok", "é  b", "don't 's"])
 def test_ids_equal_the_tokenizer(text):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -246,6 +273,26 @@ def test_mixing_meets_targets(docs, empty, rows):
     assert mixing.mixed_documents(docs).count() == sum(r.copies for r in got)
 
 
+def test_base_rates_with_a_binding_cap_match_a_solver(spark):
+    """The multiplier of each source solves sum(words * min(cap, base * exp(lambda))) = target; found here by bisection."""
+    rng = random.Random(6)
+    data = [(i, " ".join(["w"] * rng.randint(1, 60)), rng.choice(["a", "b", None]), rng.choice([0.0, 0.02, 0.5, 1.0, 50.0, None])) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, b double")
+    got = mixing.entropy_mix(df, base=F.col("b")).collect()
+    base = {r[0]: 1.0 if r[3] is None else r[3] for r in data}
+    for source in ("a", "b", None):
+        own = [r for r in got if r.source == source]
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            met = sum(r.size * min(3, base[r.doc_id] * np.exp(mid)) for r in own)
+            low, high = (mid, high) if met < own[0].target else (low, mid)
+        assert abs(low) > 1e-6 and any(base[r.doc_id] * np.exp(low) > 3 for r in own)
+        for r in own:
+            assert r.rate == pytest.approx(min(3, base[r.doc_id] * np.exp(low)), rel=1e-5)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 60
+
+
 def test_line_dedup_matches_brute_force(docs, empty, rows):
     seen, links, want = [], {}, {}
 
@@ -342,39 +389,77 @@ def test_fingerprints_of_edits(docs, empty, rows):
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+def test_sketches_merge_and_estimate_containment_of_unequal_texts(spark):
+    rng = random.Random(31)
+    whole = words(rng, 3000).split()
+    other = words(rng, 2000).split()
+    rows = [(1, " ".join(whole), " ".join(whole[500:800])), (2, " ".join(whole), " ".join(whole[100:400] + other[:300])), (3, " ".join(other), " ".join(whole[:50])), (4, "", "")]
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    a, b = fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))
+    df = spark.createDataFrame(rows, "i int, a string, b string").select("i", "a", "b", a.alias("x"), b.alias("y"))
+    both = fingerprints.merged(F.col("x"), F.col("y"))
+    for r in df.select("i", "a", "b", fingerprints.containment(F.col("y"), F.col("x")).alias("c"), fingerprints.likeness(F.col("x"), F.col("y")).alias("j"), both.alias("m"), fingerprints.merged(F.col("y"), F.col("x")).alias("n"), "x", "y").collect():
+        assert r.m == r.n and r.m.hashes == sorted(set(r.x.hashes) | set(r.y.hashes))
+        if r.i == 4:
+            assert r.c == r.j == 1
+            continue
+        p, q = sets(r.a), sets(r.b)
+        assert r.c == pytest.approx(len(p & q) / len(q), abs=0.08)
+        assert r.j == pytest.approx(len(p & q) / len(p | q), abs=0.04)
+
+
 def test_language_of_clear_texts(spark, empty):
     rng = random.Random(4)
     tongues = {"xa": ["kala", "moro", "tinu", "sabe"], "yb": ["grzy", "wchod", "szcz", "prze"]}
-    data = [(i, " ".join(rng.choice(tongues[k]) for _ in range(40)), k) for i, k in enumerate(["xa", "yb"] * 60)] + [(900, None, "xa"), (901, "12 !?", None), (None, "kala moro", None)]
+    data = [(i, " ".join(rng.choice(tongues[k]) for _ in range(40)), k) for i, k in enumerate(["xa", "yb"] * 60)] + [(900, None, "xa"), (901, "12 !?", None), (902, "\u00b2 \u00bd \u2460", None), (None, "kala moro", None)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language.identify_language(df, F.coalesce(F.col("doc_id") % 4 != 1, F.lit(False))).collect()}
     assert all(got[i].lang_pred == k and 0 <= got[i].score <= 1 for i, _, k in data[:120])
-    assert got[900].lang_pred == got[901].lang_pred == "und" and got[None].lang_pred == "xa"
+    assert got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und" and got[None].lang_pred == "xa"
+    assert got[900].score == 0 and got[900].rejected
     assert language.identify_language(empty, F.lit(True)).count() == 0
 
 
-def test_toxicity_index_is_exact(spark, docs, empty):
+def test_every_language_is_learned_and_samples_are_bounded(spark, monkeypatch):
+    rng = random.Random(14)
+    tongues = {f"l{i}": [words(rng, 1) for _ in range(6)] for i in range(7)}
+    data = [(i, " ".join(rng.choice(tongues[f"l{i % 7}"]) for _ in range(30)), f"l{i % 7}", "x", 1) for i in range(140)]
+    data += [data[0]] * 300
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, score string, weight int")
+    assert language.sampled(df.select("doc_id", "text", "lang"), 5).count() == 35
+    one = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in language.identify_language(df, F.lit(True)).collect()}
+    monkeypatch.setattr(language, "LANGS", 3)
+    several = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in language.identify_language(df, F.lit(True)).collect()}
+    assert one == several and all(one[i][0] == k for i, _, k, *_ in data[:140])
+
+
+def test_toxicity_index_is_exact(spark, docs, empty, monkeypatch):
     rng = np.random.default_rng(6)
     vectors = []
     for _ in range(500):
         at = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         w = rng.random(len(at)) + 0.1
         vectors.append((at, w / np.sqrt(w @ w)))
-    index = toxicity.BlockMaxIndex(vectors, list(range(500)), 40)
-    dense = np.zeros((500, 40))
-    for i, (at, w) in enumerate(vectors):
-        dense[i, at] = w
-    for i in range(0, 500, 17):
-        cos = np.round(dense @ dense[i], 12)
-        want = sorted((-c, j) for j, c in enumerate(cos) if c > 0)[:15]
-        places, got = index.nearest(*vectors[i], 15)
-        assert index.ids[places].tolist() == [j for _, j in want]
-        assert got == pytest.approx([-c for c, _ in want])
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    for share in (1 / 16, 0.2, 2):
+        monkeypatch.setattr(toxicity, "DENSE", share)
+        index = toxicity.BlockMaxIndex(vectors, list(range(500)), 40)
+        dense = np.zeros((500, 40))
+        for i, (at, w) in enumerate(vectors):
+            dense[i, at] = w
+        added, bounds = index.frequent(vectors)
+        for i in range(0, 500, 17):
+            cos = np.round(dense @ dense[i], 12)
+            want = sorted((-c, j) for j, c in enumerate(cos) if c > 0)[:15]
+            places, got = index.nearest(*vectors[i], 15, (added[i], bounds[i]))
+            assert index.ids[places].tolist() == [j for _, j in want]
+            assert got == pytest.approx([-c for c, _ in want])
     labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(5, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.score_toxicity(docs, labels, F.lit(True)).collect()
     assert len(out) == docs.count() and all(0 <= r.score < 0.5 and r.predicted == 0 for r in out)
     assert toxicity.score_toxicity(empty, labels, F.lit(True)).count() == 0
     assert toxicity.without_toxic(docs, labels.limit(0), F.lit(True)).count() == docs.count()
+    assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0), F.lit(True)).collect()} == {0.1}
 
 
 @pytest.mark.parametrize("share", [0.5, 0.8])
@@ -387,11 +472,22 @@ def test_toxic_terms_count_at_any_share_of_toxic_labels(spark, share):
         telling = rng.random() < (0.9 if toxic else 0.1)
         data.append((i, " ".join([rng.choice(["plain", "other", "thing"]) for _ in range(8)] + ["vile"] * telling), toxic, int(telling)))
     df = spark.createDataFrame(data, "doc_id long, text string, toxic int, telling int")
-    assert "vile" in toxicity.select_terms(df, 100)
+    assert "vile" in {r.term for r in toxicity.telling_terms(df).collect()}
     out = toxicity.score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.col("doc_id") < 500).join(df, "doc_id")
     assert out.where("predicted = telling").count() == 600
 
 
+def test_all_words_take_part_in_the_cosine(spark):
+    """The vocabulary is every word of the examples, and vectors hold words that tell nothing."""
+    data = [(i, f"plain word{i} thing" + (" vile" if i % 2 else ""), i % 2) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert {"plain", "thing", "vile", *(f"word{i}" for i in range(60))} <= set(model.terms.ids)
+    at, w = model.terms.vector("plain word3 unheard")
+    assert len(at) == 2 and (w > 0).all() and w @ w == pytest.approx(1)
+    assert model.score(["vile plain"])[0][0] > 0.5 > model.score(["plain word2"])[0][0]
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -405,10 +501,13 @@ def test_top_k_matches_brute_force(spark):
     data = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
     data[7] = (7, data[3][1])
     data += [(401, None), (402, [1.0, None] + [0.0] * 4), (403, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (50, data[50][1])]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data[:400]]
+    twice = max((i for i in range(1, 400) if i % 50), key=lambda i: sum(a * b for a, b in zip(data[i][1], data[0][1])))
+    data.append(data[twice])
+    df = spark.createDataFrame([(*r, 1, 2, "f") for r in data], "vec_id long, embedding array<double>, part int, range int, floor string")
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in [*data[:400], data[50], data[twice]]]
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_inner_products(df, F.col("vec_id") % 50 == 0, range_rows=90, query_rows=3).collect()}
-    for q, v in ok[::50]:
+    assert [got[0, r][0] for r in (1, 2)] == [twice, twice]
+    for q, v in ok[:400:50]:
         best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
     assert len(got) == 40 and topk.top_inner_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -478,21 +577,82 @@ def test_changed_passages_are_found(spark):
 def test_longest_alike_matches_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(50):
-        pairs = list(zip(np.cumsum(rng.integers(1, 4, 30)).tolist(), np.cumsum(rng.integers(1, 3, 30)).tolist()))
-        length = lambda s, e: 1 + sum(max(pairs[n][0] - pairs[n - 1][0], pairs[n][1] - pairs[n - 1][1]) for n in range(s + 1, e + 1))
+        pairs = np.stack([np.cumsum(rng.integers(1, 4, 30)), np.cumsum(rng.integers(1, 3, 30))], axis=1)
+        length = lambda s, e: 1 + sum(max(pairs[n] - pairs[n - 1]) for n in range(s + 1, e + 1))
         most = max(e - s + 1 for s in range(30) for e in range(s, 30) if e - s + 1 >= 0.8 * length(s, e) - 1e-9)
         s, e = substrings.longest_alike(pairs, 0.8)
         assert e - s + 1 == most and most >= 0.8 * length(s, e) - 1e-9
+        worth = lambda s, e: e - s + 1 - sum(max(pairs[n] - pairs[n - 1]) - 1 for n in range(s + 1, e + 1))
+        assert worth(*substrings.densest(pairs)) == max(worth(s, e) for s in range(30) for e in range(s, 30))
 
 
 def test_chains_rise_and_alignment_trims():
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 60, 80), rng.integers(0, 60, 80)
     for c in substrings.chains(x, y):
-        assert (np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all()
-    a = "q w e one two three four five six seven r t".split()
-    b = "z one two three X five six seven p o".split()
-    assert substrings.aligned(a, b) == (3, 10, 1, 8, 6 / 7)
+        assert (c[1:, 0] > c[:-1, 0] + c[:-1, 2]).all() and (c[1:, 1] > c[:-1, 1] + c[:-1, 2]).all()
+    h = lambda t: substrings.word_hashes(t)
+    a, b = h("q w e one two three four five six seven r t"), h("z one two three X five six seven p o")
+    pairs, alike = substrings.aligned(a, b, np.array([[3, 1, 0, 1]]))
+    assert pairs.tolist() == [[3, 1], [4, 2], [5, 3], [7, 5], [8, 6], [9, 7]] and alike == 6 / 7
+
+
+def test_minimizers_are_the_least_of_their_windows():
+    rng = random.Random(8)
+    for n in (0, 3, 4, 7, 9, 60, 400):
+        w = substrings.word_hashes(words(rng, n) if n else "")
+        h, k = substrings.run_hashes(w, substrings.K), substrings.WINDOW
+        span = min(k, len(h))
+        want = {i for lo in range(len(h) - span + 1) for i in range(lo, lo + span) if len(h) and h[i] == min(h[lo : lo + span])}
+        assert set(substrings.seeds(w)[1].tolist()) == want
+    assert len(set(substrings.word_hashes("A a b Ab aB \u00e9 \u00c9\x0b\x1c").tolist())) == 6
+
+
+def test_every_unchanged_passage_is_covered(spark):
+    """Brute force over small texts of shared parts: each word of a run of 20 that occurs earlier lies in a passage."""
+    rng = random.Random(77)
+    parts = [words(rng, rng.randint(8, 30)).split() for _ in range(14)] + [["on"] * 45, ["a", "b", "c"] * 18]
+    bodies = [sum((rng.choice(parts) for _ in range(rng.randint(2, 7))), []) for _ in range(70)]
+    df = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bodies)], "doc_id long, text string")
+    held, missed, seen = set(), 0, {}
+    for r in substrings.repeated_passages(df, min_words=20).collect():
+        held |= {(r.doc_id, i) for i in range(r.start, r.start + r.words)}
+        if r.similarity == 1:
+            assert bodies[r.doc_id][r.start : r.start + r.words] == bodies[r.other_doc_id][r.other_start : r.other_start + r.other_words]
+    n = 0
+    for d, b in enumerate(bodies):
+        for x in range(len(b) - 19):
+            run = tuple(b[x : x + 20])
+            f = seen.setdefault(run, (d, x))
+            if f[0] != d or x - f[1] >= 20:
+                n += 1
+                missed += not all((d, x + i) in held for i in range(20))
+    assert n > 500 and missed == 0
+
+
+def test_partial_copies_hide_no_passage(spark):
+    """Documents 1 and 2 hold halves of a passage of 70 words that 3 and 4 hold whole."""
+    rng = random.Random(5)
+    p = words(rng, 70).split()
+    pad = lambda x: " ".join([words(rng, 30), *x, words(rng, 30)])
+    df = spark.createDataFrame(list(enumerate([pad([]), pad(p[:35]), pad(p[35:]), pad(p), pad(p)])), "doc_id long, text string")
+    assert {(r.doc_id, r.other_doc_id, r.words) for r in substrings.repeated_passages(df).collect()} == {(4, 3, 70)}
+
+
+def test_long_texts_align_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 32, 200_000, dtype=np.uint64)
+    b = a.copy()
+    b[::5000] = 7
+    h = [dict(zip(*(v.tolist() for v in substrings.seeds(w)))) for w in (a, b)]
+    both = np.array([(x, h[1][s]) for s, x in h[0].items() if s in h[1]])
+    tracemalloc.start()
+    (chain,) = substrings.chains(both[:, 0], both[:, 1])
+    pairs, alike = substrings.aligned(a, b, chain, 50, 0.8)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 28 and len(pairs) > 199_900 and alike > 0.999
+    tracemalloc.stop()
 
 
 def test_pipeline_stages(spark, sf_dir):
