@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -42,6 +43,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner learns of them only when the driver collects garbage, which a driver with
+    little to do may put off until the executors' disks are full of finished shuffles.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def same_keys(keys: Sequence[str], prefix: str = "_") -> Column:
     """Null-safe equality of each key with the column of that name after ``prefix``."""
     found = F.lit(True)
