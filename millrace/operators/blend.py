@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 
 def pivot_predictions(long: DataFrame, key: Sequence[str], models: Sequence[str]) -> DataFrame:
     return long.groupBy(*key).pivot("model", list(models)).agg(F.first("pred"))
@@ -42,10 +44,17 @@ def _rows(df: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(*[F.col(f"_{i}_{k}").alias(k) for k in r]) for i, r in enumerate(rows)])).alias("r")).select("r.*")
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both are there; null where one of them is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def prediction_correlation(wide: DataFrame, models: Sequence[str], y: str | None = None) -> DataFrame:
     """Correlation of each pair of models' outputs, or of their errors if ``y`` is given."""
     of = lambda m: F.col(m) if y is None else F.col(m) - F.col(y)
-    return _rows(wide, [{"a": F.first(F.lit(a)), "b": F.first(F.lit(b)), "corr": F.corr(of(a), of(b))} for a, b in combinations(models, 2)])
+    return _rows(wide, [{"a": F.first(F.lit(a)), "b": F.first(F.lit(b)), "corr": _corr(of(a), of(b))} for a, b in combinations(models, 2)])
 
 
 def complement_screen(wide: DataFrame, base: str, candidates: Sequence[str], y: str) -> DataFrame:
@@ -54,50 +63,110 @@ def complement_screen(wide: DataFrame, base: str, candidates: Sequence[str], y:
     rows = []
     for c in candidates:
         step = F.col(c) - F.col(base)
-        rows.append({"model": F.first(F.lit(c)), "corr": F.corr(step, rest), "alpha": F.try_divide(F.sum(step * rest), F.sum(step * step))})
+        rows.append({"model": F.first(F.lit(c)), "corr": _corr(step, rest), "alpha": F.try_divide(F.sum(step * rest), F.sum(step * step))})
     return _rows(wide, rows)
 
 
-def _losses(df: DataFrame, models: Sequence[str], y: str, loss: str, trials: np.ndarray) -> np.ndarray:
+def _totals(table: np.ndarray, loss: str, trials: np.ndarray) -> np.ndarray:
+    """Summed loss of every candidate weight vector over a table of model rows and, last, the target row."""
+    total = np.zeros(len(trials))
+    for at in range(0, table.shape[1], 4096):
+        part = table[:, at : at + 4096]
+        gap = trials @ part[:-1] - part[-1]
+        total += np.abs(gap).sum(1) if loss == "absolute" else (gap * gap).sum(1)
+    return total
+
+
+def _rows_of(batch: pa.RecordBatch | pa.Table, n: int) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(i).to_numpy(), float) for i in range(n)])
+
+
+def _losses(df: DataFrame, loss: str, trials: np.ndarray) -> np.ndarray:
     """Mean loss of every candidate weight vector (rows of trials): partial sums per Arrow batch, then one aggregate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(trials)), 0
         for batch in batches:
-            table = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
-            for at in range(0, table.shape[1], 4096):
-                part = table[:, at : at + 4096]
-                gap = trials @ part[:-1] - part[-1]
-                total += np.abs(gap).sum(1) if loss == "absolute" else (gap * gap).sum(1)
-            n += table.shape[1]
+            total += _totals(_rows_of(batch, batch.num_columns), loss, trials)
+            n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(trials))), pa.array(total), pa.array(np.full(len(trials), n))], ["i", "total", "n"])
 
-    parts = df.select(*[F.col(c).cast("double") for c in [*models, y]]).dropna().mapInArrow(run, "i long, total double, n long")
+    parts = df.mapInArrow(run, "i long, total double, n long")
     out = np.full(len(trials), np.inf)
     for r in parts.groupBy("i").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():  # one row per candidate
         out[r["i"]] = r["total"] / max(r["n"], 1)
     return out
 
 
-def fit_blend_weights(wide: DataFrame, models: Sequence[str], y: str, loss: str = "absolute", steps: Sequence[float] = (0.002, 0.01, 0.05, 0.2), rounds: int = 60) -> DataFrame:
-    """Weights >= 0 that sum to 1 with the least mean loss, by pair swaps: (model, w, loss).
-
-    Each round moves a step of weight from one model to another, tries all such moves
-    on the cluster at once and keeps the best, until none helps. Only weight vectors
-    and their losses are on the driver. Rows with a null are left out.
+def _clipped(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """The squared-error solution of the normal equations, cut at 0 and rescaled to sum 1."""
+    w = np.maximum(np.linalg.lstsq(gram, cross, rcond=None)[0], 0)
+    return w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
+
+
+def _pair_swaps(losses, start: np.ndarray, steps: Sequence[float], rounds: int) -> tuple[np.ndarray, float]:
+    """From the best of the starts (rows) and, to check it, from a random one: moves of weight between two models until none helps."""
+    m = start.shape[1]
+    scores = losses(start)
+    found = []
+    for w in (start[scores.argmin()], np.random.default_rng(0).dirichlet(np.ones(m))):
+        best = losses(w[None])[0]
+        for _ in range(rounds):
+            moves = [(i, j, s) for i in range(m) for j in range(m) if i != j for s in steps if w[i] >= s - 1e-12]
+            if not moves:
+                break
+            trials = np.array([w + s * (np.eye(m)[j] - np.eye(m)[i]) for i, j, s in moves])
+            scores = losses(trials)
+            if scores.min() >= best - 1e-12:
+                break
+            w, best = np.maximum(trials[scores.argmin()], 0), scores.min()
+        found.append((best, w.tolist()))
+    best, w = min(found)
+    return np.array(w), float(best)
+
+
+def fit_blend_weights(wide: DataFrame, models: Sequence[str], y: str, loss: str = "absolute", by: Sequence[str] = (), steps: Sequence[float] = (0.002, 0.01, 0.05, 0.2), rounds: int = 60) -> DataFrame:
+    """Weights >= 0 that sum to 1 with the least mean loss, by pair swaps: (by..., model, w, loss).
+
+    The search starts from the best of equal weights, each single model and the clipped
+    squared-error solution, and again from a random point. Each round moves a step of
+    weight from one model to another, tries all such moves on the cluster at once and
+    keeps the best, until none helps; the narrow input is written once and only weight
+    vectors and their losses are on the driver. With ``by`` every group is fitted in a
+    task of its own, so a group must fit there. Rows with a null are left out; without
+    rows there are no weights; a single model has weight 1.
     """
-    m = len(models)
-    starts = np.vstack([np.full(m, 1 / m), np.eye(m)])
-    scores = _losses(wide, models, y, loss, starts)
-    w, best = starts[scores.argmin()], scores.min()
-    for _ in range(rounds):
-        moves = [(i, j, s) for i in range(m) for j in range(m) if i != j for s in steps if w[i] >= s - 1e-12]
-        trials = np.array([w + s * (np.eye(m)[j] - np.eye(m)[i]) for i, j, s in moves])
-        scores = _losses(wide, models, y, loss, trials)
-        if scores.min() >= best - 1e-12:
-            break
-        w, best = np.maximum(trials[scores.argmin()], 0), scores.min()
-    return wide.sparkSession.createDataFrame([(a, float(b), float(best)) for a, b in zip(models, w)], "model string, w double, loss double")
+    m, keys = len(models), list(by)
+    narrow = wide.select(*keys, *[F.col(c).cast("double") for c in [*models, y]]).dropna(subset=[*models, y])
+    fixed = np.vstack([np.full(m, 1 / m), np.eye(m)])
+    if keys:
+
+        def one(t: pa.Table) -> pa.Table:
+            table = _rows_of(t.select([*models, y]).combine_chunks(), m + 1)
+            start = np.vstack([fixed, _clipped(table[:-1] @ table[:-1].T, table[:-1] @ table[-1])])
+            w, best = _pair_swaps(lambda trials: _totals(table, loss, trials) / table.shape[1], start, steps, rounds)
+            own = {k: pa.array([t.column(k)[0].as_py()] * m, t.schema.field(k).type) for k in keys}
+            return pa.table(own | {"model": pa.array(list(models)), "w": pa.array(w), "loss": pa.array([best] * m)})
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name in keys)
+        return narrow.groupBy(*keys).applyInArrow(one, f"{kinds}, model string, w double, loss double")
+    path = scratch(wide.sparkSession, "blend")
+    narrow.write.parquet(path)
+    table = wide.sparkSession.read.schema(narrow.schema).parquet(path)
+    cols = [*models, y]
+    pairs = [(i, j) for i in range(m) for j in range(i, m + 1)]
+    sums = table.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    schema = "model string, w double, loss double"
+    if not sums["n"]:
+        return wide.sparkSession.createDataFrame([], schema)
+    gram, cross = np.zeros((m, m)), np.zeros(m)
+    for i, j in pairs:
+        if j == m:
+            cross[i] = sums[f"s{i}_{j}"]
+        else:
+            gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
+    w, best = _pair_swaps(lambda trials: _losses(table, loss, trials), np.vstack([fixed, _clipped(gram, cross)]), steps, rounds)
+    return wide.sparkSession.createDataFrame([(a, float(b), best) for a, b in zip(models, w)], schema)
 
 
 def residual_target(df: DataFrame, y: str, base: str, out: str = "residual") -> DataFrame:

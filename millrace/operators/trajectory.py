@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,27 +24,61 @@ def kalman_residual(df: DataFrame, id_: str, t: str, cols: Sequence[str], q: flo
 
     The state starts at the first observation with no velocity and unit covariance;
     each further observation predicts, updates, then adds q to the velocity's
-    variance. A trajectory is one array, so this is for histories that fit a row.
+    variance. A null reading predicts only (its innovation is null); an axis without any
+    reading stays null. A trajectory is one array, so this is for histories that fit a
+    row; kalman_steps gives every step.
     """
-    seq = F.sort_array(F.collect_list(F.struct(F.col(t), *[F.col(c) for c in cols])))
+    seq = F.sort_array(F.collect_list(F.struct(F.col(t), *[F.col(c).cast("double").alias(c) for c in cols])))
     grouped = df.groupBy(id_).agg(seq.alias("_seq"), F.count(F.lit(1)).alias("n_obs"))
     out = [id_, "n_obs"]
-    for c in cols:
-        zero = F.lit(0.0)
-        start = F.struct(F.element_at("_seq", 1)[c].alias("x"), zero.alias("v"), F.lit(1.0).alias("a"), zero.alias("b"), F.lit(1.0).alias("d"), F.lit(None).cast("double").alias("e"))
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("x"), F.lit(0.0).alias("v"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1.0).alias("d"), none.alias("e"))
 
+    def reading(c: str):
         def step(s, o):
             x, a, b, d = s["x"] + s["v"], s["a"] + 2 * s["b"] + s["d"], s["b"] + s["d"], s["d"]
             e, total = o[c] - x, a + r
             k0, k1 = a / total, b / total
-            return F.struct((x + k0 * e).alias("x"), (s["v"] + k1 * e).alias("v"), ((1 - k0) * a).alias("a"), ((1 - k0) * b).alias("b"), (d - k1 * b + q).alias("d"), e.alias("e"))
+            first = F.struct(o[c].alias("x"), s["v"].alias("v"), s["a"].alias("a"), s["b"].alias("b"), s["d"].alias("d"), none.alias("e"))
+            predicted = F.struct(x.alias("x"), s["v"].alias("v"), a.alias("a"), b.alias("b"), (d + q).alias("d"), none.alias("e"))
+            updated = F.struct((x + k0 * e).alias("x"), (s["v"] + k1 * e).alias("v"), ((1 - k0) * a).alias("a"), ((1 - k0) * b).alias("b"), (d - k1 * b + q).alias("d"), e.alias("e"))
+            return F.when(s["x"].isNull(), first).when(o[c].isNull(), predicted).otherwise(updated)
+
+        return step
 
-        # columns are built at once, so the loop variable is still this one
-        grouped = grouped.withColumn(f"_{c}", F.aggregate(F.slice("_seq", 2, 1 << 30), start, step))
+    for c in cols:
+        grouped = grouped.withColumn(f"_{c}", F.aggregate("_seq", start, reading(c)))
         out += [F.col(f"_{c}")["x"].alias(f"{c}_state"), F.col(f"_{c}")["v"].alias(f"{c}_velocity"), F.col(f"_{c}")["e"].alias(f"{c}_innovation")]
     return grouped.select(*out)
 
 
+def kalman_steps(df: DataFrame, id_: str, t: str, cols: Sequence[str], q: float, r: float) -> DataFrame:
+    """(id, t, <col>_state, <col>_velocity, <col>_innovation) at every step of the filter of kalman_residual."""
+    names = [f"{c}_{x}" for c in cols for x in ("state", "velocity", "innovation")]
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_, t)]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(t, kind="stable")
+        out = {id_: group[id_], t: group[t]}
+        for c in cols:
+            steps, x, v, a, b, d = [], None, 0.0, 1.0, 0.0, 1.0
+            for o in group[c].astype(float):
+                e = None
+                if x is None:
+                    x = None if o != o else o
+                else:
+                    x, a, b = x + v, a + 2 * b + d, b + d
+                    if o == o:
+                        e, k0, k1 = o - x, a / (a + r), b / (a + r)
+                        x, v, a, b, d = x + k0 * e, v + k1 * e, (1 - k0) * a, (1 - k0) * b, d - k1 * b
+                    d += q
+                steps.append((x, v, e))
+            out |= {f"{c}_{name}": pd.array([s[i] for s in steps], "Float64") for i, name in enumerate(("state", "velocity", "innovation"))}
+        return pd.DataFrame(out)
+
+    return df.select(id_, t, *cols).groupBy(id_).applyInPandas(run, ", ".join([*kinds, *[f"`{n}` double" for n in names]]))
+
+
 def frenet_features(df: DataFrame, id_: str, t: str, x: str, y: str, z: str) -> DataFrame:
     """Speed, unit tangent, normal and binormal, curvature and torsion by central differences; null at the ends and where undefined."""
     by = Window.partitionBy(id_).orderBy(t)

@@ -15,6 +15,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
@@ -26,9 +28,17 @@ def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "p
     return reader.option("header", True).option("mode", "FAILFAST").csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
 
-def write_cache(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write Parquet, one directory per partition value; rows of a value are gathered first so files stay few."""
-    (df.repartition(*partition_by) if partition_by else df).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def write_cache(df: DataFrame, path: str, partition_by: Sequence[str] = (), file_rows: int = 1 << 20) -> None:
+    """Write Parquet, one directory per partition value.
+
+    Rows of a value are gathered first so files stay few: into one task for every
+    ``file_rows`` rows or so of the commonest value, so no value is a task of its own size.
+    """
+    if partition_by:
+        largest = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(-(-largest // file_rows)))
+        df = df.withColumn("_salt", salt).repartition(*partition_by, "_salt").drop("_salt")
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def make_submission(keys: DataFrame, preds: DataFrame, key: Sequence[str], fill: float = 0.0) -> DataFrame:
@@ -40,7 +50,14 @@ def write_submission(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def stack_columns(wide: DataFrame, models: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Long table (key..., model, pred) of a wide one with a column per model, in one pass over it."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in models]))
+    return wide.select(*key, each.alias("_m")).select(*key, "_m.model", "_m.pred")
+
+
 def stack_predictions(sets: Mapping[str, DataFrame], key: Sequence[str]) -> DataFrame:
+    """Long table (key..., model, pred) of separately stored prediction sets; see stack_columns for columns of one table."""
     out = None
     for name, df in sets.items():
         part = df.select(*key, F.lit(name).alias("model"), F.col("pred"))
