@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -74,18 +74,59 @@ def diff_submissions(a: DataFrame, b: DataFrame, key: Sequence[str], tol: float)
     return left.join(right, list(key), "full").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("max_gap"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """df in ranges of about equal size by ``order``, numbered upwards in _part; stored, as Spark samples the rows for the ranges' bounds."""
+    return stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def with_part(df: DataFrame, of_parts: DataFrame, group: str) -> DataFrame:
+    """df with the columns of of_parts (_group, __part, ...), which has one row for each range of a group."""
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("__part"))
+    return df.join(of_parts, same).drop("_group", "__part", "_part")
+
+
 def score_ledger(df: DataFrame, group: str, order: Sequence[str], score: str, higher_is_better: bool) -> DataFrame:
-    """Best so far, gain on the best before, and gain on the first entry."""
-    sign = 1 if higher_is_better else -1
-    by = Window.partitionBy(group).orderBy(*order)
-    best = (F.max if higher_is_better else F.min)(score).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    before = (F.max if higher_is_better else F.min)(score).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return df.select("*", best.alias("best"), (sign * (F.col(score) - before)).alias("gain_on_best"), (sign * (F.col(score) - F.first(score).over(by))).alias("gain_on_first"))
+    """Best so far, gain on the best before, and gain on the first entry.
+
+    A group's entries are windowed range by range; each range takes over the best of the
+    ranges before it. Null scores count for nothing but stay, as does a null group; a
+    group whose first entry has no score has null gains on it.
+    """
+    sign, of, pick = (1, F.max, F.greatest) if higher_is_better else (-1, F.min, F.least)
+    parts = ranged(df, F.col(group), *map(F.col, order))
+    ends = parts.groupBy(group, "_part").agg(of(score).alias("best"), F.min_by(F.struct(score), F.struct(*order)).alias("first"))
+    across = Window.partitionBy(group).orderBy("_part")
+    carried = ends.select(F.col(group).alias("_group"), F.col("_part").alias("__part"), of("best").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"), F.first("first").over(across).alias("_first"))
+    by = Window.partitionBy(group, "_part").orderBy(*order)
+    own = parts.withColumn("_best", of(score).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_before", of(score).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    best, before = pick("_best", "_carry"), pick("_before", "_carry")
+    first = F.col("_first").getField(score)
+    return with_part(own, carried, group).select(*df.columns, best.alias("best"), (sign * (F.col(score) - before)).alias("gain_on_best"), (sign * (F.col(score) - first)).alias("gain_on_first"))
 
 
 def leaderboard(df: DataFrame, competition: str, entrant: str, score: str, higher_is_better: bool) -> DataFrame:
-    """Each entrant's best score, its rank in the competition and the share of entrants ranked no better."""
-    best = df.groupBy(competition, entrant).agg((F.max if higher_is_better else F.min)(score).alias("best"))
-    by = Window.partitionBy(competition)
-    ranked = best.withColumn("rank", F.rank().over(by.orderBy(F.desc("best") if higher_is_better else F.asc("best"))).cast("long"))
-    return ranked.withColumn("top_percent", F.try_divide(100.0 * F.col("rank"), F.count(F.lit(1)).over(by)))
+    """Each entrant's best score, its rank in the competition and the share of entrants ranked no better.
+
+    Ranks are sums over the distinct scores, windowed range by range, so neither a large
+    competition nor a score that many share is one task. Entrants without any score
+    share the last rank if higher is better, else the first.
+    """
+    best = stored(df.groupBy(competition, entrant).agg((F.max if higher_is_better else F.min)(score).alias("best")), "best")
+    order = F.desc("best") if higher_is_better else F.asc("best")
+    parts = ranged(best.groupBy(competition, "best").agg(F.count(F.lit(1)).alias("_n")), F.col(competition), order)
+    all_before = Window.unboundedPreceding, -1
+    of_competition = Window.partitionBy(competition)
+    sums = parts.groupBy(competition, "_part").agg(F.sum("_n").alias("n"))
+    carried = sums.select(F.col(competition).alias("_group"), F.col("_part").alias("__part"), F.sum("n").over(of_competition.orderBy("_part").rowsBetween(*all_before)).alias("_carry"), F.sum("n").over(of_competition).alias("_all"))
+    own = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy(competition, "_part").orderBy(order).rowsBetween(*all_before)))
+    rank = 1 + F.coalesce("_before", F.lit(0)) + F.coalesce("_carry", F.lit(0))
+    ranks = with_part(own, carried, competition).select(F.col(competition).alias("_group"), F.col("best").alias("_best"), rank.cast("long").alias("rank"), "_all")
+    placed = best.join(ranks, F.col(competition).eqNullSafe(F.col("_group")) & F.col("best").eqNullSafe(F.col("_best")))
+    return placed.select(competition, entrant, "best", "rank", F.try_divide(100.0 * F.col("rank"), F.col("_all")).alias("top_percent"))

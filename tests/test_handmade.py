@@ -207,3 +207,37 @@ def test_row_order_changes_nothing(spark, sf_dir):
     a = M.smape_nz(df, "y", "p_lag7", ["store"])
     b = M.smape_nz(df.orderBy(F.rand(1)), "y", "p_lag7", ["store"])
     assert {r.store: round(r.smape, 9) for r in a.collect()} == {r.store: round(r.smape, 9) for r in b.collect()}
+
+
+def test_ledger_and_board_over_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if g == 3 else int(g), i, int(w), None if v < 2 else float(v)) for i, (g, w, v) in enumerate(zip(rng.choice(4, 3000, p=[0.7, 0.1, 0.1, 0.1]), rng.integers(0, 400, 3000), rng.integers(0, 60, 3000)))]
+    df = spark.createDataFrame(rows, "g int, t int, who int, s double")
+    for high in (True, False):
+        better = max if high else min
+        best, first, want = {}, {}, {}
+        for g, t, _, s in rows:
+            first.setdefault(g, s)
+            before = best.get(g)
+            if s is not None:
+                best[g] = s if before is None else better(before, s)
+            gain = lambda x: None if s is None or x is None else (s - x if high else x - s)  # noqa: B023, E731
+            want[t] = (best.get(g), gain(before), gain(first[g]))
+        got = A.score_ledger(df, "g", ["t"], "s", high)
+        assert got.columns == ["g", "t", "who", "s", "best", "gain_on_best", "gain_on_first"]
+        assert {r.t: (r.best, r.gain_on_best, r.gain_on_first) for r in got.collect()} == want
+        tops = {}
+        for g, _, who, s in rows:
+            old = tops.get((g, who))
+            tops[g, who] = s if old is None else old if s is None else better(old, s)
+        board = A.leaderboard(df, "g", "who", "s", high).collect()
+        assert len(board) == len(tops)
+        worst = -math.inf  # null comes last from high to low and first from low to high
+        level = {k: worst if v is None else v for k, v in tops.items()}
+        for r in board:
+            own = [v for (g, _), v in level.items() if g == r.g]
+            at = level[r.g, r.who]
+            rank = 1 + sum(v > at if high else v < at for v in own)
+            assert (r.best, r["rank"]) == (tops[r.g, r.who], rank) and math.isclose(r.top_percent, 100 * rank / len(own))
+    assert A.leaderboard(df.limit(0), "g", "who", "s", True).count() == 0
+    assert A.score_ledger(df.limit(0), "g", ["t"], "s", True).count() == 0
