@@ -339,9 +339,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # one row per distinct line: its first place and count, then the first place of its component
     place = F.struct("doc", "doc_key", "line_no")
     each = materialize(signed.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    near = each.join(roots, each.line == roots.node).select("line", "first", "n", "root")
-    of_root = near.groupBy("root").agg(F.min("first").alias("least"))
-    joined = near.join(of_root, "root").select("line", F.col("least").alias("first"), "n")
+    near = materialize(each.join(roots, each.line == roots.node).select("line", "first", "n", "root"), "near")
+    of_root = materialize(near.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members")), "firsts")
+    joined = join_common(near, of_root, "root", "members").select("line", F.col("least").alias("first"), "n")
     repeated = materialize(joined.union(each.where("n > 1").join(roots.select(F.col("node").alias("line")), "line", "left_anti").select("line", "first", "n")), "repeated")
     places = join_common(signed.select("doc_key", "line_no", "line"), repeated, "line")
     gone = places.where("not (first.doc_key = doc_key and first.line_no = line_no)").groupBy("doc_key").agg(F.collect_set("line_no").alias("_gone"))

@@ -325,6 +325,16 @@ def test_line_dedup_matches_brute_force(docs, empty, rows):
     assert got.count() == len(rows) and lines.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_one_component_of_half_the_lines(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 200))
+    base = text()
+    copies = [base[:at] + chr(65 + i % 26) + base[at + 1 :] for i, at in enumerate(rng.integers(0, 200, 1500).tolist())]
+    rows = [(i, x) for i, x in enumerate([*copies, *[text() for _ in range(1500)]])]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).collect()
+    assert {r.doc_id: r.text for r in found} == {i: "" if 0 < i < 1500 else x for i, x in rows}
+
+
 def test_line_pairs_just_over_the_threshold_are_found(spark):
     rng = random.Random(14)
     pairs = []
