@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import scratch
+from ..sources.tables import ranged, scratch, stored, with_part
 
 
 def pivot_predictions(long: DataFrame, key: Sequence[str], models: Sequence[str]) -> DataFrame:
@@ -18,10 +18,13 @@ def pivot_predictions(long: DataFrame, key: Sequence[str], models: Sequence[str]
 
 
 def weighted_blend(long: DataFrame, key: Sequence[str], weights: DataFrame, renorm: bool = True) -> DataFrame:
-    """Weighted sum of each key's predictions by (model, w); with ``renorm`` over the weights of the models present."""
-    has = F.col("pred").isNotNull()
+    """Weighted sum of each key's predictions by (model, w); with ``renorm`` over the weights of the models present.
+
+    A key none of whose models has both a weight and a prediction stays, with a null blend of 0 models.
+    """
+    has = F.col("pred").isNotNull() & F.col("w").isNotNull()
     total, present = F.sum(F.when(has, F.col("w") * F.col("pred"))), F.sum(F.when(has, F.col("w")))
-    return long.join(weights.select("model", "w"), "model").groupBy(*key).agg((F.try_divide(total, present) if renorm else total).alias("blend"), F.count(F.when(has, 1)).alias("n_models"))
+    return long.join(weights.select("model", "w"), "model", "left").groupBy(*key).agg((F.try_divide(total, present) if renorm else total).alias("blend"), F.count(F.when(has, 1)).alias("n_models"))
 
 
 def inject(df: DataFrame, base: str, new: str, alpha: float, out: str) -> DataFrame:
@@ -37,6 +40,39 @@ def alpha_sweep(df: DataFrame, base: str, new: str, y: str, alphas: Sequence[flo
     return curve.join(F.broadcast(top)).select("alpha", "score", (F.col("alpha") == F.col("_best")).alias("best"))
 
 
+def best_alpha(df: DataFrame, base: str, new: str, y: str, by: Sequence[str] = (), low: float | None = 0.0, high: float | None = 1.0) -> DataFrame:
+    """The injection a with the least mean |y - ((1 - a) * base + a * new)|, exactly: (by..., alpha, mae, n_scored).
+
+    The loss is convex and piecewise linear in a, with a kink of weight |new - base| where
+    a row is met exactly, at a = (y - base) / (new - base). Its minimum is the weighted
+    median of the kinks, of a flat stretch the least a, moved into [low, high] (null: no
+    bound). Weights are added up per kink, sorted into ranges and summed range by range;
+    each range takes over the weight of those before it, so no group is one task. Rows
+    with a null count for nothing; a group whose rows all have new = base has alpha null
+    and the base's own loss; a group without a full row doesn't appear.
+    """
+    keys = list(by)
+    of = lambda c: F.col(c).cast("double")
+    rows = df.select(F.struct(F.lit(0).alias("_0"), *keys).alias("_key"), of(base).alias("_b"), (of(new) - of(base)).alias("_d"), (of(y) - of(base)).alias("_r")).dropna(subset=["_b", "_d", "_r"])
+    kinks = rows.where("_d <> 0").groupBy("_key", (F.col("_r") / F.col("_d")).alias("_a")).agg(F.sum(F.abs("_d")).alias("_w"))
+    parts = ranged(kinks, F.col("_key"), F.col("_a"))
+    sums = parts.groupBy("_key", "_part").agg(F.sum("_w").alias("w"))
+    across = Window.partitionBy("_key")
+    before = F.sum("w").over(across.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = sums.select(F.col("_key").alias("_group"), F.col("_part").alias("__part"), F.coalesce(before, F.lit(0.0)).alias("_before"), F.sum("w").over(across).alias("_all"))
+    own = F.sum("_w").over(Window.partitionBy("_key", "_part").orderBy("_a").rowsBetween(Window.unboundedPreceding, 0))
+    passed = with_part(parts.withColumn("_own", own), carried, "_key").where(2 * (F.col("_before") + F.col("_own")) >= F.col("_all"))
+    bounded = F.min("_a")
+    if low is not None:
+        bounded = F.greatest(bounded, F.lit(float(low)))
+    if high is not None:
+        bounded = F.least(bounded, F.lit(float(high)))
+    best = passed.groupBy("_key").agg(bounded.alias("alpha"))
+    met = rows.join(best.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"), "left")
+    gap = F.abs(F.col("_r") - F.coalesce("alpha", F.lit(0.0)) * F.col("_d"))
+    return met.groupBy("_key").agg(F.first("alpha").alias("alpha"), F.avg(gap).alias("mae"), F.count(F.lit(1)).alias("n_scored")).select(*[F.col(f"_key.{k}").alias(k) for k in keys], "alpha", "mae", "n_scored")
+
+
 def _rows(df: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFrame:
     """One aggregate over df whose results become a row per entry of ``rows``."""
     flat = {(i, k): c for i, r in enumerate(rows) for k, c in r.items()}
@@ -51,10 +87,54 @@ def _corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _pair_moments(x: np.ndarray) -> np.ndarray:
+    """(n, mean of a, mean of b, squares of a, squares of b, products) of each pair of rows of x over the columns where both are there, by matrix products."""
+    seen = ~np.isnan(x)
+    mid = np.where(seen.any(1), np.nanmean(np.where(seen.any(1)[:, None], x, 0.0), 1), 0.0)
+    off, there = np.where(seen, x - mid[:, None], 0.0), seen.astype(float)
+    n, sums, squares = there @ there.T, off @ there.T, (off * off) @ there.T
+    few = np.maximum(n, 1)
+    return np.stack([n, sums / few + mid[:, None], (sums / few).T + mid[None], squares - sums**2 / few, (squares - sums**2 / few).T, off @ off.T - sums * sums.T / few])
+
+
+def _joined(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together, from those of each."""
+    n, share = np.maximum(p[0] + q[0], 1), q[0] / np.maximum(p[0] + q[0], 1)
+    da, db, w = q[1] - p[1], q[2] - p[2], p[0] * q[0] / n
+    # a side without rows says nothing, whatever its means
+    return np.stack([p[0] + q[0], p[1] + da * share, p[2] + db * share, p[3] + q[3] + da * da * w, p[4] + q[4] + db * db * w, p[5] + q[5] + da * db * w])
+
+
 def prediction_correlation(wide: DataFrame, models: Sequence[str], y: str | None = None) -> DataFrame:
-    """Correlation of each pair of models' outputs, or of their errors if ``y`` is given."""
-    of = lambda m: F.col(m) if y is None else F.col(m) - F.col(y)
-    return _rows(wide, [{"a": F.first(F.lit(a)), "b": F.first(F.lit(b)), "corr": _corr(of(a), of(b))} for a, b in combinations(models, 2)])
+    """Correlation of each pair of models' outputs, or of their errors if ``y`` is given, over the rows where both are there: (a, b, corr).
+
+    One pass: each Arrow batch gives the centred moments of all pairs as matrix
+    products, a task joins those of its batches, and each pair's few rows, one a task,
+    are joined in turn. Null where one of the two is constant or there are no rows;
+    NaN counts as missing; pairs come from the order of ``models``.
+    """
+    m = len(models)
+    pairs = np.triu_indices(m, 1)
+    of = [F.col(c).cast("double") if y is None else F.col(c).cast("double") - F.col(y).cast("double") for c in models]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, m, m))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                total = _joined(total, _pair_moments(_rows_of(batch.slice(at, 8192), m)))
+        own = total[:, pairs[0], pairs[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs[0]), dtype=np.int32)), *(pa.array(c) for c in own)], ["pair", "n", "a", "b", "aa", "bb", "ab"])
+
+    parts = wide.select(*[c.alias(f"_{i}") for i, c in enumerate(of)]).mapInArrow(run, "pair int, n double, a double, b double, aa double, bb double, ab double").where("n > 0")
+    by = Window.partitionBy("pair")
+    centred = parts.withColumns({f"_{c}": F.col(c) - F.sum(F.col("n") * F.col(c)).over(by) / F.sum("n").over(by) for c in "ab"})
+    square = lambda c: F.sum(F.col(c) + F.col("n") * F.col(f"_{c[0]}") * F.col(f"_{c[1]}"))
+    sums = centred.groupBy("pair").agg(square("aa").alias("aa"), square("bb").alias("bb"), square("ab").alias("ab"), F.sum("n").alias("n"), F.max(F.abs("a")).alias("la"), F.max(F.abs("b")).alias("lb"))
+    # what is left of a constant is the rounding of its mean
+    least = lambda c, size: F.col(c) > F.col("n") * (F.lit(1e-15) * F.col(size)) ** 2
+    corr = F.when(least("aa", "la") & least("bb", "lb"), F.col("ab") / F.sqrt("aa") / F.sqrt("bb"))
+    names = wide.sparkSession.createDataFrame([(k, models[i], models[j]) for k, (i, j) in enumerate(zip(*pairs))], "pair int, a string, b string")
+    return names.join(sums.select("pair", corr.alias("corr")), "pair", "left").select("a", "b", "corr")
 
 
 def complement_screen(wide: DataFrame, base: str, candidates: Sequence[str], y: str) -> DataFrame:
@@ -78,7 +158,7 @@ def _totals(table: np.ndarray, loss: str, trials: np.ndarray) -> np.ndarray:
 
 
 def _rows_of(batch: pa.RecordBatch | pa.Table, n: int) -> np.ndarray:
-    return np.stack([np.asarray(batch.column(i).to_numpy(), float) for i in range(n)])
+    return np.stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), float) for i in range(n)])
 
 
 def _losses(df: DataFrame, loss: str, trials: np.ndarray) -> np.ndarray:
@@ -112,10 +192,9 @@ def _pair_swaps(losses, start: np.ndarray, steps: Sequence[float], rounds: int)
     for w in (start[scores.argmin()], np.random.default_rng(0).dirichlet(np.ones(m))):
         best = losses(w[None])[0]
         for _ in range(rounds):
-            moves = [(i, j, s) for i in range(m) for j in range(m) if i != j for s in steps if w[i] >= s - 1e-12]
-            if not moves:
+            trials = _moves(w, steps)
+            if not len(trials):
                 break
-            trials = np.array([w + s * (np.eye(m)[j] - np.eye(m)[i]) for i, j, s in moves])
             scores = losses(trials)
             if scores.min() >= best - 1e-12:
                 break
@@ -125,31 +204,125 @@ def _pair_swaps(losses, start: np.ndarray, steps: Sequence[float], rounds: int)
     return np.array(w), float(best)
 
 
-def fit_blend_weights(wide: DataFrame, models: Sequence[str], y: str, loss: str = "absolute", by: Sequence[str] = (), steps: Sequence[float] = (0.002, 0.01, 0.05, 0.2), rounds: int = 60) -> DataFrame:
+def _fit_in_tasks(narrow: DataFrame, keys: Sequence[str], models: Sequence[str], y: str, loss: str, steps: Sequence[float], rounds: int) -> DataFrame:
+    """Each group's weights, found in a task of its own."""
+    m = len(models)
+    fixed = np.vstack([np.full(m, 1 / m), np.eye(m)])
+
+    def one(t: pa.Table) -> pa.Table:
+        table = _rows_of(t.select([*models, y]).combine_chunks(), m + 1)
+        start = np.vstack([fixed, _clipped(table[:-1] @ table[:-1].T, table[:-1] @ table[-1])])
+        w, best = _pair_swaps(lambda trials: _totals(table, loss, trials) / table.shape[1], start, steps, rounds)
+        own = {k: pa.array([t.column(k)[0].as_py()] * m, t.schema.field(k).type) for k in keys}
+        return pa.table(own | {"model": pa.array(list(models)), "w": pa.array(w), "loss": pa.array([best] * m)})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name in keys)
+    return narrow.groupBy(*keys).applyInArrow(one, f"{kinds}, model string, w double, loss double")
+
+
+def _moves(w: np.ndarray, steps: Sequence[float]) -> np.ndarray:
+    """All weight vectors one step of weight from one model to another away."""
+    m = len(w)
+    moves = [(i, j, s) for i in range(m) for j in range(m) if i != j for s in steps if w[i] >= s - 1e-12]
+    return np.array([w + s * (np.eye(m)[j] - np.eye(m)[i]) for i, j, s in moves]).reshape(-1, m)
+
+
+def _fit_across_tasks(large: DataFrame, models: Sequence[str], y: str, loss: str, steps: Sequence[float], rounds: int) -> DataFrame:
+    """(_g, model, w, loss) of groups that no task need hold: the searches of _pair_swaps for all groups at once.
+
+    The state has a row per group and search: the best weights so far and the trials to
+    score next. A round joins it to the rows, sums each trial's loss per Arrow batch,
+    adds the sums up per search and takes the best trial, or closes the search if none
+    is better. Rows of closed searches' groups are read no more. State stays a table,
+    written each round.
+    """
+    m = len(models)
+    packed = "_g long, search int, n long, totals array<double>, w array<double>, best double, trials array<double>"
+    state_kind = "_g long, search int, w array<double>, best double, trials array<double>, closed boolean"
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = np.asarray(batch.column(0))
+            table = _rows_of(batch.select([*models, y]), m + 1)
+            for own in np.unique(g):
+                x = table[:, g == own]
+                yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([(x @ x.T).ravel()], pa.list_(pa.float64()))], ["_g", "sums"])
+
+    def begun(t: pa.Table) -> pa.Table:
+        total = np.sum([r.as_py() for r in t["sums"]], axis=0).reshape(m + 1, m + 1)
+        starts = np.vstack([np.full(m, 1 / m), np.eye(m), _clipped(total[:-1, :-1], total[:-1, -1])])
+        other = np.random.default_rng(0).dirichlet(np.ones(m))[None]
+        g = t["_g"][0].as_py()
+        return _state([(g, i, x[0], np.inf, x, False) for i, x in enumerate((starts, other))])
+
+    def _state(rows: list[tuple]) -> pa.Table:
+        array = pa.list_(pa.float64())
+        kinds = {"_g": pa.int64(), "search": pa.int32(), "w": array, "best": pa.float64(), "trials": array, "closed": pa.bool_()}
+        return pa.table({k: pa.array([np.ravel(r[i]) if kind == array else r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds.items())})
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, search = np.asarray(batch.column(0)), np.asarray(batch["search"])
+            table = _rows_of(batch.select([*models, y]), m + 1)
+            for own, of in {(int(a), int(b)) for a, b in zip(g, search)}:
+                rows = (g == own) & (search == of)
+                first = int(np.argmax(rows))
+                w, best, trials = (batch[c][first].as_py() for c in ("w", "best", "trials"))
+                totals = _totals(table[:, rows], loss, np.reshape(trials, (-1, m)))
+                array = pa.list_(pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own]), pa.array([of], pa.int32()), pa.array([int(rows.sum())]), pa.array([totals], array), pa.array([w], array), pa.array([best], pa.float64()), pa.array([trials], array)],
+                    ["_g", "search", "n", "totals", "w", "best", "trials"],
+                )
+
+    def moved(t: pa.Table) -> pa.Table:
+        g, search, w, best = (t[c][0].as_py() for c in ("_g", "search", "w", "best"))
+        losses = np.sum([r.as_py() for r in t["totals"]], axis=0) / sum(t["n"].to_pylist())
+        trials = np.reshape(t["trials"][0].as_py(), (-1, m))
+        if losses.min() >= best - 1e-12:
+            return _state([(g, search, w, best, np.zeros(0), True)])
+        w, best = np.maximum(trials[losses.argmin()], 0), float(losses.min())
+        after = _moves(w, steps)
+        return _state([(g, search, w, best, after, not len(after))])
+
+    state = stored(large.mapInArrow(gram, "_g long, sums array<double>").groupBy("_g").applyInArrow(begun, state_kind), "state")
+    for _ in range(rounds + 1):
+        open_ = state.where("not closed")
+        if open_.isEmpty():
+            break
+        trials = large.join(open_.drop("closed"), "_g").select("_g", *models, y, "search", "w", "best", "trials")
+        again = trials.mapInArrow(scored, packed).groupBy("_g", "search").applyInArrow(moved, state_kind)
+        state = stored(state.where("closed").unionByName(again), "state")
+    best = state.groupBy("_g").agg(F.min(F.struct("best", "w")).alias("_b"))
+    each = F.posexplode("_b.w").alias("_i", "w")
+    named = F.array(*map(F.lit, models))
+    return best.select("_g", F.col("_b.best").alias("loss"), each).select("_g", F.element_at(named, F.col("_i") + 1).alias("model"), "w", "loss")
+
+
+def fit_blend_weights(wide: DataFrame, models: Sequence[str], y: str, loss: str = "absolute", by: Sequence[str] = (), steps: Sequence[float] = (0.002, 0.01, 0.05, 0.2), rounds: int = 60, task_rows: int = 1 << 17) -> DataFrame:
     """Weights >= 0 that sum to 1 with the least mean loss, by pair swaps: (by..., model, w, loss).
 
     The search starts from the best of equal weights, each single model and the clipped
     squared-error solution, and again from a random point. Each round moves a step of
     weight from one model to another, tries all such moves on the cluster at once and
     keeps the best, until none helps; the narrow input is written once and only weight
-    vectors and their losses are on the driver. With ``by`` every group is fitted in a
-    task of its own, so a group must fit there. Rows with a null are left out; without
+    vectors and their losses are on the driver. With ``by`` a group of up to
+    ``task_rows`` rows is fitted in a task of its own; all larger ones are fitted at once,
+    their trials scored over all tasks and summed by (group, search) each round. Rows with a null are left out; without
     rows there are no weights; a single model has weight 1.
     """
     m, keys = len(models), list(by)
     narrow = wide.select(*keys, *[F.col(c).cast("double") for c in [*models, y]]).dropna(subset=[*models, y])
     fixed = np.vstack([np.full(m, 1 / m), np.eye(m)])
     if keys:
-
-        def one(t: pa.Table) -> pa.Table:
-            table = _rows_of(t.select([*models, y]).combine_chunks(), m + 1)
-            start = np.vstack([fixed, _clipped(table[:-1] @ table[:-1].T, table[:-1] @ table[-1])])
-            w, best = _pair_swaps(lambda trials: _totals(table, loss, trials) / table.shape[1], start, steps, rounds)
-            own = {k: pa.array([t.column(k)[0].as_py()] * m, t.schema.field(k).type) for k in keys}
-            return pa.table(own | {"model": pa.array(list(models)), "w": pa.array(w), "loss": pa.array([best] * m)})
-
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name in keys)
-        return narrow.groupBy(*keys).applyInArrow(one, f"{kinds}, model string, w double, loss double")
+        size = narrow.groupBy(F.struct(*keys).alias("_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows)
+        if size.isEmpty():
+            return _fit_in_tasks(narrow, keys, models, y, loss, steps, rounds)
+        groups = stored(size.select("_key", F.monotonically_increasing_id().alias("_g")), "groups")
+        same = F.struct(*keys).eqNullSafe(F.col("_key"))
+        large = stored(narrow.join(groups, same).select("_g", *models, y), "large")
+        found = _fit_across_tasks(large, models, y, loss, steps, rounds).join(groups, "_g").select(*[F.col(f"_key.{k}").alias(k) for k in keys], "model", "w", "loss")
+        return _fit_in_tasks(narrow.join(groups, same, "left_anti"), keys, models, y, loss, steps, rounds).unionByName(found)
     path = scratch(wide.sparkSession, "blend")
     narrow.write.parquet(path)
     table = wide.sparkSession.read.schema(narrow.schema).parquet(path)

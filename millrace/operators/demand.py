@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import BLOCK_ROWS, in_blocks
+
 
 def densify(df: DataFrame, keys: Sequence[str], day: str, value: str, fill: float = 0.0) -> DataFrame:
     """Every key on every day between the first and the last day of the table; ``fill`` where there was no row.
@@ -25,10 +27,11 @@ def nz_mean(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(v).alias("nz_mean"), F.count(v).alias("n_nz"))
 
 
-def trailing_nz_mean(df: DataFrame, keys: Sequence[str], day: str, value: str, n: int, out: str = "trailing_nz_mean") -> DataFrame:
-    """Mean of the values above zero over the ``n`` rows before the current one."""
-    by = Window.partitionBy(*keys).orderBy(day).rowsBetween(-n, -1)
-    return df.withColumn(out, F.avg(F.when(F.col(value) > 0, F.col(value))).over(by))
+def trailing_nz_mean(df: DataFrame, keys: Sequence[str], day: str, value: str, n: int, out: str = "trailing_nz_mean", rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean of the values above zero over the ``n`` rows before the current one; series of more than ``rows`` rows are windowed in blocks."""
+    by = Window.partitionBy(*keys, "_block").orderBy(day).rowsBetween(-n, -1)
+    found = in_blocks(df, keys, [day], n, 0, rows).withColumn(out, F.avg(F.when(F.col(value) > 0, F.col(value))).over(by))
+    return found.where(~F.col("_guest")).drop("_block", "_guest")
 
 
 def blend_nz_mean(df: DataFrame, group: str, p: str, nz: str, weights: DataFrame, out: str = "blend") -> DataFrame:

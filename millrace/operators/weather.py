@@ -7,19 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import ranged, stored, with_part
+from .tiles import merged_moments, moments_of, nearest_points, points_within, tile_tree
+
 
 def asof_issue(targets: DataFrame, forecasts: DataFrame, key: str, t: str, issue: str, value: str, tie: str) -> DataFrame:
     """For each target row the newest forecast of its key issued at or before ``t`` (null if none).
 
-    Both sides are stacked and sorted once per key; at equal times forecasts come
-    before targets, and of equal forecasts the one with the greater ``tie`` wins.
+    Both sides are sorted together into ranges of (key, time); at equal times forecasts
+    come before targets, and of equal forecasts the one with the greater ``tie``, then
+    value, wins. Each range takes over the last forecast of the ranges before it, so a
+    key of any size is many tasks. Null keys match nothing; forecasts without a time
+    don't count; targets without one get null.
     """
-    left = targets.select(F.col(key), F.col(t).alias("_t"), F.col(tie), F.lit(1).alias("_side"), F.lit(None).cast(forecasts.schema[issue].dataType).alias("issued"), F.lit(None).cast(forecasts.schema[value].dataType).alias("issued_value"))
-    right = forecasts.select(F.col(key), F.col(issue).alias("_t"), F.col(tie), F.lit(0).alias("_side"), F.col(issue).alias("issued"), F.col(value).alias("issued_value"))
-    by = Window.partitionBy(key).orderBy("_t", "_side", tie).rowsBetween(Window.unboundedPreceding, 0)
+    kinds = {c: forecasts.schema[c].dataType for c in (issue, value)}
+    none = F.lit(None)
+    left = targets.select(F.col(key), F.col(t).alias("_t"), F.col(tie).alias("_tie"), F.lit(1).alias("_side"), none.cast(kinds[issue]).alias("issued"), none.cast(kinds[value]).alias("issued_value"))
+    right = forecasts.where(F.col(key).isNotNull() & F.col(issue).isNotNull()).select(F.col(key), F.col(issue).alias("_t"), F.col(tie).alias("_tie"), F.lit(0).alias("_side"), F.col(issue).alias("issued"), F.col(value).alias("issued_value"))
+    order = ["_t", "_side", "_tie", "issued_value"]
+    parts = ranged(left.unionByName(right), *map(F.col, [key, *order]))
+    of_part = parts.groupBy(key, "_part").agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_tie", "issued_value", "issued"))).alias("_end"))
+    across = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = of_part.select(F.col(key).alias("_group"), F.col("_part").alias("__part"), F.last("_end", ignorenulls=True).over(across).alias("_carry"))
+    by = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     found = F.last(F.when(F.col("_side") == 0, F.struct("issued", "issued_value")), ignorenulls=True).over(by)
-    both = left.unionByName(right).withColumn("_f", found).where("_side = 1")
-    return both.select(key, F.col("_t").alias(t), tie, F.col("_f.issued").alias("issued"), F.col("_f.issued_value").alias("issued_value"))
+    both = with_part(parts.withColumn("_own", found).where("_side = 1"), carried, key)
+    latest = F.coalesce("_own", F.when(F.col("_carry").isNotNull(), F.struct("_carry.issued", "_carry.issued_value")))
+    return both.withColumn("_f", latest).select(key, F.col("_t").alias(t), F.col("_tie").alias(tie), F.col("_f.issued").alias("issued"), F.col("_f.issued_value").alias("issued_value"))
 
 
 def align_sources(fc: DataFrame, key: str, valid: str, sources: Sequence[str], cols: Sequence[str], src: str = "src") -> DataFrame:
@@ -29,15 +43,16 @@ def align_sources(fc: DataFrame, key: str, valid: str, sources: Sequence[str], c
     return wide.select("*", *[(F.col(f"{c}_{s}") - F.col(f"{c}_{sources[0]}")).alias(f"{c}_{s}_diff") for s in sources[1:] for c in cols])
 
 
-def cell_weights(sites: DataFrame, grid: DataFrame, k: int, power: float) -> DataFrame:
+def cell_weights(sites: DataFrame, grid: DataFrame, k: int, power: float, leaf: int = 64, fan: int = 16) -> DataFrame:
     """(site, cell, weight): inverse-distance weights of the k nearest cells, by distance then cell; a cell at distance 0 stands alone.
 
-    The grid is static geometry of bounded size, so it is the side that is broadcast.
+    Cells are found down a tree of tiles (tiles.py), so a site meets a few tiles of a
+    large grid. Sites and cells without finite coordinates take no part; a site's rows
+    must agree on its place.
     """
-    d = F.sqrt((F.col("sy") - F.col("gy")) ** 2 + (F.col("sx") - F.col("gx")) ** 2)
-    near = sites.join(F.broadcast(grid)).withColumn("d", d)
+    tree = tile_tree(grid.select("cell", "gy", "gx"), "cell", "gy", "gx", leaf, fan)
+    near = nearest_points(sites, tree, k, "site", "sy", "sx", "cell", "gy", "gx")
     by = Window.partitionBy("site")
-    near = near.withColumn("_n", F.row_number().over(by.orderBy("d", "cell"))).where(F.col("_n") <= k)
     w = F.when(F.min("d").over(by) == 0, (F.col("d") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.pow("d", F.lit(power))))
     return near.select("site", "cell", w.alias("weight")).where("weight > 0")
 
@@ -49,14 +64,30 @@ def grid_to_site(sites: DataFrame, grid: DataFrame, field: DataFrame, k: int, po
     return field.join(w, "cell").groupBy("site", *by).agg(*means, F.count(F.lit(1)).alias("n_cells"))
 
 
-def field_stats(sites: DataFrame, grid: DataFrame, field: DataFrame, radius: float, col: str, by: Sequence[str]) -> DataFrame:
-    """Mean, spread, least, greatest and the slopes in y and x of a field within ``radius`` of each site."""
-    d = F.sqrt((F.col("sy") - F.col("gy")) ** 2 + (F.col("sx") - F.col("gx")) ** 2)
-    near = sites.join(F.broadcast(grid), d <= radius).select("site", "cell", "gy", "gx")
-    v = F.col(col)
-    return field.join(near, "cell").groupBy("site", *by).agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("spread"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.regr_slope(v, F.col("gy")).alias("slope_y"), F.regr_slope(v, F.col("gx")).alias("slope_x")
-    )
+def field_stats(sites: DataFrame, grid: DataFrame, field: DataFrame, radius: float, col: str, by: Sequence[str], leaf: int = 64, fan: int = 16) -> DataFrame:
+    """Mean, spread, least, greatest and the slopes in y and x of a field within ``radius`` of each site.
+
+    Tiles of the grid that lie wholly within a circle give their stored moments; only
+    cells of tiles that its edge cuts are met one by one. Null values count for nothing
+    (a site with only such values has null statistics); slopes are null where all cells
+    share the coordinate.
+    """
+    keys = list(by)
+    tree = tile_tree(grid.select("cell", "gy", "gx"), "cell", "gy", "gx", leaf, fan)
+    inside, single = points_within(sites, tree, radius, "site", "sy", "sx", "cell", "gy", "gx")
+    values = field.select("cell", *keys, F.col(col).alias("_v"))
+    found = moments_of(values.join(single, "cell"), ["site", *keys], "_v", "gy", "gx")
+    moments = moments_of(values.join(tree.points, "cell"), ["tile", *keys], "_v", "gy", "gx")
+    for i, whole in enumerate(inside):
+        if i:
+            moments = merged_moments(moments.withColumn("tile", F.expr(f"tile div {tree.fan}")), ["tile", *keys])
+        if len(inside) > 1:
+            moments = stored(moments, "moments")
+        found = found.unionByName(whole.join(moments, "tile").drop("tile"))
+    m = merged_moments(found, ["site", *keys])
+    slope = lambda c: F.when(F.col(f"m_{c}0") < F.col(f"m_{c}1"), F.try_divide(F.col(f"m_v{c}"), F.col(f"m_{c}{c}")))
+    spread = F.when(F.col("m_n") > 0, F.sqrt(F.try_divide(F.col("m_vv"), F.col("m_n"))))
+    return m.select("site", *keys, F.col("m_v").alias("mean"), spread.alias("spread"), F.col("m_v0").alias("least"), F.col("m_v1").alias("greatest"), slope("y").alias("slope_y"), slope("x").alias("slope_x"))
 
 
 def wind_physics(df: DataFrame, u: str, v: str, temp: str | None = None, pressure: str | None = None, z_from: float = 10.0, z_to: float = 100.0, alpha: float = 0.143) -> DataFrame:
