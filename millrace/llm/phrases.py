@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import positions
 from .common import materialize
 
 #: A summary holds up to SLACK * mass / threshold counters, so it errs by less than threshold / SLACK.
 SLACK = 4
 #: Text bytes that one hash partition stands for; the number of partitions follows the corpus, from 2 ** 6 to 2 ** 20.
-PART_BYTES = 1 << 23
+PART_BYTES = 1 << 21
 #: Bits of the candidate filter that tasks of the second pass hold: one per FILTER_BYTES bytes of text, 2 ** 29 (64 MB) at most.
 FILTER_BYTES = 8
 MOST_FILTER_BITS = 29
 #: Text bytes a task splits at a time, and phrase occurrences it counts before it hands its counts on.
-LOT_BYTES = 1 << 21
-LOT_PHRASES = 1 << 21
+LOT_BYTES = 1 << 19
+LOT_PHRASES = 1 << 20
 
 WORD, SPACE, BREAK = 0, 1, 2
 CLASSES = np.zeros(256, np.uint8)
@@ -37,32 +40,57 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2 ** 64; those of a usual lot are kept."""
+    usual = LOT_BYTES + (1 << 17)
+    return _powers(base, usual)[:n] if n <= usual else _powers.__wrapped__(base, n)
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``data`` one behind the other, ``gap`` spaces after each, and where each begins."""
+    to = np.cumsum(sizes + gap) - sizes - gap
+    out = np.full(int(sizes.sum()) + gap * len(sizes), 0x20, np.uint8)
+    inside = np.arange(int(sizes.sum())) + np.repeat(gap * np.arange(len(sizes)), sizes)
+    out[inside] = data[inside + np.repeat(starts - to, sizes)]
+    return out, to
+
+
 class Lot:
-    """The words of some texts: where they lie in one buffer, their piece, text and group, and two hashes each."""
+    """The words of some texts, one space apart in one buffer: where they lie, their piece and text, and two hashes each."""
 
     def __init__(self, texts: list[bytes], groups: list[str], group_hashes: list[int]):
-        self.data, self.groups = b"\n".join(texts) + b"\n", groups
-        raw = np.frombuffer(self.data, np.uint8)
+        self.groups = groups
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         kind = CLASSES[raw]
         edge = np.diff((kind == WORD).view(np.int8), prepend=np.int8(0))
-        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.piece = np.searchsorted(np.flatnonzero(kind == BREAK), self.starts)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.piece = np.searchsorted(np.flatnonzero(kind == BREAK), starts).astype(np.int32)
         bounds = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        self.text = np.searchsorted(bounds, self.starts, side="right")
-        self.salt = np.array(group_hashes, np.int64).view(np.uint64)[self.text]
-        raw = raw.astype(np.uint64) + np.uint64(1)
-        self.words = [self._hash(raw, b) for b in BASES]
-
-    def _hash(self, raw: np.ndarray, base: int) -> np.ndarray:
-        up, down = powers(base, len(raw)), powers(pow(base, -1, 1 << 64), len(raw))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up, dtype=np.uint64)])
-        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.text = np.searchsorted(bounds, starts, side="right").astype(np.int32)
+        self.data, self.starts = gathered(raw, starts, ends - starts, 1)
+        self.ends = self.starts + (ends - starts)
+        self.salts = np.array(group_hashes, np.int64).view(np.uint64)
+        self.words: dict[int, np.ndarray] = {}
+
+    def word_hashes(self, which: int) -> np.ndarray:
+        """Polynomial hashes of the words by differences of running sums, kept until ``words`` is cleared."""
+        if which not in self.words:
+            base, size = BASES[which], len(self.data)
+            sums = np.zeros(size + 1, np.uint64)
+            terms = self.data + np.uint64(1)
+            terms *= powers(base, size)
+            np.cumsum(terms, out=sums[1:])
+            found = sums[self.ends] - sums[self.starts]
+            found *= powers(pow(base, -1, 1 << 64), size)[self.starts]
+            self.words[which] = mixed(found + (self.ends - self.starts).astype(np.uint64))
+        return self.words[which]
 
     def places(self, n: int) -> np.ndarray:
         """First words of all runs of n words within a piece."""
@@ -70,23 +98,20 @@ class Lot:
 
     def hashes(self, at: np.ndarray, n: int, which: int = 0) -> np.ndarray:
         """Hash of the n words from each place on, and of their group."""
-        h = self.salt[at] + np.uint64(n)
+        h, words = self.salts[self.text[at]] + np.uint64(n), self.word_hashes(which)
         for i in range(n):
-            h = mixed(h * np.uint64(BASES[which]) + self.words[which][at + i])
+            h = mixed(h * np.uint64(BASES[which]) + words[at + i])
         return h
 
-    def phrase(self, at: int, n: int) -> str:
-        return b" ".join(self.data[s:e] for s, e in zip(self.starts[at : at + n], self.ends[at : at + n])).decode()
-
 
 def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[Lot]:
     """The texts of Arrow batches of (grp, salt, text) in lots of LOT_BYTES or so, A to Z lowered."""
     for batch in batches:
         texts, groups, salts, size = [], [], [], 0
-        for group, salt, text in zip(*(c.to_pylist() for c in batch.columns)):
-            texts.append((text or "").encode().lower())
-            groups.append(group)
-            salts.append(salt)
+        for group, salt, text in zip(*batch.columns):
+            texts.append((text.as_py() or b"").lower())
+            groups.append(group.as_py())
+            salts.append(salt.as_py())
             size += len(texts[-1]) + 1
             if size >= LOT_BYTES:
                 yield Lot(texts, groups, salts)
@@ -147,8 +172,11 @@ def candidate_filter(rows: DataFrame, max_words: int, threshold: int, part_bits:
 
         def sent() -> pa.RecordBatch:
             h = np.concatenate(waiting) >> np.uint64(32 - part_bits)
-            h, counts = added(h, np.ones(len(h), np.int64))
-            part, keys, counts = h >> np.uint64(32), h.astype("<u4"), counts.astype("<u4")
+            waiting.clear()
+            h.sort()
+            once = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+            counts, h = np.diff(once, append=len(h)).astype("<u4"), h[once]
+            part, keys = h >> np.uint64(32), h.astype("<u4")
             first = np.flatnonzero(np.diff(part, prepend=~part[:1]))
             cuts = list(zip(first, [*first[1:], len(part)]))
             blobs = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (keys, counts)]
@@ -158,7 +186,6 @@ def candidate_filter(rows: DataFrame, max_words: int, threshold: int, part_bits:
             waiting += [lot.hashes(lot.places(n), n) for n in range(1, max_words + 1)]
             if sum(map(len, waiting)) >= LOT_PHRASES:
                 yield sent()
-                waiting = []
         if sum(map(len, waiting)):
             yield sent()
 
@@ -186,7 +213,7 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, threshold: int = 10, grou
     """
     spark = docs.sparkSession
     grp = F.coalesce(F.col(group).cast("string"), F.lit("und"))
-    rows = docs.select(grp.alias("grp"), F.xxhash64(grp).alias("salt"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(grp.alias("grp"), F.xxhash64(grp).alias("salt"), F.col(text).cast("string").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bits = min(20, max(6, (size // PART_BYTES).bit_length()))
     filter_bits = min(MOST_FILTER_BITS, max(part_bits + 9, (size // FILTER_BYTES).bit_length()))
@@ -195,36 +222,52 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, threshold: int = 10, grou
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, waiting = held.value, []
 
-        def counted() -> pa.RecordBatch:
-            out: list[tuple[str, str, int, int]] = []
-            for lot, *_ in waiting:
-                out += [(lot.groups[i], "", 0, int(k)) for i, k in enumerate(np.bincount(lot.text, minlength=len(lot.groups)))]
+        def counted() -> Iterator[pa.RecordBatch]:
+            totals: Counter[str] = Counter()
+            for lot, _ in waiting:
+                for group, k in zip(lot.groups, np.bincount(lot.text, minlength=len(lot.groups)).tolist()):
+                    totals[group] += k
+            yield batch_of(pa.array(list(totals)), pa.array([""] * len(totals)), 0, np.array(list(totals.values())))
+            names = {group: i for i, group in enumerate(totals)}
+            data = np.concatenate([lot.data for lot, _ in waiting])
+            bases = np.cumsum([0, *(len(lot.data) for lot, _ in waiting)])
             for n in range(1, max_words + 1):
-                own = [(lot, at[n], h[n]) for lot, at, h in waiting]
-                of, at, h = np.repeat(np.arange(len(own)), [len(x[1]) for x in own]), np.concatenate([x[1] for x in own]), np.concatenate([x[2] for x in own])
-                again = np.concatenate([lot.hashes(places, n, 1) for lot, places, _ in own])
-                order = np.lexsort((again, h))
-                first = np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]).astype(bool) | np.diff(again[order], prepend=~again[order][:1]).astype(bool))
-                for i, f in zip(order[first], np.diff([*first, len(order)])):
-                    lot = own[of[i]][0]
-                    out.append((lot.groups[lot.text[at[i]]], lot.phrase(at[i], n), n, int(f)))
-            kinds = pa.string(), pa.string(), pa.int32(), pa.int64()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["grp", "phrase", "n_words", "f"])
+                parts = []
+                for base, (lot, found) in zip(bases, waiting):
+                    at, *hashes = found[n]
+                    of = np.array([names[g] for g in lot.groups], np.int32)[lot.text[at]]
+                    parts.append((base + lot.starts[at], base + lot.ends[at + (n - 1)], of, *hashes))
+                starts, ends, of, h, again = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(h)
+                apart = np.diff(h[order]) != 0
+                if np.any(~apart & (np.diff(again[order]) != 0)):
+                    order = np.lexsort((again, h))
+                    apart = (np.diff(h[order]) != 0) | (np.diff(again[order]) != 0)
+                first = np.flatnonzero(np.concatenate([[True], apart])) if len(order) else order
+                one = order[first]
+                text, to = gathered(data, starts[one], ends[one] - starts[one])
+                offsets = np.append(to, len(text)).astype(np.int32)
+                phrase = pa.StringArray.from_buffers(len(one), pa.py_buffer(offsets), pa.py_buffer(text))
+                yield batch_of(pa.array(list(names)).take(pa.array(of[one])), phrase, n, np.diff(np.append(first, len(order))))
+
+        def batch_of(group: pa.Array, phrase: pa.Array, n: int, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([group, phrase, pa.array(np.full(len(phrase), n, np.int32)), pa.array(counts.astype(np.int64))], ["grp", "phrase", "n_words", "f"])
 
         for lot in lots(batches):
-            at, h = {}, {}
+            found = {}
             for n in range(1, max_words + 1):
-                places = lot.places(n)
+                places = lot.places(n).astype(np.int32)
                 hashes = lot.hashes(places, n)
                 spot = hashes >> np.uint64(64 - filter_bits)
                 passed = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at[n], h[n] = places[passed], hashes[passed]
-            waiting.append((lot, at, h))
-            if sum(len(x) for _, at, _ in waiting for x in at.values()) >= LOT_PHRASES or len(waiting) >= 16:
-                yield counted()
-                waiting = []
+                found[n] = places[passed], hashes[passed], lot.hashes(places[passed], n, 1)
+            lot.words.clear()
+            waiting.append((lot, found))
+            if sum(len(at) for _, found in waiting for at, *_ in found.values()) >= LOT_PHRASES or len(waiting) >= 16:
+                yield from counted()
+                waiting.clear()
         if waiting:
-            yield counted()
+            yield from counted()
 
     found = rows.mapInArrow(exact, "grp string, phrase string, n_words int, f long").groupBy("grp", "phrase", "n_words").agg(F.sum("f").alias("f"))
     return found.where((F.col("f") >= threshold) | (F.col("n_words") == 0))
@@ -248,9 +291,8 @@ def collocations(docs: DataFrame, max_words: int = 3, threshold: int = 10, top:
     A null text is empty, a null group is ``und``; repeated rows count each time; ties
     rank by a, then phrase; an empty table gives no rows; other columns aren't read.
     Parts of a phrase are at least as frequent, so their counts stand in the same table.
-    The ranking first takes each salt's top, so no group is one task.
+    Ranks are places in sorted ranges (positions), so no group is one task.
     """
-    spark = docs.sparkSession
     counts = materialize(phrase_counts(docs, max_words, threshold, group, text), "phrases")
     found = counts.where("n_words > 1").select("grp", "phrase", "n_words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     joined = lambda start, size: F.concat_ws(" ", F.slice("w", start, size))
@@ -266,9 +308,7 @@ def collocations(docs: DataFrame, max_words: int = 3, threshold: int = 10, top:
         within = F.flatten(F.array(*[F.when(F.col("n_words") > m, _runs(m)).otherwise(F.array().cast("array<string>")) for m in range(2, max_words)]))
         longer = found.select("grp", "a", F.explode(within).alias("phrase")).groupBy("grp", "phrase").agg(F.max("a").alias("longest"))
         kept = scored.join(longer, ["grp", "phrase"], "left").where(F.coalesce(100 * F.col("longest") < swallowed * F.col("a"), F.lit(True)))
-    order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "salt").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).where(F.col("rank") <= top)
+    told = kept.select("grp", "phrase", "a", "cut.l", "cut.r", "cut.score", (-F.col("cut.score")).alias("_s"), (-F.col("a")).alias("_a"))
+    ranked = positions(told, ["grp"], ["_s", "_a", "phrase"], "rank").where(F.col("rank") < top)
     totals = counts.where("n_words = 0").select("grp", F.col("f").alias("n"))
-    return ranked.join(totals, "grp").select(F.col("grp").alias(group), F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    return ranked.join(totals, "grp").select(F.col("grp").alias(group), (F.col("rank") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
