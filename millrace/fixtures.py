@@ -66,6 +66,18 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("site"), (k * 37 % 400 / 100.0).alias("sy"), (k * 53 % 400 / 100.0).alias("sx"))
 
 
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scattered stations, a reading of one segment each: cell, gy, gx, seg, u."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("cell"), (k * 7919 % 10007 / 100.0).alias("gy"), (k * 104729 % 10009 / 100.0).alias("gx"), F.col("c_mktsegment").alias("seg"), (F.col("c_acctbal") / 7).alias("u"))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites among the stations."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("site"), (k * 3571 % 10007 / 100.0).alias("sy"), (k * 2731 % 10009 / 100.0).alias("sx"))
+
+
 def wxfield(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources' wind per cell and day: src, cell, valid_day, u, v."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
@@ -99,6 +111,8 @@ SQL = {
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "grid": "SELECT n_nationkey AS cell, CAST(n_nationkey // 5 AS DOUBLE) AS gy, CAST(n_nationkey % 5 AS DOUBLE) AS gx FROM nation",
     "sites": "SELECT s_suppkey AS site, (s_suppkey * 37 % 400) / 100.0::DOUBLE AS sy, (s_suppkey * 53 % 400) / 100.0::DOUBLE AS sx FROM supplier",
+    "stations": "SELECT c_custkey AS cell, (c_custkey * 7919 % 10007) / 100.0::DOUBLE AS gy, (c_custkey * 104729 % 10009) / 100.0::DOUBLE AS gx, c_mktsegment AS seg, c_acctbal / 7 AS u FROM customer",
+    "places": "SELECT s_suppkey AS site, (s_suppkey * 3571 % 10007) / 100.0::DOUBLE AS sy, (s_suppkey * 2731 % 10009) / 100.0::DOUBLE AS sx FROM supplier",
     "wxfield": """SELECT CASE WHEN event_type = 'view' THEN 'A' ELSE 'B' END AS src, CAST(user_id % 25 AS INTEGER) AS cell, CAST(ts AS DATE) AS valid_day,
         avg(value / 50) AS u, avg((event_id % 20) / 2 - 5) AS v FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2, 3""",
     "gen": """SELECT *, max(power) OVER (PARTITION BY site) AS capacity, lag(power) OVER (PARTITION BY site ORDER BY day) AS forecast

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def fit_gbt(df: DataFrame, features: Sequence[str], y: str, loss: str = "squared", depth: int = 4, iters: int = 10, seed: int = 7) -> PipelineModel:
     """Assembler and boosted trees in one pipeline; rows with a null feature are skipped."""
@@ -43,11 +47,25 @@ def rolling_origin(df: DataFrame, t: str, boundaries: Sequence[str]) -> DataFram
     return joined.withColumn("split", F.when(at < F.col("_a"), "train").otherwise("valid")).drop("_a", "_b")
 
 
-def oof_predictions(df: DataFrame, folds: Sequence[int], fit: Callable[[DataFrame], PipelineModel]) -> DataFrame:
-    """Validation rows of rolling_origin's folds, each predicted by a model of that fold's training rows."""
+def oof_predictions(df: DataFrame, folds: Sequence[int], fit: Callable[[DataFrame], PipelineModel], at_once: int = 4) -> DataFrame:
+    """Validation rows of rolling_origin's folds, each predicted by a model of that fold's training rows.
+
+    The rows are written once and read by every fold; up to ``at_once`` folds are fitted
+    at the same time, each from a thread with a scheduler pool of its own, so that under
+    spark.scheduler.mode=FAIR small jobs of one fold don't wait for another's. Rows come
+    by fold in the order given, whatever the order in which the fits end.
+    """
+    rows = stored(df, "folds")
+    context = df.sparkSession.sparkContext
+
+    def fitted(i: int) -> PipelineModel:
+        context.setLocalProperty("spark.scheduler.pool", f"fold-{i}")
+        return fit(rows.where((F.col("fold") == i) & (F.col("split") == "train")))
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        models = list(pool.map(inheritable_thread_target(df.sparkSession)(fitted), folds))
     out = None
-    for i in folds:
-        of = df.where(F.col("fold") == i)
-        scored = fit(of.where("split = 'train'")).transform(of.where("split = 'valid'")).drop("_features")
+    for i, model in zip(folds, models):
+        scored = model.transform(rows.where((F.col("fold") == i) & (F.col("split") == "valid"))).drop("_features")
         out = scored if out is None else out.unionByName(scored)
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -174,6 +174,14 @@ def alpha_sweep(spark, sf):
     return B.alpha_sweep(fx.preds(spark, sf), "p_mean", "p_nz28", "y", ALPHAS, lambda y, p: F.avg(F.abs(y - p)))
 
 
+@query("preds", """, k AS (SELECT store, (y - p_mean) / (p_nz28 - p_mean) AS a, abs(p_nz28 - p_mean) AS w FROM preds WHERE p_nz28 <> p_mean),
+    c AS (SELECT store, a, sum(w) OVER (PARTITION BY store ORDER BY a RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(w) OVER (PARTITION BY store) AS total FROM k),
+    m AS (SELECT store, least(greatest(min(a), 0.0), 1.0) AS alpha FROM c WHERE 2 * run >= total GROUP BY store)
+    SELECT store, round(any_value(alpha), 6) AS alpha, round(avg(abs(y - ((1 - alpha) * p_mean + alpha * p_nz28))), 6) AS mae, count(*) AS n_scored FROM preds JOIN m USING (store) GROUP BY store""")
+def best_alpha(spark, sf):
+    return rounded(B.best_alpha(fx.preds(spark, sf), "p_mean", "p_nz28", "y", ["store"]))
+
+
 @query("preds", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a} - y, {b} - y), 6) AS corr FROM preds" for i, a in enumerate(fx.MODELS) for b in fx.MODELS[i + 1 :]))
 def prediction_correlation(spark, sf):
     return rounded(B.prediction_correlation(fx.preds(spark, sf), fx.MODELS, "y"))
@@ -189,6 +197,15 @@ def fit_blend_weights(spark, sf):
     return rounded(B.fit_blend_weights(fx.preds(spark, sf), fx.MODELS, "y"))
 
 
+@query("preds", "SELECT 'absolute' AS loss, CAST(4 AS BIGINT) AS n_models, true AS sums_to_one, true AS none_negative, true AS no_model_beats_it FROM preds GROUP BY 1")
+def blend_weight_facts(spark, sf):
+    """What holds of any fitted weights: they are shares, and no single model does better."""
+    p = A.stored(fx.preds(spark, sf), "preds")
+    alone = p.agg(F.least(*[F.avg(F.abs(F.col("y") - F.col(m))) for m in fx.MODELS]).alias("best"))
+    w = B.fit_blend_weights(p, fx.MODELS, "y").agg(F.count(F.lit(1)).alias("n_models"), (F.abs(F.sum("w") - 1) < 1e-9).alias("sums_to_one"), (F.min("w") >= 0).alias("none_negative"), F.max("loss").alias("_loss"))
+    return w.join(F.broadcast(alone)).select(F.lit("absolute").alias("loss"), "n_models", "sums_to_one", "none_negative", (F.col("_loss") <= F.col("best") + 1e-9).alias("no_model_beats_it"))
+
+
 @query("preds", "SELECT store, day, round(y - p_mean, 6) AS residual, round(p_mean + 0.5 * (y - p_mean), 6) AS pred FROM preds")
 def residual_stack(spark, sf):
     r = B.residual_target(fx.preds(spark, sf), "y", "p_mean").withColumn("half", 0.5 * F.col("residual"))
@@ -287,6 +304,19 @@ def field_stats(spark, sf):
     return rounded(W.field_stats(fx.sites(spark, sf), fx.grid(spark, sf), fx.wxfield(spark, sf), 1.5, "u", ["src"]))
 
 
+@query("places stations", """, d AS (SELECT site, cell, sqrt((sy-gy)*(sy-gy)+(sx-gx)*(sx-gx)) AS d FROM places, stations), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d, cell) AS n FROM d)
+    SELECT site, cell, round(CASE WHEN m = 0 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 / (d * d) END, 6) AS weight FROM (SELECT *, min(d) OVER (PARTITION BY site) AS m FROM k WHERE n <= 5) WHERE m > 0 OR d = 0""")
+def nearest_stations(spark, sf):
+    return rounded(W.cell_weights(fx.places(spark, sf), fx.stations(spark, sf), 5, 2.0))
+
+
+@query("places stations", """, n AS (SELECT site, seg, u, gy, gx FROM places, stations WHERE sqrt((sy-gy)*(sy-gy)+(sx-gx)*(sx-gx)) <= 30)
+    SELECT site, seg, round(avg(u),6) AS mean, round(stddev_pop(u),6) AS spread, round(min(u),6) AS least, round(max(u),6) AS greatest, round(regr_slope(u, gy),6) AS slope_y, round(regr_slope(u, gx),6) AS slope_x FROM n GROUP BY 1, 2""")
+def station_stats(spark, sf):
+    s = fx.stations(spark, sf)
+    return rounded(W.field_stats(fx.places(spark, sf), s, s.select("cell", "seg", "u"), 30.0, "u", ["seg"]))
+
+
 @query("wxfield", """, s AS (SELECT *, sqrt(u*u+v*v) AS speed FROM wxfield)
     SELECT src, cell, valid_day, round(speed,6) AS speed, round(v/nullif(speed,0),6) AS dir_sin, round(u/nullif(speed,0),6) AS dir_cos, round(speed*speed*speed,6) AS speed3,
       round(speed*pow(10.0::DOUBLE, 0.143),6) AS speed_hub, round(0.5*(101325.0/(287.05*(288.15+v)))*speed*speed*speed,6) AS power_density FROM s""")
@@ -330,6 +360,43 @@ def fit_gbt(spark, sf):
     return _trees(split.where("split = 'train'")).transform(split.where("split = 'valid'")).select("l_orderkey", "l_linenumber", "delay", F.round("pred", 6).alias("pred"))
 
 
+def _mean_trees(df):
+    return G.fit_gbt(df, FEATURES, "delay", "squared", depth=3, iters=3)
+
+
+VALID = "CAST(l_shipdate AS DATE) >= DATE '1999-01-01' AND CAST(l_shipdate AS DATE) < DATE '2000-01-01'"
+
+
+def _facts(scored, train, keys=()):
+    """Rows, predictions, and whether their mean squared error is below that of the training rows' mean (no group is without training rows)."""
+    mean = train.groupBy(*keys).agg(F.avg("delay").alias("_mean")) if keys else train.agg(F.avg("delay").alias("_mean"))
+    both = scored.join(F.broadcast(mean), list(keys)) if keys else scored.withColumn("_mean", F.lit(mean.first()[0]))
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("pred").alias("n_pred"), (F.avg((F.col("delay") - F.col("pred")) ** 2) < F.avg((F.col("delay") - F.col("_mean")) ** 2)).alias("beats_mean"))
+
+
+@query("delay", f"SELECT count(*) AS n, count(*) AS n_pred, true AS beats_mean FROM delay WHERE {VALID}")
+def fit_gbt_facts(spark, sf):
+    split = A.stored(G.time_split(_features(spark, sf), "l_shipdate", "1999-01-01", "2000-01-01"), "split")
+    train = split.where("split = 'train'")
+    return _facts(_mean_trees(train).transform(split.where("split = 'valid'")), train)
+
+
+@query("delay", f"SELECT count(*) AS n, count(*) AS n_pred, true AS beats_mean, true AS as_before_saving FROM delay WHERE {VALID}")
+def score_model_facts(spark, sf):
+    split = A.stored(G.time_split(_features(spark, sf), "l_shipdate", "1999-01-01", "2000-01-01"), "split")
+    train, valid, path = split.where("split = 'train'"), split.where("split = 'valid'"), A.scratch(spark, "model")
+    fitted = G.fit_and_save(train, path, FEATURES, "delay", loss="squared", depth=3, iters=3)
+    both = G.score_model(fitted.transform(valid).drop("_features").withColumnRenamed("pred", "_was"), path)
+    return _facts(both, train).join(both.agg(F.min(F.col("pred") == F.col("_was")).alias("as_before_saving")))
+
+
+@query("delay", """, f AS (SELECT * FROM (VALUES (0, DATE '1998-01-01', DATE '1999-01-01'), (1, DATE '1999-01-01', DATE '2000-01-01')) v(fold, a, b))
+    SELECT fold, count(*) AS n, count(*) AS n_pred, true AS beats_mean FROM delay JOIN f ON CAST(l_shipdate AS DATE) >= a AND CAST(l_shipdate AS DATE) < b GROUP BY fold""")
+def oof_facts(spark, sf):
+    folds = A.stored(G.rolling_origin(_features(spark, sf), "l_shipdate", FOLDS), "folds")
+    return _facts(G.oof_predictions(folds, [0, 1], _mean_trees), folds.where("split = 'train'"), ["fold"])
+
+
 @query()
 def oof_predictions(spark, sf):
     folds = G.rolling_origin(_features(spark, sf), "l_shipdate", FOLDS)
@@ -345,7 +412,9 @@ def read_table(spark, sf):
     return A.read_table(spark, path, spark.read.parquet(path).schema)
 
 
-@query("preds", """, k AS (SELECT store, day FROM demand), p AS (SELECT store, day, p_nz28 AS pred FROM preds) SELECT store, day, round(coalesce(pred, -1.0), 6) AS pred FROM k LEFT JOIN p USING (store, day)""")
+@query("demand", """, f AS (SELECT store, day, lag(qty, 1) OVER w AS a, lag(qty, 7) OVER w AS b, avg(qty) OVER (PARTITION BY store ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c,
+      avg(CASE WHEN qty > 0 THEN qty END) OVER (PARTITION BY store ORDER BY day ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS p FROM demand WINDOW w AS (PARTITION BY store ORDER BY day))
+    SELECT store, day, round(CASE WHEN a IS NULL OR b IS NULL OR c IS NULL OR p IS NULL THEN -1.0 ELSE p END, 6) AS pred FROM f""")
 def make_submission(spark, sf):
     # preds lacks each store's first days by itself
     p = fx.preds(spark, sf).select("store", "day", F.col("p_nz28").alias("pred"))
@@ -382,6 +451,26 @@ def write_cache(spark, sf):
     return spark.read.parquet(path).select("store", "day", "qty")
 
 
+@query("demand", "SELECT d.store, d.day, d.qty, t.total, round(avg(d.qty) OVER (PARTITION BY d.store ORDER BY d.day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS week FROM demand d JOIN (SELECT store, sum(qty) AS total FROM daily GROUP BY store) t ON t.store = d.store")
+def bucketed_cache(spark, sf):
+    """Two tables in the same buckets: a grouping, their join and a window by store find the rows where they lie."""
+    name = lambda what: f"millrace_{what}_{A.scratch(spark, what)[-32:]}"
+    dense = A.write_bucketed(fx.demand(spark, sf), name("demand"), ["store"], ["day"], 16, A.scratch(spark, "demand"))
+    sold = A.write_bucketed(fx.daily(spark, sf), name("daily"), ["store"], ["day"], 16, A.scratch(spark, "daily"))
+    both = dense.join(sold.groupBy("store").agg(F.sum("qty").alias("total")).hint("merge"), "store")
+    return rounded(both.withColumn("week", F.avg("qty").over(Window.partitionBy("store").orderBy("day").rowsBetween(-6, 0))))
+
+
+@query("preds", """, a AS (SELECT store, day, round(p_nz28, 6) AS pred FROM preds), b AS (SELECT store, day, CASE WHEN store % 50 = 7 THEN pred + 0.5 ELSE pred END AS pred FROM a WHERE NOT (store % 50 = 9 AND pred > 26)),
+    j AS (SELECT a.pred AS pa, b.pred AS pb, b.store AS sb FROM a LEFT JOIN b ON a.store = b.store AND a.day = b.day)
+    SELECT CASE WHEN sb IS NULL THEN 'extra' WHEN abs(pa - pb) <= 0.1 THEN 'same' ELSE 'changed' END AS kind, CAST(count(*) AS BIGINT) AS n, round(max(abs(pa - pb)), 6) AS max_gap FROM j GROUP BY 1""")
+def diff_by_fingerprint(spark, sf):
+    """A stored submission against one rebuilt with a few stores changed and a few rows lost."""
+    a = A.stored(fx.preds(spark, sf).select("store", "day", F.round("p_nz28", 6).alias("pred")), "recorded")
+    changed = a.where("not (store % 50 = 9 and pred > 26)").withColumn("pred", F.when(F.col("store") % 50 == 7, F.col("pred") + 0.5).otherwise(F.col("pred")))
+    return rounded(A.diff_by_fingerprint(a, A.stored(changed, "rebuilt"), ["store", "day"], 0.1))
+
+
 @query()
 def score_model(spark, sf):
     split = G.time_split(_features(spark, sf), "l_shipdate", "1999-01-01", "2000-01-01")
