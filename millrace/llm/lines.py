@@ -21,6 +21,8 @@ CHUNK = 1 << 16
 SEEN_LINES = 1_000_000
 #: Candidate lines up to this number are broadcast (8 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 2_000_000
+#: (line, band) pairs that a task packs at a time, and that one range of bands holds or so.
+PACKED_PAIRS, RANGE_PAIRS = 1 << 20, 1 << 19
 _ODD = np.random.default_rng(20).integers(1, 1 << 31, (2, BANDS * PER_BAND), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FOLD = np.random.default_rng(21).integers(1, 1 << 62, PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -228,10 +230,59 @@ def texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return materialize(found.groupBy("line").agg(F.min("body").alias("body")), "bodies")
 
 
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """(line, band), once each, for the bands that two different lines or more have: all that can lead to a pair.
+
+    Most lines share no band, so (line, band) pairs travel packed: a task sorts those of
+    PACKED_PAIRS or so by band and sends each range of bands as one row of two arrays; a
+    range's task puts them together and keeps what has a neighbour. The number of
+    ranges follows the number of lines, some RANGE_PAIRS pairs each.
+    """
+    rows = signed.where("bands is not null").select("line", "bands")
+    pairs = (rows.agg(F.sum(F.size("bands"))).first()[0]) or 0
+    bits = min(20, max(6, (pairs // RANGE_PAIRS).bit_length()))
+
+    def packed(batches):
+        lines, bands, size = [], [], 0
+
+        def rows_of() -> pa.RecordBatch:
+            band, line = np.concatenate(bands), np.concatenate(lines)
+            by = np.argsort(band, kind="stable")
+            band, line = band[by], line[by]
+            part = band >> (48 - bits)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)]))
+            blobs = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (band, line)]
+            return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *blobs], ["part", "bands", "lines"])
+
+        for batch in batches:
+            each = batch.column(1)
+            lines.append(np.repeat(batch.column(0).to_numpy(), each.value_lengths().to_numpy()))
+            bands.append(each.flatten().to_numpy())
+            size += len(bands[-1])
+            if size >= PACKED_PAIRS:
+                yield rows_of()
+                lines, bands, size = [], [], 0
+        if size:
+            yield rows_of()
+
+    def shared(t: pa.Table) -> pa.Table:
+        band, line = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t[c]]) for c in ("bands", "lines"))
+        by = np.lexsort((line, band))
+        band, line = band[by], line[by]
+        new = np.diff(band, prepend=-1) != 0
+        own = new | (np.diff(line, prepend=line[:1]) != 0)
+        band, line, new = band[own], line[own], new[own]
+        # a pair stays if its band goes on before or behind it
+        keep = ~new | ~np.append(new[1:], True)
+        return pa.table({"line": pa.array(line[keep]), "band": pa.array(band[keep])})
+
+    return rows.mapInArrow(packed, "part int, bands binary, lines binary").groupBy("part").applyInArrow(shared, "line long, band long")
+
+
 def line_components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """(node, root) over the lines that have a near copy; see dedup_lines."""
-    banded = signed.where("bands is not null").select("line", F.explode("bands").alias("band"))
-    return banded_components(banded, lambda few: texts_of(docs, few), threshold)
+    return banded_components(shared_bands(signed), lambda few: texts_of(docs, few), threshold)
 
 
 def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None, more_pairs: DataFrame | None = None) -> DataFrame:
