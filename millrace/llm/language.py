@@ -81,25 +81,27 @@ class Centroids:
 
 
 def sampled(train: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` rows of each lang, those of the least hashes of (doc_id, text).
+    """At most ``sample`` different rows of each lang, those of the least hashes of (doc_id, text); rows alike are one.
 
-    Of a language with many rows only those whose hash is below a share of the range
-    that holds some three times the sample go on to be ranked, so no task gathers a language.
+    Of a language with many different rows only those whose hash is below a share of the
+    range that holds some three times the sample go on to be ranked, so no task gathers
+    a language. The share counts different rows, so a language never depends on one hash.
     """
-    counts = materialize(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("_lang"), "n"), "languages")
     hashed = train.withColumn("_h", F.xxhash64("doc_id", "text"))
+    own = hashed.select("lang", "_h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(own.select(F.col("lang").alias("_lang"), "n"), "languages")
     share = (3 * sample + 64) / F.col("n")
     few = hashed.join(counts, hashed["lang"] == counts["_lang"]).where(F.col("_h").cast("double") / 2.0**64 + 0.5 <= share)
-    by = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    return few.withColumn("_nth", F.row_number().over(by)).where(F.col("_nth") <= sample).select("lang", "text")
+    by = Window.partitionBy("lang").orderBy("_h")
+    return few.select("lang", "_h", "text").dropDuplicates(["lang", "_h"]).withColumn("_nth", F.row_number().over(by)).where(F.col("_nth") <= sample).select("lang", "text")
 
 
 def fit(docs: DataFrame, learn: Column, sample: int = 400, clusters: int = 4) -> list[Centroids]:
     """Centroids from rows where ``learn`` holds and text and lang are not null: one model for every LANGS languages.
 
     Document frequencies come from all these rows. Centroids are clustered from at most
-    ``sample`` rows of each language (rows, not ids: repeated ids count each), which
-    bounds every task's share. A model takes some 130 KB a language, so languages are
+    ``sample`` different rows of each language (rows, not ids: of an id's rows each
+    may be taken), which bounds every task's share. A model takes some 130 KB a language, so languages are
     dealt into models of at most LANGS, whatever their number.
     """
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
