@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,9 @@ def tilted_rates(stats: DataFrame, targets: DataFrame, cap: float, tolerance: fl
     r = min(cap, b * exp(lambda)). The dual's gradient in lambda is sum(size * r) -
     target, its second derivative the same sum over rates below the cap. All multipliers
     start at 0, the base rates, and move at once. ``low`` and ``high`` bracket each
-    solution; a Newton step of more than 1, or one that the cap leaves without a
-    slope, is shortened, one that leaves the bracket halves it. ``stats`` has the words
+    solution; a Newton step of more than 1 (2, 4 and so on in later iterations), or one
+    that the cap leaves without a slope, is shortened, one that leaves the bracket
+    halves it. Sources not met after ``most`` iterations are warned of. ``stats`` has the words
     per (source, base), which is all that the sums need, so each iteration aggregates
     that table on the cluster. A source without words or target gets no lambda.
     """
@@ -53,7 +56,7 @@ def tilted_rates(stats: DataFrame, targets: DataFrame, cap: float, tolerance: fl
     open_ = joined.groupBy("source").agg(F.sum(F.col("words") * F.col("base")).alias("mass"), F.first("target").alias("target"))
     null = F.lit(None).cast("double")
     lam = materialize(open_.select("source", F.when((F.col("mass") > 0) & (F.col("target") > 0), F.lit(0.0)).alias("lam"), null.alias("low"), null.alias("high")), "lambda")
-    for _ in range(most):
+    for i in range(most):
         rate = F.least(F.lit(float(cap)), F.col("base") * F.exp("lam"))
         at = joined.where("base > 0").join(lam.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").where("lam is not null")
         sums = at.groupBy("source").agg(
@@ -66,13 +69,16 @@ def tilted_rates(stats: DataFrame, targets: DataFrame, cap: float, tolerance: fl
         # what all rates at the cap can't meet is met as far as they can
         moves = (F.abs(gap) > tolerance * F.col("target")) & ~((gap > 0) & (F.col("met") >= F.col("most")))
         low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("low")), F.when(gap < 0, F.col("lam")).otherwise(F.col("high"))
-        newton = F.col("lam") + F.when(F.col("slope") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / F.col("slope")))).otherwise(F.signum(gap))
+        reach = 2.0 ** min(i, 9)
+        newton = F.col("lam") + F.when(F.col("slope") > 0, F.greatest(F.lit(-reach), F.least(F.lit(reach), gap / F.col("slope")))).otherwise(F.signum(gap) * reach)
         told = sums.select("source", "lam", low.alias("low"), high.alias("high"), moves.alias("moves"), newton.alias("newton"))
         kept = (F.col("newton") > F.coalesce("low", F.lit(float("-inf")))) & (F.col("newton") < F.coalesce("high", F.lit(float("inf"))))
         step = told.select("source", F.when(~F.col("moves"), F.col("lam")).when(kept, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2).alias("lam"), "low", "high", "moves")
         lam = materialize(step, "lambda")
         if lam.where("moves").isEmpty():
             break
+        if i == most - 1:
+            warnings.warn(f"{lam.where('moves').count()} sources have not met their targets after {most} iterations", stacklevel=2)
         lam = lam.drop("moves")
     return lam.select("source", "lam")
 
@@ -108,14 +114,14 @@ def entropy_mix(docs: DataFrame, cap: int = 3, base: Column | None = None, weigh
 
     Returns one row per row of ``docs``: doc_id, source, size (words), source_size,
     target, rate, copies, taken (copies * size). ``base`` is an optional column of base
-    rates (null: 1; below 0: 0), ``weights`` adds a column weight to a table of
+    rates (null or NaN: 1; below 0: 0), ``weights`` adds a column weight to a table of
     sources. A null text has size 0; null sources are one source of their own; rows
     with equal doc_id or wholly alike count each by itself; documents of size 0 take
     part with no words. An empty table gives no rows. Only doc_id, text, source and
     what ``base`` names are read. Which documents of a class get the extra copy
     follows a hash of doc_id, so reruns agree; rows alike are interchangeable.
     """
-    rate0 = F.lit(1.0) if base is None else F.greatest(F.coalesce(base.cast("double"), F.lit(1.0)), F.lit(0.0))
+    rate0 = F.lit(1.0) if base is None else F.greatest(F.coalesce(F.when(~F.isnan(base.cast("double")), base.cast("double")), F.lit(1.0)), F.lit(0.0))
     sizes = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), rate0.alias("base")), "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(capped_targets(weights(totals), cap), "targets")

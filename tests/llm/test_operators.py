@@ -293,6 +293,19 @@ def test_base_rates_with_a_binding_cap_match_a_solver(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 60
 
 
+def test_odd_base_rates(spark):
+    nan = float("nan")
+    data = [(i, "w " * 10, "a" if i % 2 else "b", [1.8e-35, nan, 1.8e-35, None, 1e30][i % 5]) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, b double")
+    got = mixing.entropy_mix(df, base=F.col("b")).collect()
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+    tiny = df.where("b = 1.8e-35")
+    own = mixing.entropy_mix(tiny, base=F.col("b")).collect()
+    assert all(r.rate == pytest.approx(r.target / r.source_size, rel=1e-6) for r in own)
+
+
 def test_line_dedup_matches_brute_force(docs, empty, rows):
     seen, links, want = [], {}, {}
 
@@ -418,6 +431,74 @@ def test_sketches_merge_and_estimate_containment_of_unequal_texts(spark):
         assert r.j == pytest.approx(len(p & q) / len(p | q), abs=0.04)
 
 
+def test_merging_is_a_union(spark):
+    rng = random.Random(8)
+    texts = [words(rng, n) for n in (0, 1, 3, 4, 5, 9, 40, 400)]
+    rows = [(x, y, z) for x in texts for y in texts[:4] + texts[-1:] for z in texts[::3]]
+    x, y, z = (fingerprints.sketch(F.col(c)) for c in "xyz")
+    df = spark.createDataFrame(rows, "x string, y string, z string").select(x.alias("x"), y.alias("y"), z.alias("z"))
+    m = lambda a, b: fingerprints.merged(a, b)
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    told = df.select(m(m(x, y), z).alias("l"), m(x, m(y, z)).alias("r"), m(x, x).alias("same"), m(m(x, y), m(x, y)).alias("twice"), m(x, y).alias("once"), m(y, x).alias("turned"), "x", fingerprints.likeness(x, m(x, x)).alias("own"), fingerprints.likeness(m(x, y), m(x, z)).alias("mixed"), fingerprints.from_text(fingerprints.as_text(x)).alias("back"))
+    for r in told.collect():
+        assert r.l == r.r and r.same == r.x == r.back and r.twice == r.once == r.turned and r.own == 1.0 and 0 <= r.mixed <= 1
+
+
+def test_sketches_are_smaller_than_texts_and_err_as_stated(spark):
+    rng = random.Random(9)
+    for n, trials in ((100, 60), (1000, 30)):
+        pairs = []
+        for _ in range(trials):
+            a = words(rng, n).split()
+            b = a[: n // 2] + words(rng, n - n // 2).split()
+            pairs.append((" ".join(a), " ".join(b)))
+        sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(n - 4)}  # noqa: B023, E731
+        df = spark.createDataFrame(pairs, "a string, b string")
+        a, b = fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))
+        got = df.select("a", "b", fingerprints.likeness(a, b).alias("j"), F.length(fingerprints.as_text(a)).alias("n")).collect()
+        gaps = []
+        for r in got:
+            p, q = sets(r.a), sets(r.b)
+            gaps.append((r.j - len(p & q) / len(p | q)) ** 2)
+        assert sum(r.n for r in got) < 0.45 * sum(len(r.a) for r in got)
+        j, size = 1 / 3, 1.5 * n
+        assert np.sqrt(np.mean(gaps)) < 1.5 * np.sqrt(3 * j * (1 - j) / size)
+
+
+def test_a_language_of_equal_rows_is_learned(spark):
+    rng = random.Random(12)
+    xa = [(i, " ".join(rng.choice(["kala", "moro", "tinu"]) for _ in range(20)), "xa") for i in range(200)]
+    for trial in range(4):
+        yb = spark.range(20000).select(F.lit(1000 + trial).cast("long").alias("doc_id"), F.lit(f"grzy wchod szcz prze {trial}").alias("text"), F.lit("yb").alias("lang"))
+        train = spark.createDataFrame(xa, "doc_id long, text string, lang string").union(yb)
+        found = {r.lang: r["count"] for r in language.sampled(train, 50).groupBy("lang").count().collect()}
+        assert found == {"xa": 50, "yb": 1}
+    assert language.identify_language(train.where("doc_id in (0, 1003)").dropDuplicates(), F.lit(True)).where("lang_pred = 'yb'").count() == 1
+
+
+def test_predictions_are_the_nearest_centroids_by_brute_force(spark):
+    rng = random.Random(13)
+    tongues = {f"l{i}": [words(rng, 1) for _ in range(5)] for i in range(3)}
+    data = [(i, " ".join(rng.choice(tongues[f"l{i % 3}"]) for _ in range(rng.randint(1, 25))), f"l{i % 3}") for i in range(150)]
+    data += [(1000 + i, words(rng, 12), None) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    (model,) = language.fit(df, F.lit(True), 40, 3)
+    assert len(model.vectors) > len(model.langs)
+    for r in language.identify_language(df, F.lit(True), sample=40, clusters=3).collect():
+        counts = language.gram_counts(data[r.doc_id][1] if r.doc_id < 1000 else data[r.doc_id - 850][1])
+        v = np.sqrt(counts) * model.idf
+        v = v / np.linalg.norm(v)
+        best = {}
+        for of, c in zip(model.of, model.vectors):
+            best[model.langs[of]] = max(best.get(model.langs[of], -1), float(v @ c))
+        top = max(best.values())
+        assert best[r.lang_pred] == pytest.approx(top, abs=1e-5) and r.distance == pytest.approx(1 - top, abs=1e-5)
+        assert r.rejected == (1 - top > model.radius[model.langs.index(r.lang_pred)]) or abs(1 - top - model.radius[model.langs.index(r.lang_pred)]) < 1e-5
+        weight = sum(np.exp(language.SHARP * x) for x in best.values())
+        assert r.score == pytest.approx(np.exp(language.SHARP * top) / weight, rel=1e-3)
+    assert any(r.rejected for r in language.identify_language(df, F.lit(True), sample=40, clusters=3).where("doc_id >= 1000").collect())
+
+
 def test_language_of_clear_texts(spark, empty):
     rng = random.Random(4)
     tongues = {"xa": ["kala", "moro", "tinu", "sabe"], "yb": ["grzy", "wchod", "szcz", "prze"]}
