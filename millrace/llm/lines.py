@@ -21,6 +21,8 @@ CHUNK = 1 << 16
 SEEN_LINES = 1_000_000
 #: Candidate lines up to this number are broadcast (8 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 2_000_000
+#: MinHash values of which a line's sketch holds four bits each, 16 a long, and how many standard errors a pair's matches may fall short.
+SKETCHED, SHORT = 96, 5.5
 #: (line, band) pairs that a task packs at a time, and that one range of bands holds or so.
 PACKED_PAIRS, RANGE_PAIRS = 1 << 20, 1 << 19
 _ODD = np.random.default_rng(20).integers(1, 1 << 31, (2, BANDS * PER_BAND), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -54,9 +56,36 @@ def minima(text: str, spans: list[tuple[int, int]]):
         yield np.minimum.reduceat(mixed, edges)[::2]
 
 
-def band_keys(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """48-bit band keys (len(spans) x BANDS) of the lines at ``spans`` of a text."""
-    return (folded(np.array(list(minima(text, spans))), BANDS) >> np.uint64(16)).astype(np.int64)
+def band_keys(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit band keys (len(spans) x BANDS) and sketches (len(spans) x SKETCHED / 16) of the lines at ``spans`` of a text."""
+    least = np.array(list(minima(text, spans)))
+    return (folded(least, BANDS) >> np.uint64(16)).astype(np.int64), sketched(least)
+
+
+def sketched(least: np.ndarray) -> np.ndarray:
+    """Four bits of each of the first SKETCHED MinHash values (hashes x items), as longs (items x SKETCHED / 16)."""
+    nibbles = (least[:SKETCHED] * np.uint32(0x9E3779B1) >> np.uint32(28)).astype(np.uint64).reshape(SKETCHED // 16, 16, -1)
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)[None, :, None]
+    return np.bitwise_or.reduce(nibbles << shifts, axis=1).T.view(np.int64)
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sketches (line, sketch) agree nearly as often as those of texts of similarity ``threshold`` do.
+
+    Four bits agree by chance one time in 16. A pair of just that similarity is lost if
+    its matches fall SHORT standard errors below what is expected: one in ten million.
+    """
+    p = threshold + (1 - threshold) / 16
+    least = SKETCHED * p - SHORT * (SKETCHED * p * (1 - p)) ** 0.5
+    both = pairs
+    for side in "ab":
+        both = both.join(sketches.select(F.col("line").alias(side), F.col("sketch").alias(f"s{side}")), side)
+    matches = F.lit(SKETCHED)
+    for i in range(SKETCHED // 16):
+        x = F.element_at("sa", i + 1).bitwiseXOR(F.element_at("sb", i + 1))
+        any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        matches -= F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
+    return both.where(matches >= least).select("a", "b")
 
 
 def folded(least: np.ndarray, bands: int) -> np.ndarray:
@@ -80,9 +109,9 @@ def line_rows(text: str) -> list[tuple[int, int, int, int]]:
 
 
 class Signer:
-    """Gathers the lines of documents into (doc, doc_key, line_no, line, bands) batches.
+    """Gathers the lines of documents into (doc, doc_key, line_no, line, bands, sketch) batches.
 
-    bands is null for lines of fewer than SHINGLE code points, and for a line that this
+    bands and sketch are null for lines of fewer than SHINGLE code points, and for a line that this
     task has signed before, so a common line has at most about one set of bands a task.
     """
 
@@ -91,7 +120,7 @@ class Signer:
         self.clear()
 
     def clear(self) -> None:
-        self.docs, self.keys, self.no, self.line, self.signed, self.bands = [], [], [], [], [], []
+        self.docs, self.keys, self.no, self.line, self.signed, self.bands, self.sketches = [], [], [], [], [], [], []
         self.pending, self.spans, self.length = [], [], 0
 
     def add(self, doc, key: int, text: str) -> None:
@@ -113,22 +142,28 @@ class Signer:
 
     def sign(self) -> None:
         if self.spans:
-            self.bands.append(band_keys("\n".join(self.pending), self.spans))
+            bands, sketches = band_keys("\n".join(self.pending), self.spans)
+            self.bands.append(bands)
+            self.sketches.append(sketches)
         self.pending, self.spans, self.length = [], [], 0
 
     def batch(self) -> pa.RecordBatch:
         self.sign()
         signed = np.array(self.signed, bool)
-        offsets = np.concatenate([[0], np.cumsum(np.where(signed, BANDS, 0))]).astype(np.int32)
-        values = np.concatenate(self.bands).ravel() if self.bands else np.zeros(0, np.int64)
-        bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~signed))
-        cols = [pa.array(self.docs, self.doc_type), pa.array(self.keys, pa.int64()), pa.array(self.no, pa.int32()), pa.array(np.array(self.line, np.uint64).view(np.int64)), bands]
+
+        def lists(parts: list[np.ndarray], each: int) -> pa.ListArray:
+            offsets = np.concatenate([[0], np.cumsum(np.where(signed, each, 0))]).astype(np.int32)
+            values = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int64)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~signed))
+
+        bands, sketches = lists(self.bands, BANDS), lists(self.sketches, SKETCHED // 16)
+        cols = [pa.array(self.docs, self.doc_type), pa.array(self.keys, pa.int64()), pa.array(self.no, pa.int32()), pa.array(np.array(self.line, np.uint64).view(np.int64)), bands, sketches]
         self.clear()
-        return pa.RecordBatch.from_arrays(cols, ["doc", "doc_key", "line_no", "line", "bands"])
+        return pa.RecordBatch.from_arrays(cols, ["doc", "doc_key", "line_no", "line", "bands", "sketch"])
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, doc_key, line_no, line, bands) of all lines of ``docs`` (doc, doc_key, text); line is the XXH64 of its text."""
+    """(doc, doc_key, line_no, line, bands, sketch) of all lines of ``docs`` (doc, doc_key, text); line is the XXH64 of its text."""
 
     def run(batches):
         signer = None
@@ -143,7 +178,7 @@ def signed_lines(docs: DataFrame) -> DataFrame:
                 yield signer.batch()
 
     rows = docs.select("doc", "doc_key", "text")
-    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *T._parse_datatype_string("doc_key long, line_no int, line long, bands array<long>").fields])
+    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *T._parse_datatype_string("doc_key long, line_no int, line long, bands array<long>, sketch array<long>").fields])
     return rows.mapInArrow(run, schema)
 
 
@@ -282,14 +317,17 @@ def shared_bands(signed: DataFrame) -> DataFrame:
 
 def line_components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """(node, root) over the lines that have a near copy; see dedup_lines."""
-    return banded_components(shared_bands(signed), lambda few: texts_of(docs, few), threshold)
+    sketches = signed.where("sketch is not null").select("line", "sketch")
+    return banded_components(shared_bands(signed), lambda few: texts_of(docs, few), threshold, sketches=sketches)
 
 
-def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None, more_pairs: DataFrame | None = None) -> DataFrame:
+def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None, more_pairs: DataFrame | None = None, sketches: DataFrame | None = None) -> DataFrame:
     """(node, root) of the texts that have a near copy among those of one ``band``.
 
     ``banded`` has (line, band), repeats allowed, ``texts_for`` gives (line, body) of a
-    table of lines. ``more_pairs`` are further candidates (a, b) to verify.
+    table of lines. ``more_pairs`` are further candidates (a, b) to verify. With
+    ``sketches`` (line, sketch; repeats allowed) pairs that these show to be unlike are
+    not looked at further.
     """
     by = Window.partitionBy("band").orderBy("line")
     chained = banded.withColumn("before", F.lag("line").over(by)).withColumn("least", F.first("line").over(by)).where("before <> line")
@@ -301,8 +339,12 @@ def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None
         tried = tried.union(more_pairs.select("a", "b"))
         candidates = candidates.union(more_pairs.select("a")).union(more_pairs.select("b"))
     tried = materialize(tried.distinct(), "pairs")
-    bodies = texts_for(materialize(candidates.distinct(), "candidates"))
-    links = materialize(verified(tried, bodies, threshold, parts), "links")
+    candidates = materialize(candidates.distinct(), "candidates")
+    bodies = texts_for(candidates)
+    if sketches is not None:
+        sketches = materialize(sketches.join(candidates, "line", "left_semi").dropDuplicates(["line"]), "sketches")
+    near = lambda pairs: pairs if sketches is None else likely(pairs, sketches, threshold)
+    links = materialize(verified(near(tried), bodies, threshold, parts), "links")
     roots = materialize(connected_components(links), "roots")
     # what is left: pairs of one bucket that no path joins yet and that were not tried
     placed = members.join(roots, members.line == roots.node, "left").select("band", "line", F.coalesce("root", "line").alias("comp"))
@@ -314,7 +356,7 @@ def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None
     cross = few.where("comp <> big").alias("x").join(few.alias("y"), F.expr("x.band = y.band and x.comp <> y.comp and (y.comp = y.big or x.line < y.line)"))
     rest = cross.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     blocks = block_links(open_.where(F.col("n") > SMALL_BUCKET), bodies, threshold, parts)
-    more = materialize(verified(rest, bodies, threshold, parts).union(blocks), "links")
+    more = materialize(verified(near(rest), bodies, threshold, parts).union(blocks), "links")
     return roots if more.isEmpty() else connected_components(links.union(more))
 
 
