@@ -38,34 +38,41 @@ def stems(word: str) -> list[str]:
 
 
 class Terms:
-    """The vocabulary: every word of the examples, and the stems that tell the labels apart, with their weights."""
+    """The vocabulary: every word of the examples, and the stems that tell the labels apart, with their weights.
 
-    def __init__(self, ids: dict[str, int], weight: np.ndarray):
-        self.ids, self.weight, self.seen = ids, weight, {}
+    A word that no example has is not in the vocabulary; it meets no posting list, but
+    counts in its text's norm with the weight ``unheard``.
+    """
+
+    def __init__(self, ids: dict[str, int], weight: np.ndarray, unheard: float = 0.0):
+        self.ids, self.weight, self.unheard, self.seen = ids, weight, unheard, {}
         #: A word whose first letters are not among these has no stem in the vocabulary.
         self.heads = {x[: STEMS[0]] for x in ids if x[-1] == "*"}
 
-    def of(self, word: str) -> list[int]:
-        """Term ids of a word: its own and its stems'."""
+    def of(self, word: str) -> tuple[list[int], bool]:
+        """Term ids of a word, its own and its stems', and whether the word itself is in the vocabulary."""
         at = self.seen.get(word)
         if at is None:
             if len(self.seen) >= CACHE_WORDS:
                 self.seen.clear()
             terms = (word, *stems(word)) if word[: STEMS[0]] in self.heads else (word,)
-            self.seen[word] = at = [self.ids[x] for x in terms if x in self.ids]
+            self.seen[word] = at = [self.ids[x] for x in terms if x in self.ids], word in self.ids
         return at
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term ids in rising order and unit-length weights, (1 + log tf) * idf * telling weight, of a whole text."""
-        found, times = [], []
+        """Term ids in rising order and weights, (1 + log tf) * idf * telling weight, of a whole text at unit length; words outside the vocabulary are part of that length."""
+        found, times, others = [], [], 0.0
         for word, n in Counter(words(text)).items():
-            for i in self.of(word):
+            at, heard = self.of(word)
+            for i in at:
                 found.append(i)
                 times.append(n)
+            if not heard:
+                others += (1 + math.log(n)) ** 2
         at, place = np.unique(np.array(found, np.int64), return_inverse=True)
         w = (1 + np.log(np.bincount(place, times, len(at)))) * self.weight[at]
-        norm = math.sqrt(float(w @ w))
-        return (at, w / norm) if norm else (at[:0], w[:0])
+        norm = math.sqrt(float(w @ w) + others * self.unheard**2)
+        return (at, w / norm) if len(at) and norm else (at[:0], w[:0])
 
 
 def runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -257,7 +264,7 @@ def document_frequencies(docs: DataFrame, ids: dict[str, int]) -> tuple[int, np.
         n, df = 0, np.zeros(len(terms.ids) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                df[list({i for w in set(words(text)) for i in terms.of(w)})] += 1
+                df[list({i for w in set(words(text)) for i in terms.of(w)[0]})] += 1
                 n += 1
         df[-1] = n
         held = np.flatnonzero(df)
@@ -277,7 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_labelled: int = 8
     either label (calibration weighs them back). All words of the indexed examples
     take part in the cosine; telling ones and telling stems weigh 1, the others
     PLAIN_WEIGHT, beside their inverse document frequencies, which come from all of
-    ``docs``. A document with several labels counts as toxic if one says so; labels other
+    ``docs``. Words of no indexed example count in a text's norm as plain words found in
+    fewer than one of so many documents. A document with several labels counts as toxic if one says so; labels other
     than 0 and 1, null ids and labels without a document have no effect; of rows that
     share an id each is an example. What reaches the driver and the tasks is bounded by
     the words of max_examples texts.
@@ -298,7 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_labelled: int = 8
     told = vocabulary(indexed, telling_terms(labelled)) if n_toxic and n_clean else []
     ids = {w: i for i, (w, _) in enumerate(told)}
     n, df = document_frequencies(docs, ids) if ids else (0, np.zeros(0))
-    terms = Terms(ids, (np.log((1 + n) / (1 + df)) + 1) * np.where([x for _, x in told], 1.0, PLAIN_WEIGHT) if ids else np.zeros(0))
+    # a word of none of the examples is taken to be in fewer than one document of so many
+    unheard = PLAIN_WEIGHT * (math.log(of_toxic + of_clean + 1) + 1)
+    terms = Terms(ids, (np.log((1 + n) / (1 + df)) + 1) * np.where([x for _, x in told], 1.0, PLAIN_WEIGHT) if ids else np.zeros(0), unheard)
 
     def vectors(batches):
         for batch in batches:
