@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, quantile_bounds
+from .common import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: A sketch keeps the hashes whose first KEEP_BITS bits are zero, one in 2 ** KEEP_BITS.
@@ -94,22 +94,23 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     each other by a hash of the text; a lone document is its own next. An empty table
     gives no rows; columns other than doc_id and text are not read.
 
-    Neighbours are found in ranges of doc_id of near-equal size whose bounds are ids
-    that occur: a range's last id also enters the range above it (and the highest id
-    the lowest range), as the successor of that range's lowest document. So texts move
-    once and no task holds more than a range.
+    Rows are sorted into ranges of near-equal size by (doc_id, hash of the text), so
+    null ids and many rows of one id spread like any others; each range gets the next
+    one's first row as a guest, the last range the first one's.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = quantile_bounds(base, "key", parts)
-    top = base.agg(F.max("key")).first()[0]
-    own = F.struct(bucket_of("key", bounds).alias("bucket"), F.lit(False).alias("guest"))
-    above = F.when(F.col("key").isin(bounds) if bounds else F.lit(False), F.struct((bucket_of("key", bounds) + 1).alias("bucket"), F.lit(True).alias("guest")))
-    around = F.when(F.col("key") == F.lit(top), F.struct(F.lit(0).alias("bucket"), F.lit(True).alias("guest")))
-    dealt = base.withColumn("at", F.explode(F.array_compact(F.array(own, above, around)))).select("doc_id", "text", "key", "at.bucket", "at.guest").repartition("bucket")
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), F.xxhash64("text"))
-    near = dealt.withColumn("mine", sketch(F.col("text"))).select("*", F.lead("text").over(order).alias("next_text"), F.lead("mine").over(order).alias("next")).where("not guest")
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ordered = base.withColumns({"_null": F.col("doc_id").isNull(), "_down": F.bitwise_not(F.col("doc_id")), "_hash": F.xxhash64("text")})
+    order = ["_null", "_down", "_hash"]
+    dealt = ordered.repartitionByRange(parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranges = materialize(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    heads = ranges.groupBy("_part").agg(F.min(F.struct(*order, "doc_id", "text")).alias("head"))
+    # over one row a range
+    around = Window.orderBy("_part")
+    before = F.coalesce(F.lag("_part").over(around), F.last("_part").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    guests = heads.select(F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), *[F.col(f"head.{c}").alias(c) for c in order], before.alias("_part"), F.lit(True).alias("_guest"))
+    both = ranges.withColumn("_guest", F.lit(False)).unionByName(guests).repartition("_part").withColumn("mine", sketch(F.col("text")))
+    along = Window.partitionBy("_part").orderBy("_guest", *order)
+    near = both.select("*", F.lead("text").over(along).alias("next_text"), F.lead("mine").over(along).alias("next")).where("not _guest")
     n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))).withColumn("theirs", sketch(F.col("edited")))
     mine, theirs, after = F.col("mine"), F.col("theirs"), F.col("next")
