@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import positions
+from ..sources.tables import ranged
 from .common import materialize, salted_rank
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -15,27 +17,35 @@ ROUNDS = 8
 
 def cyclic_weights(sources: DataFrame) -> DataFrame:
     """Weights 1, 2, 3, repeating over the sources by code point, null last (one row per source)."""
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", (F.pmod(nth, F.lit(3)) + 1).cast("double"))
+    nth = positions(sources.withColumn("_null", F.col("source").isNull()), [], ["_null", "source"], "_nth")
+    return nth.withColumn("weight", (F.pmod("_nth", F.lit(3)) + 1).cast("double")).drop("_null", "_nth")
 
 
 def capped_targets(sources: DataFrame, cap: float) -> DataFrame:
     """Share the total of source_size by weight; no target above cap * source_size, the excess reshared by weight.
 
     With sources ordered by cap / weight, those below the common level stop at their
-    cap; the level is what remains over the weights that remain. One row per source.
+    cap; the level is what remains over the weights that remain. Sources are summed in
+    sorted ranges, each of which takes over the sums of those before it, so their number
+    may be large. One row per source.
     """
     limit = F.lit(float(cap)) * F.col("source_size")
-    order = Window.orderBy("fill", F.col("source").asc_nulls_last())
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    level = (total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    told = sources.withColumn("limit", limit).withColumn("fill", F.col("limit") / F.col("weight")).withColumn("level", level)
-    everywhere = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = sources.withColumn("limit", limit).withColumn("fill", F.col("limit") / F.col("weight")).withColumn("_null", F.col("source").isNull())
+    parts = ranged(told, *map(F.col, ("fill", "_null", "source")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = F.lit(0.0)
+    of_part = parts.groupBy("_part").agg(F.sum("limit").alias("l"), F.sum("weight").alias("w"), F.sum("source_size").alias("s"))
+    carried = of_part.select(F.col("_part").alias("__part"), F.coalesce(F.sum("l").over(before), zero).alias("_l"), F.coalesce(F.sum("w").over(before), zero).alias("_w"), F.sum("w").over(whole).alias("_weights"), F.sum("s").over(whole).alias("_total"))
+    own = Window.partitionBy("_part").orderBy("fill", "_null", "source").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.withColumns({"_ol": F.coalesce(F.sum("limit").over(own), zero), "_ow": F.coalesce(F.sum("weight").over(own), zero)})
+    rows = rows.join(carried, F.col("_part") == F.col("__part"))
+    level = (F.col("_total") - F.col("_l") - F.col("_ol")) / (F.col("_weights") - F.col("_w") - F.col("_ow"))
+    rows = materialize(rows.select("source", "source_size", "weight", "limit", "fill", level.alias("level")), "levels")
     # the first source that the level of its own place does not fill sets the level for all after it
     free = F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct("fill", "level"))
-    common = F.coalesce(F.min(free).over(everywhere)["level"], F.lit(float("inf")))
-    return told.withColumn("common", common).select("source", "source_size", "weight", F.least("limit", F.col("common") * F.col("weight")).alias("target"))
+    common = rows.agg(F.coalesce(F.min(free)["level"], F.lit(float("inf"))).alias("common"))
+    return rows.join(F.broadcast(common)).select("source", "source_size", "weight", F.least("limit", F.col("common") * F.col("weight")).alias("target"))
 
 
 def tilted_rates(stats: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-9, most: int = 80) -> DataFrame:

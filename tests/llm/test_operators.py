@@ -293,6 +293,26 @@ def test_base_rates_with_a_binding_cap_match_a_solver(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 60
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(22)
+    sizes = {(None if i == 7 else f"s{i:04d}"): rng.choice([0, 1, 5, 50, 3000]) for i in range(1500)}
+    got = {r.source: r for r in mixing.capped_targets(mixing.cyclic_weights(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(8)), 3).collect()}
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: 1 + i % 3 for i, x in enumerate(order)}
+    target, open_, left = {}, set(sizes), float(sum(sizes.values()))
+    while True:
+        level = left / sum(weight[x] for x in open_)
+        full = {x for x in open_ if level * weight[x] > 3 * sizes[x]}
+        if not full:
+            break
+        target |= {x: 3.0 * sizes[x] for x in full}
+        open_, left = open_ - full, left - sum(3.0 * sizes[x] for x in full)
+    target |= {x: level * weight[x] for x in open_}
+    assert set(got) == set(sizes)
+    for x, r in got.items():
+        assert r.weight == weight[x] and r.target == pytest.approx(target[x], rel=1e-9)
+
+
 def test_odd_base_rates(spark):
     nan = float("nan")
     data = [(i, "w " * 10, "a" if i % 2 else "b", [1.8e-35, nan, 1.8e-35, None, 1e30][i % 5]) for i in range(40)]
@@ -574,13 +594,85 @@ def test_all_words_take_part_in_the_cosine(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
     assert {"plain", "thing", "vile", *(f"word{i}" for i in range(60))} <= set(model.terms.ids)
-    at, w = model.terms.vector("plain word3 unheard")
+    at, w = model.terms.vector("plain word3")
     assert len(at) == 2 and (w > 0).all() and w @ w == pytest.approx(1)
+    # a word of no example is part of the length
+    also, v = model.terms.vector("plain word3 unheard")
+    assert (also == at).all() and v @ v < 0.999 and v / v[0] == pytest.approx(w / w[0])
     assert model.score(["vile plain"])[0][0] > 0.5 > model.score(["plain word2"])[0][0]
 
 
-def test_toxicity_on_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
+def test_scores_match_brute_force(spark):
+    """Norms, neighbours, votes, calibration and scores of the whole operator, from the fitted weights on in plain Python."""
+    rng = random.Random(21)
+    pool = [words(rng, 1) for _ in range(60)]
+    data = []
+    for i in range(260):
+        toxic = i % 4 == 0
+        body = [rng.choice(pool) for _ in range(rng.randint(1, 40))] + ["vile"] * (toxic and rng.random() < 0.8) + ["rotten"] * (toxic and rng.random() < 0.5)
+        rng.shuffle(body)
+        data.append((i, " ".join(body), int(toxic)))
+    data += [(300, "vile plain", None), (301, "vile plain " + " ".join(f"unheard{i}x" for i in range(5000)), None), (302, None, None), (303, "unheardof", None), (304, data[0][1], None), (304, data[1][1], None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    docs, labels, learn = df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.col("doc_id") < 200
+    model = toxicity.fit(docs, labels, learn, k=7)
+    terms, n_examples = model.terms, 200
+    assert terms.unheard == pytest.approx(toxicity.PLAIN_WEIGHT * (np.log(n_examples + 1) + 1))
+
+    def vector(text):
+        tf = collections.Counter()
+        others = 0.0
+        for w, n in collections.Counter(toxicity.words(text)).items():
+            for x in (w, *toxicity.stems(w)):
+                if x in terms.ids:
+                    tf[x] += n
+            others += 0 if w in terms.ids else ((1 + np.log(n)) * terms.unheard) ** 2
+        v = {x: (1 + np.log(n)) * terms.weight[terms.ids[x]] for x, n in tf.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()) + others)
+        return {x: y / norm for x, y in v.items()} if v else {}
+
+    examples = [(i, vector(t), y) for i, t, y in data if i < 200]
+    n_toxic = sum(y for *_, y in examples)
+    prior = (n_toxic + 0.1) / (n_examples + 1)
+
+    def vote(v, without=None):
+        near = sorted((-round(sum(v[x] * e[x] for x in v.keys() & e.keys()), 12), i, y) for i, e, y in examples if i != without)
+        near = [x for x in near if x[0] < 0][:7]
+        pull = [1 / (1.05 + c) for c, *_ in near]
+        return (sum(p * y for p, (*_, y) in zip(pull, near)) + prior) / (sum(pull) + 1), [i for _, i, _ in near]
+
+    # isotonic values by the max-min formula over the examples' own votes; every example stands for one row
+    own = sorted((round(vote(e, i)[0], 9), y) for i, e, y in examples)
+    levels = sorted({v for v, _ in own})
+    totals = [(sum(y for v, y in own if v == x), sum(1 for v, _ in own if v == x)) for x in levels]
+    mean = lambda a, b: sum(t for t, _ in totals[a : b + 1]) / sum(n for _, n in totals[a : b + 1])
+    fitted = [max(min(mean(j, k) for k in range(i, len(levels))) for j in range(i + 1)) for i in range(len(levels))]
+    pools = collections.defaultdict(lambda: [0, 0])
+    for f, (t, n) in zip(fitted, totals):
+        pools[round(f, 9)][0] += t
+        pools[round(f, 9)][1] += n
+    value = {x: (pools[round(f, 9)][0] + prior) / (pools[round(f, 9)][1] + 1) for x, f in zip(levels, fitted)}
+    scored = {}
+    for r in toxicity.score_toxicity(docs, labels, learn, k=7).collect():
+        scored.setdefault(r.doc_id, []).append(r)
+    for i, text, _ in data:
+        v = vector(text)
+        if i == 304:
+            assert len(scored[i]) == 2
+            continue
+        (r,) = scored[i]
+        if not v:
+            assert r.neighbours == [] and r.score == model.blank
+            continue
+        share, near = vote(v)
+        below = [x for x in levels if x <= share]
+        assert r.score == pytest.approx(value[below[-1]] if below else value[levels[0]], abs=1e-9) and sorted(r.neighbours) == sorted(near)
+        assert r.predicted == (r.score >= 0.5)
+    assert len(vector(data[261][1])) == len(vector(data[260][1])) and max(vector(data[261][1]).values()) < 0.5 * max(vector(data[260][1]).values())
+
+
+def test_toxicity_on_held_out_labels(spark, sf_dir):
+    d = f"{sf_dir.rsplit('/', 1)[0]}/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     r = toxicity.score_toxicity(docs, labels, ~held).join(labels, "doc_id").where(held)
@@ -759,3 +851,37 @@ def test_pipeline_stages(spark, sf_dir):
             assert docs.columns == columns
     assert counts[1] <= counts[0] and counts[2] == counts[1] and counts[3] <= counts[2]
     assert "sequence_id" in docs.columns
+
+
+def test_pipeline_on_hostile_rows(spark, rows, empty, tmp_path):
+    """Nulls, empty and repeated rows and clashing columns pass all stages, and each stage's decisions are those of its operator."""
+    import corpus_pipeline
+    from millrace.llm.common import materialize
+
+    more = [(500 + i, ("vile rotten " if i % 2 else "fair mild ") * 6 + f"word{i % 7}", "en", "a", None, *CLASH) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *more], SCHEMA)
+    labels = spark.createDataFrame([(500 + i, None, i % 2) for i in range(60)] + [(None, 1, 1), (500, 0, None), (9999, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.withColumn("text", F.lit("clash")).write.parquet(str(tmp_path / "labels.parquet"))
+    taken = {"documents": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, str(tmp_path)), "hostile")
+        taken[name] = docs
+        if name != "best-fit packing":
+            assert docs.columns == before.columns
+    count = lambda df, *cols: collections.Counter(map(tuple, df.select(*cols).collect()))
+    from millrace.llm.queries import fold
+
+    scored = toxicity.score_toxicity(taken["documents"], spark.read.parquet(str(tmp_path / "labels.parquet")), ~fold(5, 0))
+    assert count(taken["toxicity"], "doc_id") == count(scored.where("score < 0.5"), "doc_id")
+    assert 20 <= taken["documents"].count() - taken["toxicity"].count() <= 30
+    assert count(taken["line dedup"], "doc_id", "source", "key") == count(taken["toxicity"], "doc_id", "source", "key")
+    first = count(taken["SimHash near-dedup"], "doc_id")
+    assert set(first) <= set(count(taken["line dedup"], "doc_id")) and sum(first.values()) < taken["line dedup"].count()
+    mix = mixing.entropy_mix(taken["SimHash near-dedup"]).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("n"))
+    assert {r.doc_id: r.n for r in mix.collect()} == {d: n for (d,), n in count(taken["source mixing"], "doc_id").items()}
+    packed = taken["best-fit packing"]
+    assert count(packed.where("piece = 0"), "doc_id") == count(taken["source mixing"], "doc_id")
+    stage = empty
+    for _, of in corpus_pipeline.STAGES:
+        stage = of(spark, stage, str(tmp_path))
+    assert stage.count() == 0
