@@ -27,6 +27,21 @@ def weighted_blend(long: DataFrame, key: Sequence[str], weights: DataFrame, reno
     return long.join(weights.select("model", "w"), "model", "left").groupBy(*key).agg((F.try_divide(total, present) if renorm else total).alias("blend"), F.count(F.when(has, 1)).alias("n_models"))
 
 
+def blend_columns(wide: DataFrame, models: Sequence[str], weights: DataFrame, renorm: bool = True) -> DataFrame:
+    """weighted_blend of a wide table, whose models are columns: the columns given and blend and n_models, without moving a row.
+
+    The weights, one a model, are read first. A model without one counts for nothing; of
+    several rows of a model the weights add up.
+    """
+    given = weights.where(F.col("model").isin(list(models)) & F.col("w").isNotNull()).groupBy("model").agg(F.sum("w").alias("w"))
+    w = {r["model"]: r["w"] for r in given.collect()}
+    zero, there = F.lit(0.0), {m: F.col(m).isNotNull() for m in models if m in w}
+    total = sum((F.when(has, w[m] * F.col(m)).otherwise(zero) for m, has in there.items()), zero)
+    present = sum((F.when(has, w[m]).otherwise(zero) for m, has in there.items()), zero)
+    n = sum((has.cast("long") for has in there.values()), F.lit(0).cast("long"))
+    return wide.withColumns({"blend": F.when(n > 0, F.try_divide(total, present) if renorm else total), "n_models": n})
+
+
 def inject(df: DataFrame, base: str, new: str, alpha: float, out: str) -> DataFrame:
     return df.withColumn(out, (1 - alpha) * F.col(base) + alpha * F.col(new))
 

@@ -160,6 +160,11 @@ def weighted_blend(spark, sf):
     return rounded(B.weighted_blend(long_preds(spark, sf), ["store", "day"], spark.createDataFrame(WEIGHTS, "model string, w double")))
 
 
+@query("preds", "SELECT store, day, round((0.1 * p_lag1 + 0.2 * p_lag7 + 0.3 * p_nz28) / (0.1::DOUBLE + 0.2 + 0.3), 6) AS blend, CAST(3 AS BIGINT) AS n_models FROM preds")
+def blend_columns(spark, sf):
+    return rounded(B.blend_columns(fx.preds(spark, sf), fx.MODELS, spark.createDataFrame(WEIGHTS[:3], "model string, w double")).select("store", "day", "blend", "n_models"))
+
+
 @query("preds", "SELECT store, day, round(0.7 * p_mean + 0.3 * p_nz28, 6) AS pred FROM preds")
 def inject(spark, sf):
     return rounded(B.inject(fx.preds(spark, sf), "p_mean", "p_nz28", 0.3, "pred").select("store", "day", "pred"))

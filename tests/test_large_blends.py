@@ -88,6 +88,19 @@ def test_blend_keeps_keys_without_a_weighted_model(spark):
     assert got == {1: (1.0, 1), 2: (None, 0), 3: (None, 0)}
 
 
+@pytest.mark.parametrize("renorm", [True, False])
+def test_wide_blends_equal_long_ones(spark, renorm):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 4))
+    x[rng.random(x.shape) < 0.4] = np.nan
+    wide = spark.createDataFrame([(i, *[None if v != v else float(v) for v in r]) for i, r in enumerate(x)], "k int, a double, b double, c double, d double")
+    weights = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 1.0), ("z", 3.0), ("d", None)], "model string, w double")
+    key = lambda df: {r.k: (None if r.blend is None else round(r.blend, 9), r.n_models) for r in df.collect()}
+    got = B.blend_columns(wide, list("abcd"), weights, renorm)
+    assert key(got) == key(B.weighted_blend(A.stack_columns(wide, list("abcd"), ["k"]), ["k"], weights, renorm))
+    assert "Exchange" not in plan(got) and got.columns == ["k", "a", "b", "c", "d", "blend", "n_models"]
+
+
 def test_fingerprints_find_every_difference(spark):
     rng = np.random.default_rng(4)
     base = {i: float(rng.integers(0, 50)) for i in range(3000)}
