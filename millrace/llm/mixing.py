@@ -41,9 +41,10 @@ def capped_targets(sources: DataFrame, cap: float) -> DataFrame:
     rows = parts.withColumns({"_ol": F.coalesce(F.sum("limit").over(own), zero), "_ow": F.coalesce(F.sum("weight").over(own), zero)})
     rows = rows.join(carried, F.col("_part") == F.col("__part"))
     level = (F.col("_total") - F.col("_l") - F.col("_ol")) / (F.col("_weights") - F.col("_w") - F.col("_ow"))
-    rows = materialize(rows.select("source", "source_size", "weight", "limit", "fill", level.alias("level")), "levels")
-    # the first source that the level of its own place does not fill sets the level for all after it
-    free = F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct("fill", "level"))
+    rows = materialize(rows.select("source", "source_size", "weight", "limit", "fill", "_null", level.alias("level")), "levels")
+    # the first source that the level of its own place does not fill sets the level for all after it;
+    # of sources alike in fill too it has to be the first, whose level counts all of them
+    free = F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct("fill", "_null", "source", "level"))
     common = rows.agg(F.coalesce(F.min(free)["level"], F.lit(float("inf"))).alias("common"))
     return rows.join(F.broadcast(common)).select("source", "source_size", "weight", F.least("limit", F.col("common") * F.col("weight")).alias("target"))
 
