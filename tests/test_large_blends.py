@@ -1,7 +1,5 @@
 """Blending, submissions, caches and folds in their large forms: equal to brute force and to the plain forms."""
 
-import time
-
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -142,10 +140,9 @@ def test_folds_at_once_predict_as_one_by_one(spark):
     df = spark.createDataFrame(rows, "i int, f double, y double, d string").withColumn("d", F.to_date("d"))
     folds = G.rolling_origin(df, "d", [f"2024-{m:02d}-01" for m in (4, 6, 8, 10, 12)])
     fit = lambda t: G.fit_gbt(t, ["f"], "y", "squared", depth=3, iters=3)
-    took, found = {}, {}
+    found = {}
     for at_once in (1, 4):
-        start = time.time()
-        found[at_once] = [(r.fold, r.i, r.pred) for r in G.oof_predictions(folds, [0, 1, 2, 3], fit, at_once).orderBy("fold", "i").collect()]
-        took[at_once] = time.time() - start
-    assert found[1] == found[4] and len(found[1]) == folds.where("split = 'valid'").count()
-    assert took[4] < took[1]
+        found[at_once] = G.oof_predictions(folds, [0, 1, 2, 3], fit, at_once).orderBy("fold", "i").collect()
+    assert len(found[1]) == len(found[4]) == folds.where("split = 'valid'").count()
+    for a, b in zip(found[1], found[4]):
+        assert (a.fold, a.i) == (b.fold, b.i) and a.pred == pytest.approx(b.pred, rel=1e-9)  # sums may round in another order
