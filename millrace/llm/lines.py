@@ -70,19 +70,19 @@ def sketched(least: np.ndarray) -> np.ndarray:
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sketches (line, sketch) agree nearly as often as those of texts of similarity ``threshold`` do.
+    """The pairs (a, b) whose sketches (line, s0, s1, ...) agree nearly as often as those of texts of similarity ``threshold`` do.
 
     Four bits agree by chance one time in 16. A pair of just that similarity is lost if
     its matches fall SHORT standard errors below what is expected: one in ten million.
     """
     p = threshold + (1 - threshold) / 16
     least = SKETCHED * p - SHORT * (SKETCHED * p * (1 - p)) ** 0.5
-    both = pairs
+    both, held = pairs, [c for c in sketches.columns if c != "line"]
     for side in "ab":
-        both = both.join(sketches.select(F.col("line").alias(side), F.col("sketch").alias(f"s{side}")), side)
+        both = both.join(sketches.select(F.col("line").alias(side), *[F.col(c).alias(side + c) for c in held]), side)
     matches = F.lit(SKETCHED)
-    for i in range(SKETCHED // 16):
-        x = F.element_at("sa", i + 1).bitwiseXOR(F.element_at("sb", i + 1))
+    for c in held:
+        x = F.col("a" + c).bitwiseXOR(F.col("b" + c))
         any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         matches -= F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
     return both.where(matches >= least).select("a", "b")
@@ -342,7 +342,8 @@ def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None
     candidates = materialize(candidates.distinct(), "candidates")
     bodies = texts_for(candidates)
     if sketches is not None:
-        sketches = materialize(sketches.join(candidates, "line", "left_semi").dropDuplicates(["line"]), "sketches")
+        longs = [F.max(F.element_at("sketch", i + 1)).alias(f"s{i}") for i in range(SKETCHED // 16)]
+        sketches = materialize(sketches.join(candidates, "line", "left_semi").groupBy("line").agg(*longs), "sketches")
     near = lambda pairs: pairs if sketches is None else likely(pairs, sketches, threshold)
     links = materialize(verified(near(tried), bodies, threshold, parts), "links")
     roots = materialize(connected_components(links), "roots")
