@@ -14,7 +14,8 @@ from ..sources.tables import ranged, scratch, stored, with_part
 
 
 def pivot_predictions(long: DataFrame, key: Sequence[str], models: Sequence[str]) -> DataFrame:
-    return long.groupBy(*key).pivot("model", list(models)).agg(F.first("pred"))
+    """A column per model, in one grouping by key: a pivot would group by (key, model) first, as many groups as long rows."""
+    return long.groupBy(*key).agg(*[F.first(F.when(F.col("model") == m, F.col("pred")), ignorenulls=True).alias(m) for m in models])
 
 
 def weighted_blend(long: DataFrame, key: Sequence[str], weights: DataFrame, renorm: bool = True) -> DataFrame:
