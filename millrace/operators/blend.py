@@ -56,20 +56,35 @@ def alpha_sweep(df: DataFrame, base: str, new: str, y: str, alphas: Sequence[flo
     return curve.join(F.broadcast(top)).select("alpha", "score", (F.col("alpha") == F.col("_best")).alias("best"))
 
 
-def best_alpha(df: DataFrame, base: str, new: str, y: str, by: Sequence[str] = (), low: float | None = 0.0, high: float | None = 1.0) -> DataFrame:
+def best_alpha(df: DataFrame, base: str, new: str, y: str, by: Sequence[str] = (), low: float | None = 0.0, high: float | None = 1.0, task_rows: int = 1 << 20, largest: int | None = None) -> DataFrame:
     """The injection a with the least mean |y - ((1 - a) * base + a * new)|, exactly: (by..., alpha, mae, n_scored).
 
     The loss is convex and piecewise linear in a, with a kink of weight |new - base| where
     a row is met exactly, at a = (y - base) / (new - base). Its minimum is the weighted
     median of the kinks, of a flat stretch the least a, moved into [low, high] (null: no
-    bound). Weights are added up per kink, sorted into ranges and summed range by range;
-    each range takes over the weight of those before it, so no group is one task. Rows
-    with a null count for nothing; a group whose rows all have new = base has alpha null
-    and the base's own loss; a group without a full row doesn't appear.
+    bound). Groups of at most ``task_rows`` rows are windowed where they lie, in one pass.
+    Are there larger ones, weights are added up per kink, sorted into ranges and summed
+    range by range; each range takes over the weight of those before it, so no group is
+    one task. ``largest``, a bound of a group's rows where one is known, saves counting
+    them. Rows with a null count for nothing; a group whose rows all have new = base has
+    alpha null and the base's own loss; a group without a full row doesn't appear.
     """
     keys = list(by)
     of = lambda c: F.col(c).cast("double")
-    rows = df.select(F.struct(F.lit(0).alias("_0"), *keys).alias("_key"), of(base).alias("_b"), (of(new) - of(base)).alias("_d"), (of(y) - of(base)).alias("_r")).dropna(subset=["_b", "_d", "_r"])
+    rows = df.select(*keys, of(base).alias("_b"), (of(new) - of(base)).alias("_d"), (of(y) - of(base)).alias("_r")).dropna(subset=["_b", "_d", "_r"])
+    if largest is None:
+        rows = stored(rows, "rows")
+        largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if keys and largest <= task_rows:
+        group = Window.partitionBy(*keys)
+        # + 0.0 makes -0.0 and 0.0 one value
+        own = rows.withColumn("_a", F.when(F.col("_d") != 0, F.col("_r") / F.col("_d") + 0.0))
+        run = own.withColumns({"_run": F.sum(F.abs("_d")).over(group.orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum(F.abs("_d")).over(group)})
+        median = F.min(F.when(2 * F.col("_run") >= F.col("_all"), F.col("_a"))).over(group)
+        found = run.withColumn("_m", median).withColumn("alpha", F.when(F.col("_m").isNotNull(), _within(F.col("_m"), low, high)))
+        gap = F.abs(F.col("_r") - F.coalesce("alpha", F.lit(0.0)) * F.col("_d"))
+        return found.groupBy(*keys).agg(F.first("alpha").alias("alpha"), F.avg(gap).alias("mae"), F.count(F.lit(1)).alias("n_scored"))
+    rows = rows.select(F.struct(F.lit(0).alias("_0"), *keys).alias("_key"), "_b", "_d", "_r")
     kinks = rows.where("_d <> 0").groupBy("_key", (F.col("_r") / F.col("_d")).alias("_a")).agg(F.sum(F.abs("_d")).alias("_w"))
     parts = ranged(kinks, F.col("_key"), F.col("_a"))
     sums = parts.groupBy("_key", "_part").agg(F.sum("_w").alias("w"))
@@ -78,17 +93,17 @@ def best_alpha(df: DataFrame, base: str, new: str, y: str, by: Sequence[str] = (
     carried = sums.select(F.col("_key").alias("_group"), F.col("_part").alias("__part"), F.coalesce(before, F.lit(0.0)).alias("_before"), F.sum("w").over(across).alias("_all"))
     own = F.sum("_w").over(Window.partitionBy("_key", "_part").orderBy("_a").rowsBetween(Window.unboundedPreceding, 0))
     passed = with_part(parts.withColumn("_own", own), carried, "_key").where(2 * (F.col("_before") + F.col("_own")) >= F.col("_all"))
-    bounded = F.min("_a")
-    if low is not None:
-        bounded = F.greatest(bounded, F.lit(float(low)))
-    if high is not None:
-        bounded = F.least(bounded, F.lit(float(high)))
-    best = passed.groupBy("_key").agg(bounded.alias("alpha"))
+    best = passed.groupBy("_key").agg(_within(F.min("_a"), low, high).alias("alpha"))
     met = rows.join(best.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"), "left")
     gap = F.abs(F.col("_r") - F.coalesce("alpha", F.lit(0.0)) * F.col("_d"))
     return met.groupBy("_key").agg(F.first("alpha").alias("alpha"), F.avg(gap).alias("mae"), F.count(F.lit(1)).alias("n_scored")).select(*[F.col(f"_key.{k}").alias(k) for k in keys], "alpha", "mae", "n_scored")
 
 
+def _within(c: Column, low: float | None, high: float | None) -> Column:
+    c = c if low is None else F.greatest(c, F.lit(float(low)))
+    return c if high is None else F.least(c, F.lit(float(high)))
+
+
 def _rows(df: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFrame:
     """One aggregate over df whose results become a row per entry of ``rows``."""
     flat = {(i, k): c for i, r in enumerate(rows) for k, c in r.items()}
