@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import ranged, scratch, stored, with_part
+from ..sources.tables import ranged, stored, with_part
 
 
 def pivot_predictions(long: DataFrame, key: Sequence[str], models: Sequence[str]) -> DataFrame:
@@ -181,10 +181,11 @@ def complement_screen(wide: DataFrame, base: str, candidates: Sequence[str], y:
 def _totals(table: np.ndarray, loss: str, trials: np.ndarray) -> np.ndarray:
     """Summed loss of every candidate weight vector over a table of model rows and, last, the target row."""
     total = np.zeros(len(trials))
-    for at in range(0, table.shape[1], 4096):
-        part = table[:, at : at + 4096]
-        gap = trials @ part[:-1] - part[-1]
-        total += np.abs(gap).sum(1) if loss == "absolute" else (gap * gap).sum(1)
+    for at in range(0, table.shape[1], 1024):
+        part = table[:, at : at + 1024]
+        gap = trials @ part[:-1]
+        gap -= part[-1]
+        total += (np.abs(gap, out=gap) if loss == "absolute" else np.square(gap, out=gap)).sum(1)
     return total
 
 
@@ -192,21 +193,33 @@ def _rows_of(batch: pa.RecordBatch | pa.Table, n: int) -> np.ndarray:
     return np.stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), float) for i in range(n)])
 
 
-def _losses(df: DataFrame, loss: str, trials: np.ndarray) -> np.ndarray:
-    """Mean loss of every candidate weight vector (rows of trials): partial sums per Arrow batch, then one aggregate."""
+def _packed(df: DataFrame) -> DataFrame:
+    """df, all of doubles, as blocks of whole columns: (n, x), a block an Arrow batch; read many times, blocks cost far less than rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(trials)), 0
         for batch in batches:
-            total += _totals(_rows_of(batch, batch.num_columns), loss, trials)
-            n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(trials))), pa.array(total), pa.array(np.full(len(trials), n))], ["i", "total", "n"])
+            for at in range(0, batch.num_rows, 8192):
+                x = _rows_of(batch.slice(at, 8192), batch.num_columns)
+                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]]), pa.array([x.tobytes()], pa.binary())], ["n", "x"])
+
+    return df.mapInArrow(run, "n long, x binary")
+
+
+def _summed(packed: DataFrame, of: Callable[[np.ndarray], np.ndarray], size: int) -> tuple[np.ndarray, int]:
+    """The sum over all blocks of ``size`` numbers of each, and the rows: sums per task, then one aggregate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(size), 0
+        for batch in batches:
+            for rows, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total += of(np.frombuffer(x.as_buffer()).reshape(-1, rows))
+                n += rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total), pa.array(np.full(size, n))], ["i", "total", "n"])
 
-    parts = df.mapInArrow(run, "i long, total double, n long")
-    out = np.full(len(trials), np.inf)
-    for r in parts.groupBy("i").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():  # one row per candidate
-        out[r["i"]] = r["total"] / max(r["n"], 1)
-    return out
+    out, n = np.zeros(size), 0
+    for r in packed.mapInArrow(run, "i long, total double, n long").groupBy("i").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():  # one row per number
+        out[r["i"]], n = r["total"], r["n"]
+    return out, n
 
 
 def _clipped(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
@@ -216,22 +229,26 @@ def _clipped(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
 
 
 def _pair_swaps(losses, start: np.ndarray, steps: Sequence[float], rounds: int) -> tuple[np.ndarray, float]:
-    """From the best of the starts (rows) and, to check it, from a random one: moves of weight between two models until none helps."""
-    m = start.shape[1]
-    scores = losses(start)
-    found = []
-    for w in (start[scores.argmin()], np.random.default_rng(0).dirichlet(np.ones(m))):
-        best = losses(w[None])[0]
-        for _ in range(rounds):
-            trials = _moves(w, steps)
-            if not len(trials):
-                break
-            scores = losses(trials)
-            if scores.min() >= best - 1e-12:
-                break
-            w, best = np.maximum(trials[scores.argmin()], 0), scores.min()
-        found.append((best, w.tolist()))
-    best, w = min(found)
+    """From the best of the starts (rows) and, to check it, from a random one: moves of weight between two models until none helps.
+
+    Both searches go on at the same time, so that a round is one call of ``losses``.
+    """
+    other = np.random.default_rng(0).dirichlet(np.ones(start.shape[1]))
+    scores = losses(np.vstack([start, other]))
+    found = [(scores[:-1].min(), start[scores[:-1].argmin()]), (scores[-1], other)]
+    going = [0, 1]
+    for _ in range(rounds):
+        moves = {i: _moves(found[i][1], steps) for i in going}
+        going = [i for i in going if len(moves[i])]
+        if not going:
+            break
+        scores = losses(np.vstack([moves[i] for i in going]))
+        for i, own in zip(list(going), np.split(scores, np.cumsum([len(moves[i]) for i in going])[:-1])):
+            if own.min() >= found[i][0] - 1e-12:
+                going.remove(i)
+            else:
+                found[i] = own.min(), np.maximum(moves[i][own.argmin()], 0)
+    best, w = min((best, w.tolist()) for best, w in found)
     return np.array(w), float(best)
 
 
@@ -336,7 +353,8 @@ def fit_blend_weights(wide: DataFrame, models: Sequence[str], y: str, loss: str
     The search starts from the best of equal weights, each single model and the clipped
     squared-error solution, and again from a random point. Each round moves a step of
     weight from one model to another, tries all such moves on the cluster at once and
-    keeps the best, until none helps; the narrow input is written once and only weight
+    keeps the best, until none helps; the narrow input is written once, in blocks of
+    columns, both searches share a pass over it a round, and only weight
     vectors and their losses are on the driver. With ``by`` a group of up to
     ``task_rows`` rows is fitted in a task of its own; all larger ones are fitted at once,
     their trials scored over all tasks and summed by (group, search) each round. Rows with a null are left out; without
@@ -354,22 +372,14 @@ def fit_blend_weights(wide: DataFrame, models: Sequence[str], y: str, loss: str
         large = stored(narrow.join(groups, same).select("_g", *models, y), "large")
         found = _fit_across_tasks(large, models, y, loss, steps, rounds).join(groups, "_g").select(*[F.col(f"_key.{k}").alias(k) for k in keys], "model", "w", "loss")
         return _fit_in_tasks(narrow.join(groups, same, "left_anti"), keys, models, y, loss, steps, rounds).unionByName(found)
-    path = scratch(wide.sparkSession, "blend")
-    narrow.write.parquet(path)
-    table = wide.sparkSession.read.schema(narrow.schema).parquet(path)
-    cols = [*models, y]
-    pairs = [(i, j) for i in range(m) for j in range(i, m + 1)]
-    sums = table.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    table = stored(_packed(narrow), "blend")
+    squares, n = _summed(table, lambda x: (x @ x.T).ravel(), (m + 1) ** 2)
     schema = "model string, w double, loss double"
-    if not sums["n"]:
+    if not n:
         return wide.sparkSession.createDataFrame([], schema)
-    gram, cross = np.zeros((m, m)), np.zeros(m)
-    for i, j in pairs:
-        if j == m:
-            cross[i] = sums[f"s{i}_{j}"]
-        else:
-            gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
-    w, best = _pair_swaps(lambda trials: _losses(table, loss, trials), np.vstack([fixed, _clipped(gram, cross)]), steps, rounds)
+    squares = squares.reshape(m + 1, m + 1)
+    starts = np.vstack([fixed, _clipped(squares[:m, :m], squares[:m, m])])
+    w, best = _pair_swaps(lambda trials: _summed(table, lambda x: _totals(x, loss, trials), len(trials))[0] / n, starts, steps, rounds)
     return wide.sparkSession.createDataFrame([(a, float(b), best) for a, b in zip(models, w)], schema)
 
 
