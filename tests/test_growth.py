@@ -9,6 +9,7 @@ from millrace import fixtures as fx
 from millrace.operators import blend as B
 from millrace.operators import demand as D
 from millrace.plans import queries as Q
+from millrace.sources import tables as A
 
 
 def plan(df):
@@ -69,3 +70,9 @@ def test_rounded_is_round(spark):
     df = spark.createDataFrame([(None if x is None else float(x),) for x in xs], "x double")
     both = Q.rounded(df.select("x", F.round("x", 6).cast("string").alias("s")))
     assert both.where("not (s <=> cast(x as string))").count() == 0
+
+
+def test_submission_is_joined_once_for_its_sort(spark):
+    keys = spark.createDataFrame([(2,), (1,), (3,)], "k int")
+    filled = A.make_submission(keys, spark.createDataFrame([(1, 5.0), (3, None)], "k int, pred double"), ["k"], -1.0)
+    assert list(map(tuple, filled.collect())) == [(1, 5.0), (2, -1.0), (3, -1.0)] and "Join" not in plan(filled)
