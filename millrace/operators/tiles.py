@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,25 +143,101 @@ def nearest_points(sites: DataFrame, tree: TileTree, k: int, site: str, sy: str,
     return found.select(F.col("_site").alias(site), F.col("_id").alias(id_), "d")
 
 
-def points_within(sites: DataFrame, tree: TileTree, radius: float, site: str, sy: str, sx: str, id_: str, y: str, x: str) -> tuple[list[DataFrame], DataFrame]:
-    """Per level, lowest first (the single top tile isn't used), the (site, tile) pairs wholly within the radius, and the (site, id, y, x) of the points within it in no such tile.
+def met_blocks(blocks: DataFrame, tiles: DataFrame, radius: float) -> DataFrame:
+    """(_b, _c, whole): the pairs of a block of sites and a tile of points with a distance within the radius; whole where no distance passes it.
 
-    Tiles are taken as high up as they fit; only those that the circle's edge cuts are
-    opened, down to their points.
+    Both have boxes (tile, y0, y1, x0, x1). Blocks are few by design, so each tile is held against all of them.
     """
-    met, below = _at_the_top(sites, tree, site, sy, sx)
-    inside = []
-    for level, size in [*below, (None, 0)]:
-        met = met.where(F.col("near") <= radius)
-        if len(tree.levels) > 1:
-            met = stored(met, "met")  # both the pairs of this level and the next level read it
-        inside.append(met.where(F.col("far") <= radius).select(F.col("_site").alias(site), "tile"))
-        frontier = met.where(F.col("far") > radius).select("_site", "_sy", "_sx", "tile")
-        if level is not None:
-            met = _children(frontier, level, size)
-    pairs = frontier.join(tree.points.select("tile", id_, y, x), "tile")
-    near = pairs.where(distance(F.col("_sy") - F.col(y), F.col("_sx") - F.col(x)) <= radius)
-    return inside[::-1], near.select(F.col("_site").alias(site), id_, y, x)
+    of = blocks.select(F.col("tile").alias("_b"), *[F.col(c).alias(f"_{c}") for c in ("y0", "y1", "x0", "x1")])
+    pairs = tiles.select(F.col("tile").alias("_c"), "y0", "y1", "x0", "x1").crossJoin(F.broadcast(of))
+    under = {c: (F.col(f"{c}0") - F.col(f"_{c}1"), F.col(f"_{c}0") - F.col(f"{c}1")) for c in "yx"}
+    near = distance(*[F.greatest(*under[c], F.lit(0.0)) for c in "yx"])
+    far = distance(*[F.greatest(*[F.abs(u) for u in under[c]]) for c in "yx"])
+    return pairs.select("_b", "_c", near.alias("_near"), (far <= radius).alias("whole")).where(F.col("_near") <= radius).drop("_near")
+
+
+def sums_within(sites: np.ndarray, points: np.ndarray, sums: np.ndarray, lows: np.ndarray, radius: float, leaf: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and least values, column by column, of the rows of ``sums`` and ``lows`` whose points lie within the radius of each site.
+
+    Points are halved along their wider axis. A part that lies within a site's circle
+    counts as a whole, one that its edge cuts is opened for those sites alone.
+    """
+    total, least = np.zeros((len(sites), sums.shape[1])), np.full((len(sites), lows.shape[1]), np.inf)
+    todo = [(np.arange(len(points)), np.arange(len(sites)))] if len(points) else []
+    while todo:
+        own, at = todo.pop()
+        p, s = points[own], sites[at]
+        low, high = p.min(0), p.max(0)
+        near = np.maximum(np.maximum(low - s, s - high), 0.0)
+        far = np.maximum(np.abs(s - low), np.abs(s - high))
+        whole = np.sqrt(far[:, 0] * far[:, 0] + far[:, 1] * far[:, 1]) <= radius
+        cut = ~whole & (np.sqrt(near[:, 0] * near[:, 0] + near[:, 1] * near[:, 1]) <= radius)
+        if whole.any():
+            total[at[whole]] += sums[own].sum(0)
+            least[at[whole]] = np.minimum(least[at[whole]], lows[own].min(0))
+        if not cut.any():
+            continue
+        s, at = s[cut], at[cut]
+        if len(own) <= leaf:
+            for i in range(0, len(at), 4096):
+                dy, dx = s[i : i + 4096, :1] - p[:, 0], s[i : i + 4096, 1:] - p[:, 1]
+                seen, to = np.sqrt(dy * dy + dx * dx) <= radius, at[i : i + 4096]
+                total[to] += seen.astype(float) @ sums[own]
+                least[to] = np.minimum(least[to], np.where(seen[:, None, :], lows[own].T, np.inf).min(2))
+        else:
+            halves = np.argpartition(p[:, np.argmax(high - low)], len(own) // 2)
+            todo += [(own[halves[: len(own) // 2]], at), (own[halves[len(own) // 2 :]], at)]
+    return total, least
+
+
+def circle_moments(sites: np.ndarray, cells: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sites (indices) with a cell within the radius and, as columns of MOMENTS, the moments of those cells' values.
+
+    A row of ``cells`` is y, x and the value's n, mean, squared deviations, least and greatest; n may be 0.
+    """
+    points, n = cells[:, :2], cells[:, 2]
+    some = n > 0
+    sound = some & np.isfinite(cells[:, 3:7]).all(1)
+    at = np.flatnonzero(sound) if sound.any() else np.arange(1)
+    v = np.where(some, cells[:, 3], 0.0)
+    # deviations from a middle row, so what is constant has none
+    mid = [np.partition(c[at], len(at) // 2)[len(at) // 2] if sound.any() else 0.0 for c in (v, cells[:, 0], cells[:, 1])]
+    off = [np.where(some, c - m, 0.0) for c, m in zip((v, cells[:, 0], cells[:, 1]), mid)]
+    plain = [np.where(sound, o, 0.0) for o in off]
+    squares = [n * o * o for o in plain]
+    squares[0] = squares[0] + np.where(sound, cells[:, 4], 0.0)
+    # the last column counts values that are no finite numbers, which would spoil the sums of all
+    sums = np.column_stack([np.ones(len(n)), n, *[n * o for o in plain], *squares, n * plain[0] * plain[1], n * plain[0] * plain[2], some & ~sound])
+    lows = np.where(some[:, None], np.column_stack([cells[:, 5], -cells[:, 6], points[:, 0], -points[:, 0], points[:, 1], -points[:, 1]]), np.inf)
+    lows[some & ~sound, :2] = np.inf
+    total, least = sums_within(sites, points, sums, lows, radius)
+    there = np.flatnonzero(total[:, 0] > 0)
+    total, least = total[there], least[there]
+    k = total[:, 1]
+    few = np.maximum(k, 1)[:, None]
+    mean, square = total[:, 2:5] / few, total[:, 5:8] - total[:, 2:5] ** 2 / few
+    cross = total[:, 8:10] - total[:, 2:3] * total[:, 3:5] / few
+    ends = np.column_stack([s * least[:, j] for j, s in enumerate((1, -1) * 3)])
+    # where most digits of a square cancel, deviations are taken from the site's own mean
+    for i in np.flatnonzero(((square < 1e-6 * total[:, 5:8]) & (k > 0)[:, None]).any(1) | (total[:, 10] > 0)):
+        d = sites[there[i]] - points
+        own = np.flatnonzero((np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]) <= radius) & some)
+        w = n[own]
+        with np.errstate(invalid="ignore"):
+            mean[i] = [(w * o[own]).sum() / k[i] for o in off]
+            rest = [o[own] - m for o, m in zip(off, mean[i])]
+            square[i] = [(w * r * r).sum() for r in rest]
+            cross[i] = [(w * rest[0] * r).sum() for r in rest[1:]]
+        square[i, 0] += cells[own, 4].sum()
+        # NaN is the greatest value, as in Spark
+        ends[i, :2] = np.fmin.reduce(cells[own, 5]), np.max(cells[own, 6])
+    out = np.column_stack([k, mean + mid, np.maximum(square, 0.0), cross, ends])
+    out[k == 0, 1:] = np.nan
+    return there, out
+
+
+#: The columns of moments_of, in order.
+MOMENTS = ["m_n", "m_v", "m_y", "m_x", "m_vv", "m_yy", "m_xx", "m_vy", "m_vx", "m_v0", "m_v1", "m_y0", "m_y1", "m_x0", "m_x1"]
 
 
 def moments_of(df: DataFrame, keys: Sequence[str], v: str, y: str, x: str) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..sources.tables import ranged, stored, with_part
-from .tiles import merged_moments, moments_of, nearest_points, points_within, tile_tree
+from .tiles import MOMENTS, circle_moments, merged_moments, met_blocks, moments_of, nearest_points, tile_tree
 
 
 def asof_issue(targets: DataFrame, forecasts: DataFrame, key: str, t: str, issue: str, value: str, tie: str) -> DataFrame:
@@ -64,32 +67,70 @@ def grid_to_site(sites: DataFrame, grid: DataFrame, field: DataFrame, k: int, po
     return field.join(w, "cell").groupBy("site", *by).agg(*means, F.count(F.lit(1)).alias("n_cells"))
 
 
-def field_stats(sites: DataFrame, grid: DataFrame, field: DataFrame, radius: float, col: str, by: Sequence[str], leaf: int = 64, fan: int = 16) -> DataFrame:
+def field_stats(sites: DataFrame, grid: DataFrame, field: DataFrame, radius: float, col: str, by: Sequence[str], leaf: int = 64, fan: int = 16, block_sites: int = 256, group_points: int = 1 << 20) -> DataFrame:
     """Mean, spread, least, greatest and the slopes in y and x of a field within ``radius`` of each site.
 
-    Tiles of the grid that lie wholly within a circle give their stored moments; only
-    cells of tiles that its edge cuts are met one by one. Null values count for nothing
-    (a site with only such values has null statistics); slopes are null where all cells
-    share the coordinate.
+    Sites are cut into blocks of neighbours, at most some 64 of them while a block stays
+    below 2^16 sites, and cells into the tiles of a tree. Tiles that lie wholly within the
+    radius of a whole block give their stored moments. The others travel to the blocks
+    whose circles may cut them, at most ``group_points`` places or so a task, where each
+    block's circles are summed up at once: so what is exchanged grows as the sites and
+    cells, not as their pairs. Null values count for nothing (a site with only such values
+    has null statistics); slopes are null where all cells share the coordinate.
     """
     keys = list(by)
     tree = tile_tree(grid.select("cell", "gy", "gx"), "cell", "gy", "gx", leaf, fan)
-    inside, single = points_within(sites, tree, radius, "site", "sy", "sx", "cell", "gy", "gx")
+    n_sites = sites.count()
+    blocks = tile_tree(sites.select("site", "sy", "sx").distinct(), "site", "sy", "sx", max(block_sites, min(-(-n_sites // 64), 1 << 16)), fan)
+    # tiles of some 16,384 cells, two levels up, or the highest
+    up = min(2, len(tree.levels) - 1)
+    met = stored(met_blocks(blocks.levels[0], tree.levels[up], radius), "met")
     values = field.select("cell", *keys, F.col(col).alias("_v"))
-    found = moments_of(values.join(single, "cell"), ["site", *keys], "_v", "gy", "gx")
-    moments = moments_of(values.join(tree.points, "cell"), ["tile", *keys], "_v", "gy", "gx")
-    for i, whole in enumerate(inside):
-        if i:
-            moments = merged_moments(moments.withColumn("tile", F.expr(f"tile div {tree.fan}")), ["tile", *keys])
-        if len(inside) > 1:
-            moments = stored(moments, "moments")
-        found = found.unionByName(whole.join(moments, "tile").drop("tile"))
-    m = merged_moments(found, ["site", *keys])
+    tile = F.expr(f"tile div {tree.fan**up}").alias("_c")
+    # one row for each place and key
+    cells = stored(moments_of(values.join(tree.points.select("cell", "gy", "gx", tile), "cell"), ["cell", "gy", "gx", "_c", *keys], "_v", "gy", "gx"), "cells")
+    at = blocks.points.select(F.col("tile").alias("_b"), "site", "sy", "sx")
+    whole = merged_moments(cells.join(F.broadcast(met.where("whole").select("_c").distinct()), "_c"), ["_c", *keys])
+    of_block = merged_moments(met.where("whole").select("_b", "_c").join(whole, "_c"), ["_b", *keys])
+    found = at.join(of_block, "_b").select("site", *keys, *MOMENTS)
+    # runs of tiles: eight while they keep to the bound, so that a site has few parts to join
+    sizes = cells.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("tiles")).first()
+    run = max(1, min(-(-(sizes["tiles"] or 1) // 8), group_points // (sizes["most"] or 1)))
+    # a tile with more places and keys than the bound is dealt by key
+    salts = -(-(sizes["most"] or 1) // group_points)
+    salt = (F.pmod(F.xxhash64(*keys), F.lit(salts)) if keys else F.lit(0).cast("long")).alias("_s")
+    cut = met.where("not whole").withColumn("_r", F.expr(f"_c div {run}"))
+    tasks = stored(cut.select("_b", "_r").distinct().withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), "tasks")
+    parts = max(sites.sparkSession.sparkContext.defaultParallelism, tasks.count())
+    group = ["_b", "_r", "_s"]
+    circles = at.join(F.broadcast(tasks), "_b").select(*group, "site", "sy", "sx").repartition(parts, *group)
+    places = cells.join(F.broadcast(cut.select("_b", "_c", "_r")), "_c").select("_b", "_r", salt, *keys, "gy", "gx", *[f"m_{c}" for c in ("n", "v", "vv", "v0", "v1")]).repartition(parts, *group)
+    shape = StructType([found.schema[c] for c in ("site", *keys)] + [StructField(c, LongType() if c == "m_n" else DoubleType()) for c in MOMENTS])
+
+    def run_group(at: pa.Table, cells: pa.Table) -> pa.Table:
+        of, own = _matrix(at, ["sy", "sx"]), _matrix(cells, ["gy", "gx", "m_n", "m_v", "m_vv", "m_v0", "m_v1"])
+        code = cells.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys and len(own) else np.zeros(len(own), int)
+        order = np.argsort(code, kind="stable")
+        out = []
+        for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(own) else []:
+            there, moments = circle_moments(of, own[rows], radius)
+            key = [cells.column(k).take(pa.array(np.full(len(there), rows[0]))) for k in keys]
+            sums = [pa.array(m.astype(np.int64) if c == "m_n" else m, mask=None if c == "m_n" else moments[:, 0] == 0) for c, m in zip(MOMENTS, moments.T)]
+            out.append(pa.Table.from_arrays([at.column("site").take(pa.array(there)), *key, *sums], ["site", *keys, *MOMENTS]))
+        none = pa.Table.from_arrays([at.column("site").slice(0, 0), *[cells.column(k).slice(0, 0) for k in keys], *[pa.array([], pa.int64() if c == "m_n" else pa.float64()) for c in MOMENTS]], ["site", *keys, *MOMENTS])
+        return pa.concat_tables(out) if out else none
+
+    parted = circles.groupBy(*group).cogroup(places.groupBy(*group)).applyInArrow(run_group, shape)
+    m = merged_moments(found.unionByName(parted), ["site", *keys])
     slope = lambda c: F.when(F.col(f"m_{c}0") < F.col(f"m_{c}1"), F.try_divide(F.col(f"m_v{c}"), F.col(f"m_{c}{c}")))
     spread = F.when(F.col("m_n") > 0, F.sqrt(F.try_divide(F.col("m_vv"), F.col("m_n"))))
     return m.select("site", *keys, F.col("m_v").alias("mean"), spread.alias("spread"), F.col("m_v0").alias("least"), F.col("m_v1").alias("greatest"), slope("y").alias("slope_y"), slope("x").alias("slope_x"))
 
 
+def _matrix(table: pa.Table, cols: Sequence[str]) -> np.ndarray:
+    return np.column_stack([table.column(c).to_numpy().astype(float) for c in cols])
+
+
 def wind_physics(df: DataFrame, u: str, v: str, temp: str | None = None, pressure: str | None = None, z_from: float = 10.0, z_to: float = 100.0, alpha: float = 0.143) -> DataFrame:
     """Speed, direction as sine and cosine, cubed and height-adjusted speed, and density-weighted power where temperature and pressure are given."""
     u_, v_ = F.col(u), F.col(v)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace import fixtures as fx
 from millrace.operators import blend as B
 from millrace.operators import demand as D
+from millrace.operators import weather as W
 from millrace.plans import queries as Q
 from millrace.sources import tables as A
 
@@ -76,3 +77,35 @@ def test_submission_is_joined_once_for_its_sort(spark):
     keys = spark.createDataFrame([(2,), (1,), (3,)], "k int")
     filled = A.make_submission(keys, spark.createDataFrame([(1, 5.0), (3, None)], "k int, pred double"), ["k"], -1.0)
     assert list(map(tuple, filled.collect())) == [(1, 5.0), (2, -1.0), (3, -1.0)] and "Join" not in plan(filled)
+
+
+def test_circles_are_summed_where_their_cells_are(spark):
+    rng = np.random.default_rng(11)
+    cells, sites = rng.integers(0, 200, (2500, 2)) / 10.0, rng.integers(0, 200, (150, 2)) / 10.0
+    values = [(i, k, None if rng.random() < 0.2 else float(rng.normal())) for i in range(len(cells)) for k in ("a", "b", None)[: i % 4]]
+    values[40] = (values[40][0], values[40][1], float("nan"))
+    grid = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(cells)], "cell int, gy double, gx double")
+    at = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(sites)], "site int, sy double, sx double")
+    field = spark.createDataFrame(values, "cell int, k string, u double")
+    for radius, of in ((6.0, {"leaf": 4, "block_sites": 40, "group_points": 9}), (0.1, {})):
+        stats = W.field_stats(at, grid, field, radius, "u", ["k"], **of)
+        got = {(r.site, r.k): r for r in stats.collect()}
+        assert "CoGroup" in plan(stats)
+        near = np.sqrt(((sites[:, None] - cells[None]) ** 2).sum(2)) <= radius
+        want = {}
+        for c, k, v in values:
+            for s in np.flatnonzero(near[:, c]):
+                want.setdefault((int(s), k), []).append((v, *cells[c]))
+        assert set(got) == set(want)
+        for key, rows in want.items():
+            v, y, x = np.array([r for r in rows if r[0] is not None] or np.empty((0, 3))).T
+            r = got[key]
+            if not len(v):
+                assert r.mean is None and r.spread is None and r.least is None and r.slope_y is None
+            elif np.isnan(v).any():
+                assert np.isnan(r.mean) and np.isnan(r.greatest)
+            else:
+                assert abs(r.mean - v.mean()) < 1e-9 and abs(r.spread - v.std()) < 1e-9 and (r.least, r.greatest) == (v.min(), v.max())
+                for slope, c in ((r.slope_y, y), (r.slope_x, x)):
+                    assert (slope is None) == (c.min() == c.max())
+                    assert slope is None or abs(slope - ((c - c.mean()) * (v - v.mean())).sum() / ((c - c.mean()) ** 2).sum()) < 1e-7
