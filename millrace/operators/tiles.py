@@ -26,6 +26,8 @@ from .ranges import positions
 
 #: Children of levels with at most this many tiles are joined by broadcast (a tile is some 50 bytes); larger ones by shuffle.
 BROADCAST_TILES = 1 << 16
+#: Sites of one partition on the way down to their nearest points, about: each meets some hundred tiles and points at once.
+PART_SITES = 1 << 10
 #: Bits per axis of the Z-order.
 Z_BITS = 24
 
@@ -109,6 +111,8 @@ def _at_the_top(sites: DataFrame, tree: TileTree, site: str, y: str, x: str) ->
     """
     at = sites.select(F.col(site).alias("_site"), F.col(y).cast("double").alias("_sy"), F.col(x).cast("double").alias("_sx")).distinct()
     at = at.where((F.abs("_sy") < float("inf")) & (F.abs("_sx") < float("inf")))
+    # partitions by number: by their bytes a few would do, before each site meets its tiles
+    at = at.repartition(max(1, -(-sites.count() // PART_SITES)), "_site")
     top = max(0, len(tree.levels) - 2)
     boxes = tree.levels[top].select("tile", "n", "y0", "y1", "x0", "x1").collect()  # at most ``fan`` rows
     none = F.array().cast("array<struct<tile:bigint,n:bigint,y0:double,y1:double,x0:double,x1:double>>")

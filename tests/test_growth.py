@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace import fixtures as fx
 from millrace.operators import blend as B
 from millrace.operators import demand as D
+from millrace.operators import tiles as S
 from millrace.operators import weather as W
 from millrace.plans import queries as Q
 from millrace.sources import tables as A
@@ -109,3 +110,11 @@ def test_circles_are_summed_where_their_cells_are(spark):
                 for slope, c in ((r.slope_y, y), (r.slope_x, x)):
                     assert (slope is None) == (c.min() == c.max())
                     assert slope is None or abs(slope - ((c - c.mean()) * (v - v.mean())).sum() / ((c - c.mean()) ** 2).sum()) < 1e-7
+
+
+def test_sites_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_SITES", 10)
+    place = lambda n, name, y, x: spark.range(n).select(F.col("id").alias(name), (F.col("id") * 37 % 101 / 10.0).alias(y), (F.col("id") * 53 % 103 / 10.0).alias(x))
+    w = W.cell_weights(place(400, "site", "sy", "sx"), place(300, "cell", "gy", "gx"), 3, 2.0)
+    sizes = [r["n"] for r in w.select("site", F.spark_partition_id().alias("p")).distinct().groupBy("p").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 400 and max(sizes) < 40
