@@ -22,10 +22,11 @@ def weighted_blend(long: DataFrame, key: Sequence[str], weights: DataFrame, reno
     """Weighted sum of each key's predictions by (model, w); with ``renorm`` over the weights of the models present.
 
     A key none of whose models has both a weight and a prediction stays, with a null blend of 0 models.
+    The weights, a few rows, are broadcast: to be joined by model, all long rows would go to one task a model.
     """
     has = F.col("pred").isNotNull() & F.col("w").isNotNull()
     total, present = F.sum(F.when(has, F.col("w") * F.col("pred"))), F.sum(F.when(has, F.col("w")))
-    return long.join(weights.select("model", "w"), "model", "left").groupBy(*key).agg((F.try_divide(total, present) if renorm else total).alias("blend"), F.count(F.when(has, 1)).alias("n_models"))
+    return long.join(F.broadcast(weights.select("model", "w")), "model", "left").groupBy(*key).agg((F.try_divide(total, present) if renorm else total).alias("blend"), F.count(F.when(has, 1)).alias("n_models"))
 
 
 def blend_columns(wide: DataFrame, models: Sequence[str], weights: DataFrame, renorm: bool = True) -> DataFrame:

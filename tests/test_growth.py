@@ -118,3 +118,8 @@ def test_sites_of_a_task_are_bounded(spark, monkeypatch):
     w = W.cell_weights(place(400, "site", "sy", "sx"), place(300, "cell", "gy", "gx"), 3, 2.0)
     sizes = [r["n"] for r in w.select("site", F.spark_partition_id().alias("p")).distinct().groupBy("p").agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 400 and max(sizes) < 40
+
+
+def test_weights_meet_the_predictions_where_they_lie(spark, sf_dir):
+    n = plan(fx.demand(spark, sf_dir)).split("== Physical Plan ==")[1].count("Exchange")
+    assert plan(Q.weighted_blend(spark, sf_dir)).split("== Physical Plan ==")[1].replace("BroadcastExchange", "").count("Exchange") == n
