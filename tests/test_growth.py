@@ -123,3 +123,7 @@ def test_sites_of_a_task_are_bounded(spark, monkeypatch):
 def test_weights_meet_the_predictions_where_they_lie(spark, sf_dir):
     n = plan(fx.demand(spark, sf_dir)).split("== Physical Plan ==")[1].count("Exchange")
     assert plan(Q.weighted_blend(spark, sf_dir)).split("== Physical Plan ==")[1].replace("BroadcastExchange", "").count("Exchange") == n
+
+
+def test_submissions_of_a_diff_are_made_once(spark, sf_dir):
+    assert "Window" not in plan(Q.diff_submissions(spark, sf_dir))
