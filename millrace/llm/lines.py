@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_common, materialize
+from .common import join_common, materialize, release
 from .components import connected_components
 
 SHINGLE, BANDS, PER_BAND = 5, 20, 5
@@ -23,6 +23,9 @@ SEEN_LINES = 1_000_000
 BROADCAST_ROWS = 2_000_000
 #: MinHash values of which a line's sketch holds four bits each, 16 a long, and how many standard errors a pair's matches may fall short.
 SKETCHED, SHORT = 96, 5.5
+SKETCH = [f"s{i}" for i in range(SKETCHED // 16)]
+#: Bytes of a band key.
+BAND_BYTES = 6
 #: (line, band) pairs that a task packs at a time, and that one range of bands holds or so.
 PACKED_PAIRS, RANGE_PAIRS = 1 << 20, 1 << 19
 _ODD = np.random.default_rng(20).integers(1, 1 << 31, (2, BANDS * PER_BAND), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -69,14 +72,27 @@ def sketched(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(nibbles << shifts, axis=1).T.view(np.int64)
 
 
+def least_matches(threshold: float) -> float:
+    """How many of the SKETCHED values of two texts of similarity ``threshold`` agree in four bits, less SHORT standard errors."""
+    p = threshold + (1 - threshold) / 16
+    return SKETCHED * p - SHORT * (SKETCHED * p * (1 - p)) ** 0.5
+
+
+def matches_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many values the sketches a[i] and b[i] agree."""
+    x = (a ^ b).view(np.uint64)
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return SKETCHED - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+
 def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sketches (line, s0, s1, ...) agree nearly as often as those of texts of similarity ``threshold`` do.
 
     Four bits agree by chance one time in 16. A pair of just that similarity is lost if
     its matches fall SHORT standard errors below what is expected: one in ten million.
     """
-    p = threshold + (1 - threshold) / 16
-    least = SKETCHED * p - SHORT * (SKETCHED * p * (1 - p)) ** 0.5
+    least = least_matches(threshold)
     both, held = pairs, [c for c in sketches.columns if c != "line"]
     for side in "ab":
         both = both.join(sketches.select(F.col("line").alias(side), *[F.col(c).alias(side + c) for c in held]), side)
@@ -109,9 +125,9 @@ def line_rows(text: str) -> list[tuple[int, int, int, int]]:
 
 
 class Signer:
-    """Gathers the lines of documents into (doc, doc_key, line_no, line, bands, sketch) batches.
+    """Gathers the lines of documents into (doc, doc_key, line_no, line, bands, s0, s1, ...) batches.
 
-    bands and sketch are null for lines of fewer than SHINGLE code points, and for a line that this
+    bands (BAND_BYTES each) and the sketch s0, s1, ... are null for lines of fewer than SHINGLE code points, and for a line that this
     task has signed before, so a common line has at most about one set of bands a task.
     """
 
@@ -151,19 +167,20 @@ class Signer:
         self.sign()
         signed = np.array(self.signed, bool)
 
-        def lists(parts: list[np.ndarray], each: int) -> pa.ListArray:
-            offsets = np.concatenate([[0], np.cumsum(np.where(signed, each, 0))]).astype(np.int32)
-            values = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int64)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~signed))
-
-        bands, sketches = lists(self.bands, BANDS), lists(self.sketches, SKETCHED // 16)
-        cols = [pa.array(self.docs, self.doc_type), pa.array(self.keys, pa.int64()), pa.array(self.no, pa.int32()), pa.array(np.array(self.line, np.uint64).view(np.int64)), bands, sketches]
+        keys = np.concatenate(self.bands) if self.bands else np.zeros((0, BANDS), np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.where(signed, BANDS * BAND_BYTES, 0))]).astype(np.int32)
+        held = np.ascontiguousarray(keys.astype("<i8", order="C").ravel().view(np.uint8).reshape(-1, 8)[:, :BAND_BYTES])
+        bands = pa.Array.from_buffers(pa.binary(), len(signed), [pa.py_buffer(np.packbits(signed, bitorder="little")), pa.py_buffer(offsets), pa.py_buffer(held)])
+        sketches = np.zeros((len(signed), SKETCHED // 16), np.int64)
+        if self.sketches:
+            sketches[signed] = np.concatenate(self.sketches)
+        cols = [pa.array(self.docs, self.doc_type), pa.array(self.keys, pa.int64()), pa.array(self.no, pa.int32()), pa.array(np.array(self.line, np.uint64).view(np.int64)), bands, *[pa.array(c, mask=~signed) for c in sketches.T.copy()]]
         self.clear()
-        return pa.RecordBatch.from_arrays(cols, ["doc", "doc_key", "line_no", "line", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays(cols, ["doc", "doc_key", "line_no", "line", "bands", *SKETCH])
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, doc_key, line_no, line, bands, sketch) of all lines of ``docs`` (doc, doc_key, text); line is the XXH64 of its text."""
+    """(doc, doc_key, line_no, line, bands, s0, s1, ...) of all lines of ``docs`` (doc, doc_key, text); line is the XXH64 of its text."""
 
     def run(batches):
         signer = None
@@ -178,7 +195,7 @@ def signed_lines(docs: DataFrame) -> DataFrame:
                 yield signer.batch()
 
     rows = docs.select("doc", "doc_key", "text")
-    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *T._parse_datatype_string("doc_key long, line_no int, line long, bands array<long>, sketch array<long>").fields])
+    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *T._parse_datatype_string("doc_key long, line_no int, line long, bands binary, " + ", ".join(f"{c} long" for c in SKETCH)).fields])
     return rows.mapInArrow(run, schema)
 
 
@@ -269,12 +286,12 @@ def shared_bands(signed: DataFrame) -> DataFrame:
     """(line, band), once each, for the bands that two different lines or more have: all that can lead to a pair.
 
     Most lines share no band, so (line, band) pairs travel packed: a task sorts those of
-    PACKED_PAIRS or so by band and sends each range of bands as one row of two arrays; a
+    PACKED_PAIRS or so by range of bands and sends each range of bands as one row of two arrays; a
     range's task puts them together and keeps what has a neighbour. The number of
     ranges follows the number of lines, some RANGE_PAIRS pairs each.
     """
     rows = signed.where("bands is not null").select("line", "bands")
-    pairs = (rows.agg(F.sum(F.size("bands"))).first()[0]) or 0
+    pairs = signed.where("s0 is not null").count() * BANDS
     bits = min(20, max(6, (pairs // RANGE_PAIRS).bit_length()))
 
     def packed(batches):
@@ -282,18 +299,20 @@ def shared_bands(signed: DataFrame) -> DataFrame:
 
         def rows_of() -> pa.RecordBatch:
             band, line = np.concatenate(bands), np.concatenate(lines)
-            by = np.argsort(band, kind="stable")
-            band, line = band[by], line[by]
             part = band >> (48 - bits)
+            # radix sort while a range's number has 16 bits
+            by = np.argsort(part.astype(np.uint16 if bits <= 16 else np.int32), kind="stable")
+            band, line, part = band[by], line[by], part[by]
             first = np.flatnonzero(np.diff(part, prepend=-1))
             cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)]))
             blobs = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (band, line)]
             return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *blobs], ["part", "bands", "lines"])
 
         for batch in batches:
-            each = batch.column(1)
-            lines.append(np.repeat(batch.column(0).to_numpy(), each.value_lengths().to_numpy()))
-            bands.append(each.flatten().to_numpy())
+            raw = np.zeros((batch.num_rows * BANDS, 8), np.uint8)
+            raw[:, :BAND_BYTES] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BAND_BYTES)
+            lines.append(np.repeat(batch.column(0).to_numpy(), BANDS))
+            bands.append(raw.view("<i8").ravel())
             size += len(bands[-1])
             if size >= PACKED_PAIRS:
                 yield rows_of()
@@ -303,6 +322,12 @@ def shared_bands(signed: DataFrame) -> DataFrame:
 
     def shared(t: pa.Table) -> pa.Table:
         band, line = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t[c]]) for c in ("bands", "lines"))
+        by = np.argsort(band)
+        band, line = band[by], line[by]
+        # what is alone with its band goes before lines are put in order
+        new = np.diff(band, prepend=-1) != 0
+        some = ~new | ~np.append(new[1:], True)
+        band, line = band[some], line[some]
         by = np.lexsort((line, band))
         band, line = band[by], line[by]
         new = np.diff(band, prepend=-1) != 0
@@ -317,7 +342,7 @@ def shared_bands(signed: DataFrame) -> DataFrame:
 
 def line_components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """(node, root) over the lines that have a near copy; see dedup_lines."""
-    sketches = signed.where("sketch is not null").select("line", "sketch")
+    sketches = signed.where("s0 is not null").select("line", *SKETCH)
     return banded_components(shared_bands(signed), lambda few: texts_of(docs, few), threshold, sketches=sketches)
 
 
@@ -326,14 +351,18 @@ def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None
 
     ``banded`` has (line, band), repeats allowed, ``texts_for`` gives (line, body) of a
     table of lines. ``more_pairs`` are further candidates (a, b) to verify. With
-    ``sketches`` (line, sketch; repeats allowed) pairs that these show to be unlike are
+    ``sketches`` (line, s0, s1, ...; repeats allowed) pairs that these show to be unlike are
     not looked at further.
     """
+    spark = banded.sparkSession
     by = Window.partitionBy("band").orderBy("line")
-    chained = banded.withColumn("before", F.lag("line").over(by)).withColumn("least", F.first("line").over(by)).where("before <> line")
-    chained = materialize(chained, "buckets")
+    placed = banded.withColumn("before", F.lag("line").over(by)).withColumn("least", F.first("line").over(by)).withColumn("most", F.max("line").over(Window.partitionBy("band")))
+    # one row per bucket and line; the first of a bucket has none before
+    members = materialize(placed.where("most <> least and (before is null or before <> line)").drop("most"), "buckets")
+    chained = members.where("before is not null")
+    del banded
+    release(spark)
     tried = chained.select(F.col("least").alias("a"), F.col("line").alias("b")).union(chained.select("before", "line"))
-    members = chained.select("band", "line").union(chained.select("band", "least")).distinct()
     candidates = members.select("line")
     if more_pairs is not None:
         tried = tried.union(more_pairs.select("a", "b"))
@@ -342,37 +371,56 @@ def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None
     candidates = materialize(candidates.distinct(), "candidates")
     bodies = texts_for(candidates)
     if sketches is not None:
-        longs = [F.max(F.element_at("sketch", i + 1)).alias(f"s{i}") for i in range(SKETCHED // 16)]
-        sketches = materialize(sketches.join(candidates, "line", "left_semi").groupBy("line").agg(*longs), "sketches")
+        sketches = materialize(sketches.join(candidates, "line", "left_semi").groupBy("line").agg(*[F.max(c).alias(c) for c in SKETCH]), "sketches")
+    release(spark)
     near = lambda pairs: pairs if sketches is None else likely(pairs, sketches, threshold)
     links = materialize(verified(near(tried), bodies, threshold, parts), "links")
+    release(spark)
     roots = materialize(connected_components(links), "roots")
     # what is left: pairs of one bucket that no path joins yet and that were not tried
-    placed = members.join(roots, members.line == roots.node, "left").select("band", "line", F.coalesce("root", "line").alias("comp"))
-    sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("big"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"))
-    open_ = materialize(placed.join(sizes.where("comps > 1 and n > 3").select("band", "big", "n"), "band"), "open")
+    placed = members.join(roots, members.line == roots.node, "left").select("band", "line", F.coalesce("root", "line").alias("comp")).repartition("band")
+    bucket = Window.partitionBy("band")
+    sized = placed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("band", "comp"))).withColumns({"big": F.max(F.struct("size", "comp")).over(bucket)["comp"], "n": F.count(F.lit(1)).over(bucket), "lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)})
+    open_ = materialize(sized.where("lo <> hi and n > 3").select("band", "line", "comp", "big", "n"), "open")
+    release(spark)
     if open_.isEmpty():
         return roots
     few = open_.where(F.col("n") <= SMALL_BUCKET)
     cross = few.where("comp <> big").alias("x").join(few.alias("y"), F.expr("x.band = y.band and x.comp <> y.comp and (y.comp = y.big or x.line < y.line)"))
     rest = cross.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    blocks = block_links(open_.where(F.col("n") > SMALL_BUCKET), bodies, threshold, parts)
+    blocks = block_links(open_.where(F.col("n") > SMALL_BUCKET), bodies, threshold, parts, sketches)
     more = materialize(verified(near(rest), bodies, threshold, parts).union(blocks), "links")
-    return roots if more.isEmpty() else connected_components(links.union(more))
+    release(spark)
+    return roots if more.isEmpty() else joined_roots(roots, more)
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) with those joined that the further ``links`` (a, b) connect; only the components' roots are linked anew."""
+    ends = links
+    for side in "ab":
+        of = roots.select(F.col("node").alias(side), F.col("root").alias("_root"))
+        ends = ends.join(of, side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    over = materialize(connected_components(ends), "over")
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("_over")), "root", "left").select("node", F.coalesce("_over", "root").alias("root"))
+    return materialize(moved.union(over.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
-def block_links(members: DataFrame, bodies: DataFrame, threshold: float, parts=None) -> DataFrame:
+def block_links(members: DataFrame, bodies: DataFrame, threshold: float, parts=None, sketches: DataFrame | None = None) -> DataFrame:
     """Links between components within large buckets (band, line, comp, n), two blocks of lines at a time.
 
     A task holds two blocks of about BLOCK_LINES lines. A line's exact overlaps with all
-    others are sums over one array of shingle ids. Lines that share several buckets meet
-    in the one of the least band. Only links leave the task.
+    others are counted on marks over the shingle ids. Lines that share several buckets meet
+    in the one of the least band. Only links leave the task. With ``sketches`` the shingles
+    are made only of lines that some sketch says may be alike (see likely).
     """
+    held_longs = [] if sketches is None else SKETCH
     of_line = members.groupBy("line").agg(F.collect_set("band").alias("bands"))
     with_text = members.join(of_line, "line").join(bodies, "line").withColumn("blocks", F.ceil(F.col("n") / BLOCK_LINES).cast("int"))
+    if sketches is not None:
+        with_text = with_text.join(sketches, "line")
     own = F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    dealt = with_text.withColumn("own", own).withColumn("at", F.explode(meet)).select("band", "at.i", "at.j", "own", "line", "comp", "body", F.filter("bands", lambda x: x < F.col("band")).alias("before"))
+    dealt = with_text.withColumn("own", own).withColumn("at", F.explode(meet)).select("band", "at.i", "at.j", "own", "line", "comp", "body", F.filter("bands", lambda x: x < F.col("band")).alias("before"), *held_longs)
 
     def run(t: pa.Table) -> pa.Table:
         body, comp = t.column("body").to_pylist(), t.column("comp").to_numpy()
@@ -385,26 +433,34 @@ def block_links(members: DataFrame, bodies: DataFrame, threshold: float, parts=N
         pending = np.triu(group[:, None] != group, 1) & (held @ held.T == 0)
         if t.column("i")[0] != t.column("j")[0]:
             pending &= block[:, None] != block
+        if held_longs:
+            sketch = np.column_stack([t.column(c).to_numpy() for c in held_longs])
+            for lo in range(0, len(pending), 64):
+                x, y = np.nonzero(pending[lo : lo + 64])
+                pending[x + lo, y] = matches_of(sketch[x + lo], sketch[y]) >= least_matches(threshold)
         used = np.flatnonzero(pending.any(0) | pending.any(1))
         if not len(used):
             return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         pending, group, line = pending[np.ix_(used, used)], group[used], line[used]
+        packed = packed_shingles([body[i] for i in used.tolist()]) if parts is None else None
         names: dict = {}
-        own = [np.array([names.setdefault(g, len(names)) for g in (parts or shingles)(body[i])]) for i in used.tolist()]
+        own = packed or [np.array([names.setdefault(g, len(names)) for g in (parts or shingles)(body[i])]) for i in used.tolist()]
         ids, sizes = np.concatenate(own), np.array([len(x) for x in own])
-        starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int32)
+        if packed:
+            found, ids = np.unique(ids, return_inverse=True)
+        starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(found) if packed else len(names), bool)
+        own = np.split(ids, starts[1:])
         for x in np.flatnonzero(pending.any(1)).tolist():
-            other = pending[x] & (group != group[x]) & (np.minimum(sizes, sizes[x]) >= threshold * np.maximum(sizes, sizes[x]))
-            if not other.any():
-                continue
-            mark[own[x]] = 1
-            both = np.add.reduceat(mark[ids], starts)
-            mark[own[x]] = 0
-            for y in np.flatnonzero(other & (both >= threshold * (sizes + sizes[x] - both))).tolist():
+            other = np.flatnonzero(pending[x] & (group != group[x]) & (np.minimum(sizes, sizes[x]) >= threshold * np.maximum(sizes, sizes[x])))
+            mark[own[x]] = True
+            for y in other.tolist():
                 if group[x] != group[y]:
-                    group[group == group[y]] = group[x]
-                    a.append(min(line[x], line[y]))
-                    b.append(max(line[x], line[y]))
+                    both = np.count_nonzero(mark[own[y]])
+                    if both >= threshold * (sizes[x] + sizes[y] - both):
+                        group[group == group[y]] = group[x]
+                        a.append(min(line[x], line[y]))
+                        b.append(max(line[x], line[y]))
+            mark[own[x]] = False
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
@@ -429,6 +485,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("doc_key"), "text").where("text is not null")
     signed = materialize(signed_lines(keyed), "lines")
+    release(docs.sparkSession)
     roots = line_components(docs.select("text"), signed, threshold)
     # one row per distinct line: its first place and count, then the first place of its component
     place = F.struct("doc", "doc_key", "line_no")
@@ -437,10 +494,12 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     of_root = materialize(near.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members")), "firsts")
     joined = join_common(near, of_root, "root", "members").select("line", F.col("least").alias("first"), "n")
     repeated = materialize(joined.union(each.where("n > 1").join(roots.select(F.col("node").alias("line")), "line", "left_anti").select("line", "first", "n")), "repeated")
+    release(docs.sparkSession)
     places = join_common(signed.select("doc_key", "line_no", "line"), repeated, "line")
     gone = places.where("not (first.doc_key = doc_key and first.line_no = line_no)").groupBy("doc_key").agg(F.collect_set("line_no").alias("_gone"))
     kept = docs.drop("n_lines", "n_removed").withColumn("_key", F.xxhash64("doc_id", "text"))
-    joined = kept.join(gone, kept["_key"] == gone["doc_key"], "left").drop("_key", "doc_key")
+    # texts are not sorted: a partition's lists of lines to drop are held by key
+    joined = kept.join(gone.hint("shuffle_hash"), kept["_key"] == gone["doc_key"], "left").drop("_key", "doc_key")
     lines = F.split("text", "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(lines))

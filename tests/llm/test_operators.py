@@ -885,3 +885,26 @@ def test_pipeline_on_hostile_rows(spark, rows, empty, tmp_path):
     for _, of in corpus_pipeline.STAGES:
         stage = of(spark, stage, str(tmp_path))
     assert stage.count() == 0
+
+
+def test_large_buckets_are_held_against_sketches_first(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(150)) for _ in range(5)]
+    body = sorted({x[: (at := rng.randrange(150))] + rng.choice("xyz") + x[at + 1 :] for x in base for _ in range(12)})
+    sketch = np.concatenate([lines.band_keys(x, [(0, len(x))])[1] for x in body])
+    a, b = np.triu_indices(len(body), 1)
+    nibbles = (sketch[:, :, None] >> np.arange(0, 64, 4)) & 15
+    assert (lines.matches_of(sketch[a], sketch[b]) == (nibbles[a] == nibbles[b]).sum((1, 2))).all()
+    df = spark.createDataFrame([(i, 1, i, len(body)) for i in range(len(body))], "line long, band long, comp long, n long")
+    bodies = spark.createDataFrame(list(enumerate(body)), "line long, body string")
+    held = spark.createDataFrame([(i, *map(int, s)) for i, s in enumerate(sketch)], "line long, " + ", ".join(f"{c} long" for c in lines.SKETCH))
+    links = [sorted(map(tuple, lines.block_links(df, bodies, 0.8, sketches=s).collect())) for s in (None, held)]
+    assert links[0] == links[1] and len(links[0]) == len(body) - 5
+
+
+def test_later_links_join_components_by_their_roots(spark):
+    rng = random.Random(7)
+    first, more = ([(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (25, 15))
+    as_links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    groups = lambda df: sorted(sorted(x.members) for x in df.groupBy("root").agg(F.collect_list("node").alias("members")).collect())
+    assert groups(lines.joined_roots(connected_components(as_links(first)), as_links(more))) == groups(connected_components(as_links(first + more)))
