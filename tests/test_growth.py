@@ -127,3 +127,19 @@ def test_weights_meet_the_predictions_where_they_lie(spark, sf_dir):
 
 def test_submissions_of_a_diff_are_made_once(spark, sf_dir):
     assert "Window" not in plan(Q.diff_submissions(spark, sf_dir))
+
+
+def test_array_forecasts_are_those_of_the_windows(spark, sf_dir, tmp_path):
+    as_rows = lambda df: sorted(map(tuple, df.select("store", "day", "y", *fx.MODELS).collect()), key=str)
+    assert "Window" not in plan(fx.ungrouped_preds(spark, sf_dir))
+    rng = np.random.default_rng(12)
+    day = lambda i: None if i is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(int(i))
+    rows = [(int(k), day(d), float(q) / 3) for k, d, q in zip(rng.integers(0, 9, 120), rng.integers(0, 70, 120), rng.integers(-2, 9, 120))]
+    rows += [(None, day(3), 2.0), (20, None, 1.0), (21, day(5), None), (22, day(9), float("nan")), (22, day(12), 5.0), (23, day(9), float("inf")), (24, day(30), -0.0)]
+    for name, kept in (("odd", rows), ("week", [(1, day(i), 1.0) for i in (0, 3, 6)]), ("one", [(1, day(0), 1.0)]), ("none", [])):
+        spark.createDataFrame(kept, "l_suppkey long, l_shipdate timestamp_ntz, l_quantity double").write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        assert as_rows(fx.ungrouped_preds(spark, f"{tmp_path}/{name}")) == as_rows(fx.preds(spark, f"{tmp_path}/{name}")), name
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    assert as_rows(fx.ungrouped_preds(spark, f"{tmp_path}/odd")) == as_rows(fx.preds(spark, f"{tmp_path}/odd"))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert as_rows(fx.ungrouped_preds(spark, sf_dir)) == as_rows(fx.preds(spark, sf_dir))
