@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,21 +20,28 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ``root`` is some node of the component, the same for all its nodes.
     """
     links = materialize(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "links")
-    labels, turn = None, 0
+    steps = []
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
-        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b")).alias("m"))
-        self_h = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("b"))
+        turn = F.lit(len(steps))
+        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("h"), "b")).alias("m"))
+        self_h = F.struct(F.xxhash64("a", turn).alias("h"), F.col("a").alias("b"))
         step = materialize(near.select("a", F.least("m", self_h)["b"].alias("r")), "contract")
-        if labels is None:
-            labels = step.select(F.col("a").alias("node"), F.col("r").alias("root"))
-        else:
-            labels = labels.join(step, labels.root == step.a, "left").select("node", F.coalesce("r", "root").alias("root"))
-            labels = materialize(labels, "labels")
+        steps.append(step)
         to_a, to_b = step.select(F.col("a"), F.col("r").alias("ra")), step.select(F.col("a").alias("b"), F.col("r").alias("rb"))
         moved = links.join(to_a, "a").join(to_b, "b").where("ra <> rb")
-        links = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
-        turn += 1
-    if labels is None:
+        left = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        discard(links)
+        links = left
+    if not steps:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+    # from the last round back, each round's targets are taken on to where later rounds took them; rounds shrink
+    roots = steps[-1].select(F.col("a").alias("node"), F.col("r").alias("root"))
+    for nth, step in enumerate(steps[-2::-1]):
+        later = roots.select(F.col("node").alias("r"), "root")
+        roots = step.join(later, "r", "left").select(F.col("a").alias("node"), F.coalesce("root", "r").alias("root"))
+        if nth % 8 == 7:
+            roots = materialize(roots, "roots")
+    roots = materialize(roots, "roots")
+    discard(links, *steps)
+    return roots

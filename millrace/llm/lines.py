@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_common, materialize, release
+from .common import discard, join_common, materialize, release
 from .components import connected_components
 
 SHINGLE, BANDS, PER_BAND = 5, 20, 5
@@ -28,6 +28,8 @@ SKETCH = [f"s{i}" for i in range(SKETCHED // 16)]
 BAND_BYTES = 6
 #: (line, band) pairs that a task packs at a time, and that one range of bands holds or so.
 PACKED_PAIRS, RANGE_PAIRS = 1 << 20, 1 << 19
+#: Rows of small buckets that a task pairs at a time, or so.
+PAIRED_ROWS = 1 << 15
 _ODD = np.random.default_rng(20).integers(1, 1 << 31, (2, BANDS * PER_BAND), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FOLD = np.random.default_rng(21).integers(1, 1 << 62, PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -283,27 +285,30 @@ def texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def shared_bands(signed: DataFrame) -> DataFrame:
-    """(line, band), once each, for the bands that two different lines or more have: all that can lead to a pair.
-
-    Most lines share no band, so (line, band) pairs travel packed: a task sorts those of
-    PACKED_PAIRS or so by range of bands and sends each range of bands as one row of two arrays; a
-    range's task puts them together and keeps what has a neighbour. The number of
-    ranges follows the number of lines, some RANGE_PAIRS pairs each.
+    """Members (line, band, before, least, n), once each, of the bands that two different lines or more have: all that can lead to a pair.
+
+    ``before`` is the line before among those of the band (null for the first), ``least``
+    the first and ``n`` their number. Most lines share no band, so (line, band) pairs
+    travel packed: a task sorts those of PACKED_PAIRS or so by range of bands and sends
+    each range of bands as one row of two arrays, with 32 bits of a band beyond its
+    range; a range's task puts them together and keeps what has a neighbour. The number of
+    ranges follows the number of lines, some RANGE_PAIRS pairs each, so unlike bands that
+    agree in all bits sent stay below one in some thousands; such lines are compared in vain.
     """
     rows = signed.where("bands is not null").select("line", "bands")
     pairs = signed.where("s0 is not null").count() * BANDS
-    bits = min(20, max(6, (pairs // RANGE_PAIRS).bit_length()))
+    bits = min(8 * BAND_BYTES - 32, max(6, (pairs // RANGE_PAIRS).bit_length()))
 
     def packed(batches):
         lines, bands, size = [], [], 0
 
         def rows_of() -> pa.RecordBatch:
             band, line = np.concatenate(bands), np.concatenate(lines)
-            part = band >> (48 - bits)
-            # radix sort while a range's number has 16 bits
-            by = np.argsort(part.astype(np.uint16 if bits <= 16 else np.int32), kind="stable")
-            band, line, part = band[by], line[by], part[by]
-            first = np.flatnonzero(np.diff(part, prepend=-1))
+            # radix sort: a range's number has 16 bits
+            part = (band >> np.uint64(8 * BAND_BYTES - bits)).astype(np.uint16)
+            by = np.argsort(part, kind="stable")
+            band, line, part = (band >> np.uint64(8 * BAND_BYTES - 32 - bits)).astype("<u4")[by], line[by], part[by]
+            first = np.flatnonzero(np.diff(part.astype(np.int32), prepend=-1))
             cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)]))
             blobs = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (band, line)]
             return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *blobs], ["part", "bands", "lines"])
@@ -312,7 +317,7 @@ def shared_bands(signed: DataFrame) -> DataFrame:
             raw = np.zeros((batch.num_rows * BANDS, 8), np.uint8)
             raw[:, :BAND_BYTES] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BAND_BYTES)
             lines.append(np.repeat(batch.column(0).to_numpy(), BANDS))
-            bands.append(raw.view("<i8").ravel())
+            bands.append(raw.view("<u8").ravel())
             size += len(bands[-1])
             if size >= PACKED_PAIRS:
                 yield rows_of()
@@ -321,86 +326,127 @@ def shared_bands(signed: DataFrame) -> DataFrame:
             yield rows_of()
 
     def shared(t: pa.Table) -> pa.Table:
-        band, line = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t[c]]) for c in ("bands", "lines"))
+        band, line = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in t[c]]) for c, kind in (("bands", "<u4"), ("lines", "<i8")))
         by = np.argsort(band)
         band, line = band[by], line[by]
         # what is alone with its band goes before lines are put in order
-        new = np.diff(band, prepend=-1) != 0
+        new = np.append(True, band[1:] != band[:-1])
         some = ~new | ~np.append(new[1:], True)
         band, line = band[some], line[some]
         by = np.lexsort((line, band))
         band, line = band[by], line[by]
-        new = np.diff(band, prepend=-1) != 0
-        own = new | (np.diff(line, prepend=line[:1]) != 0)
-        band, line, new = band[own], line[own], new[own]
-        # a pair stays if its band goes on before or behind it
-        keep = ~new | ~np.append(new[1:], True)
-        return pa.table({"line": pa.array(line[keep]), "band": pa.array(band[keep])})
-
-    return rows.mapInArrow(packed, "part int, bands binary, lines binary").groupBy("part").applyInArrow(shared, "line long, band long")
+        own = np.append(True, (band[1:] != band[:-1]) | (line[1:] != line[:-1]))[: len(band)]
+        band, line = band[own], line[own]
+        first = np.flatnonzero(np.append(True, band[1:] != band[:-1])[: len(band)])
+        n = np.diff(first, append=len(band))
+        sizes, least = np.repeat(n, n), np.repeat(line[first], n)
+        starts = np.zeros(len(band), bool)
+        starts[first] = True
+        before = pa.array(np.concatenate([line[:1], line[:-1]]), mask=starts)
+        whole = band.astype(np.int64) | np.int64(t["part"][0].as_py() << 32)
+        found = pa.table([pa.array(line), pa.array(whole), before, pa.array(least), pa.array(sizes.astype(np.int32))], ["line", "band", "before", "least", "n"])
+        return found.filter(pa.array(sizes > 1))
+
+    return rows.mapInArrow(packed, "part int, bands binary, lines binary").groupBy("part").applyInArrow(shared, "line long, band long, before long, least long, n int")
+
+
+def members_of(banded: DataFrame) -> DataFrame:
+    """Members (line, band, before, least, n) of the bands of (line, band), repeats allowed, that two different lines or more have; see shared_bands."""
+    by = Window.partitionBy("band").orderBy("line")
+    placed = banded.withColumn("before", F.lag("line").over(by)).withColumn("least", F.first("line").over(by))
+    new = F.col("before").isNull() | (F.col("before") != F.col("line"))
+    return placed.withColumn("n", F.sum(new.cast("int")).over(Window.partitionBy("band")).cast("int")).where(new & (F.col("n") > 1)).select("line", "band", "before", "least", "n")
 
 
 def line_components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """(node, root) over the lines that have a near copy; see dedup_lines."""
     sketches = signed.where("s0 is not null").select("line", *SKETCH)
-    return banded_components(shared_bands(signed), lambda few: texts_of(docs, few), threshold, sketches=sketches)
+    return bucket_components(materialize(shared_bands(signed), "buckets"), lambda few: texts_of(docs, few), threshold, sketches=sketches)
 
 
-def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None, more_pairs: DataFrame | None = None, sketches: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the texts that have a near copy among those of one ``band``.
+def banded_components(banded: DataFrame, texts_for, threshold: float, parts=None, more_pairs: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the texts that have a near copy among those of one ``band``; ``banded`` has (line, band), repeats allowed."""
+    return bucket_components(materialize(members_of(banded), "buckets"), texts_for, threshold, parts, more_pairs)
 
-    ``banded`` has (line, band), repeats allowed, ``texts_for`` gives (line, body) of a
-    table of lines. ``more_pairs`` are further candidates (a, b) to verify. With
-    ``sketches`` (line, s0, s1, ...; repeats allowed) pairs that these show to be unlike are
-    not looked at further.
+
+def bucket_components(members: DataFrame, texts_for, threshold: float, parts=None, more_pairs: DataFrame | None = None, sketches: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the texts that have a near copy in one of their buckets.
+
+    ``members`` is a written table of shared_bands or members_of, ``texts_for`` gives
+    (line, body) of a table of lines. ``more_pairs`` are further candidates (a, b) to
+    verify. With ``sketches`` (line, s0, s1, ...; repeats allowed) pairs that these show to
+    be unlike are not looked at further.
     """
-    spark = banded.sparkSession
-    by = Window.partitionBy("band").orderBy("line")
-    placed = banded.withColumn("before", F.lag("line").over(by)).withColumn("least", F.first("line").over(by)).withColumn("most", F.max("line").over(Window.partitionBy("band")))
-    # one row per bucket and line; the first of a bucket has none before
-    members = materialize(placed.where("most <> least and (before is null or before <> line)").drop("most"), "buckets")
-    chained = members.where("before is not null")
-    del banded
+    spark = members.sparkSession
     release(spark)
-    tried = chained.select(F.col("least").alias("a"), F.col("line").alias("b")).union(chained.select("before", "line"))
-    candidates = members.select("line")
+    # all pairs of a bucket of two or three are tried at once
+    deep = members.where("n > 3").select("band", "line")
+    tried = members.where("before is not null").select(F.col("least").alias("a"), F.col("line").alias("b")).union(members.where("before <> least").select("before", "line"))
     if more_pairs is not None:
         tried = tried.union(more_pairs.select("a", "b"))
-        candidates = candidates.union(more_pairs.select("a")).union(more_pairs.select("b"))
-    tried = materialize(tried.distinct(), "pairs")
-    candidates = materialize(candidates.distinct(), "candidates")
-    bodies = texts_for(candidates)
+    tried = tried.distinct()
+    held = []
     if sketches is not None:
-        sketches = materialize(sketches.join(candidates, "line", "left_semi").groupBy("line").agg(*[F.max(c).alias(c) for c in SKETCH]), "sketches")
+        held = [c for c in sketches.columns if c != "line"]
+        wanted = materialize(members.select("line").distinct(), "candidates")
+        sketches = materialize(sketches.join(wanted, "line", "left_semi").groupBy("line").agg(*[F.max(c).alias(c) for c in held]), "sketches")
+        discard(wanted)
+        tried = likely(tried, sketches, threshold)
+    tried = materialize(tried, "pairs")
     release(spark)
-    near = lambda pairs: pairs if sketches is None else likely(pairs, sketches, threshold)
-    links = materialize(verified(near(tried), bodies, threshold, parts), "links")
+    candidates = materialize(deep.select("line").union(tried.select("a")).union(tried.select("b")).distinct(), "candidates")
+    bodies = texts_for(candidates)
+    links = materialize(verified(tried, bodies, threshold, parts), "links")
     release(spark)
-    roots = materialize(connected_components(links), "roots")
+    roots = connected_components(links)
     # what is left: pairs of one bucket that no path joins yet and that were not tried
-    placed = members.join(roots, members.line == roots.node, "left").select("band", "line", F.coalesce("root", "line").alias("comp")).repartition("band")
+    placed = deep.join(roots, deep.line == roots.node, "left").select("band", "line", F.coalesce("root", "line").alias("comp")).repartition("band")
     bucket = Window.partitionBy("band")
-    sized = placed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("band", "comp"))).withColumns({"big": F.max(F.struct("size", "comp")).over(bucket)["comp"], "n": F.count(F.lit(1)).over(bucket), "lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)})
-    open_ = materialize(sized.where("lo <> hi and n > 3").select("band", "line", "comp", "big", "n"), "open")
+    sized = placed.withColumns({"n": F.count(F.lit(1)).over(bucket), "lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)})
+    open_ = materialize(sized.where("lo <> hi").select("band", "line", "comp", "n"), "open")
+    discard(members, links)
     release(spark)
-    if open_.isEmpty():
-        return roots
-    few = open_.where(F.col("n") <= SMALL_BUCKET)
-    cross = few.where("comp <> big").alias("x").join(few.alias("y"), F.expr("x.band = y.band and x.comp <> y.comp and (y.comp = y.big or x.line < y.line)"))
-    rest = cross.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = bucket_pairs(open_.where(F.col("n") <= SMALL_BUCKET), threshold, sketches).distinct().join(tried, ["a", "b"], "left_anti")
     blocks = block_links(open_.where(F.col("n") > SMALL_BUCKET), bodies, threshold, parts, sketches)
-    more = materialize(verified(near(rest), bodies, threshold, parts).union(blocks), "links")
+    more = materialize(verified(rest, bodies, threshold, parts).union(blocks), "links")
+    discard(open_, tried, candidates, bodies, *[sketches] * bool(held))
     release(spark)
     return roots if more.isEmpty() else joined_roots(roots, more)
 
 
+def bucket_pairs(members: DataFrame, threshold: float, sketches: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of lines of different components in the small buckets ``members`` (band, line, comp, n), repeats among them; with ``sketches`` those that may be alike (see likely).
+
+    Buckets are dealt by band in parts of some PAIRED_ROWS rows, and a part is shifted against itself.
+    """
+    held = [] if sketches is None else [c for c in sketches.columns if c != "line"]
+    parts = max(256, members.count() // PAIRED_ROWS)
+    with_sketch = members if sketches is None else members.join(sketches, "line")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("band")
+        band, line, comp = (t[c].to_numpy() for c in ("band", "line", "comp"))
+        sketch = np.column_stack([t[c].to_numpy() for c in held]) if held else None
+        found = [np.zeros((0, 2), np.int64)]
+        for step in range(1, SMALL_BUCKET):
+            x = np.flatnonzero((band[step:] == band[:-step]) & (comp[step:] != comp[:-step]))
+            if sketch is not None:
+                x = x[matches_of(sketch[x], sketch[x + step]) >= least_matches(threshold)]
+            found.append(np.sort(np.stack([line[x], line[x + step]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(pairs[:, i]) for i in (0, 1)], ["a", "b"])
+
+    dealt = with_sketch.select(F.pmod(F.xxhash64("band"), F.lit(parts)).alias("part"), "band", "line", "comp", *held)
+    return dealt.groupBy("part").applyInArrow(run, "a long, b long")
+
+
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The components (node, root) with those joined that the further ``links`` (a, b) connect; only the components' roots are linked anew."""
     ends = links
     for side in "ab":
         of = roots.select(F.col("node").alias(side), F.col("root").alias("_root"))
         ends = ends.join(of, side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
-    over = materialize(connected_components(ends), "over")
+    over = connected_components(ends)
     moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("_over")), "root", "left").select("node", F.coalesce("_over", "root").alias("root"))
     return materialize(moved.union(over.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
@@ -414,30 +460,57 @@ def block_links(members: DataFrame, bodies: DataFrame, threshold: float, parts=N
     are made only of lines that some sketch says may be alike (see likely).
     """
     held_longs = [] if sketches is None else SKETCH
-    of_line = members.groupBy("line").agg(F.collect_set("band").alias("bands"))
-    with_text = members.join(of_line, "line").join(bodies, "line").withColumn("blocks", F.ceil(F.col("n") / BLOCK_LINES).cast("int"))
-    if sketches is not None:
-        with_text = with_text.join(sketches, "line")
+    least = least_matches(threshold)
+    # lines meet texts and sketches once each, not once a bucket
+    of_line = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK_LINES).cast("int")).groupBy("line").agg(F.collect_set(F.struct("band", "comp", "blocks")).alias("at"))
     own = F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    dealt = with_text.withColumn("own", own).withColumn("at", F.explode(meet)).select("band", "at.i", "at.j", "own", "line", "comp", "body", F.filter("bands", lambda x: x < F.col("band")).alias("before"), *held_longs)
 
-    def run(t: pa.Table) -> pa.Table:
-        body, comp = t.column("body").to_pylist(), t.column("comp").to_numpy()
-        line, block = t.column("line").to_numpy(), t.column("own").to_numpy()
+    def dealt(lines: DataFrame, *more: str) -> DataFrame:
+        each = lines.withColumn("bands", F.col("at.band")).withColumn("_at", F.explode("at")).select("line", "bands", "_at.*", *more)
+        met = each.withColumn("own", own).withColumn("_at", F.explode(meet))
+        return met.select("band", "_at.i", "_at.j", "own", "line", "comp", F.filter("bands", lambda x: x < F.col("band")).alias("before"), *more)
+
+    def unlinked(t: pa.Table) -> np.ndarray:
+        """Which pairs (x, y), x < y, of a group's rows are to be looked at."""
+        comp, block = t.column("comp").to_numpy(), t.column("own").to_numpy()
         earlier = t.column("before").combine_chunks()
         bands, at = np.unique(earlier.flatten().to_numpy(), return_inverse=True)
-        held = np.zeros((len(body), len(bands)), np.float32)
-        held[np.repeat(np.arange(len(body)), earlier.value_lengths().to_numpy()), at] = 1
-        group, a, b = comp.copy(), [], []
-        pending = np.triu(group[:, None] != group, 1) & (held @ held.T == 0)
+        held = np.zeros((len(comp), len(bands)), np.float32)
+        held[np.repeat(np.arange(len(comp)), earlier.value_lengths().to_numpy()), at] = 1
+        pending = np.triu(comp[:, None] != comp, 1)
         if t.column("i")[0] != t.column("j")[0]:
             pending &= block[:, None] != block
-        if held_longs:
-            sketch = np.column_stack([t.column(c).to_numpy() for c in held_longs])
-            for lo in range(0, len(pending), 64):
-                x, y = np.nonzero(pending[lo : lo + 64])
-                pending[x + lo, y] = matches_of(sketch[x + lo], sketch[y]) >= least_matches(threshold)
+        if not held_longs:
+            return pending & (held @ held.T == 0)
+        sketch, held = np.column_stack([t.column(c).to_numpy() for c in held_longs]), np.packbits(held > 0, axis=1)
+        for lo in range(0, len(pending), 64):
+            x, y = np.nonzero(pending[lo : lo + 64])
+            pending[x + lo, y] = matches_of(sketch[x + lo], sketch[y]) >= least
+            # only for the few pairs left it matters in which bucket they meet
+            x, y = np.nonzero(pending[lo : lo + 64])
+            for at in range(0, len(x), 4096):
+                u, v = x[at : at + 4096] + lo, y[at : at + 4096]
+                pending[u, v] = ~(held[u] & held[v]).any(1)
+        return pending
+
+    def used(t: pa.Table) -> pa.Table:
+        pending = unlinked(t)
+        return t.filter(pa.array(pending.any(0) | pending.any(1)))
+
+    if sketches is None:
+        given = dealt(of_line.join(bodies, "line"), "body")
+    else:
+        # only lines that some sketch says may be alike meet their texts
+        some = dealt(of_line.join(sketches, "line"), *held_longs)
+        some = some.groupBy("band", "i", "j").applyInArrow(used, some.schema)
+        kept = [c for c in some.columns if c not in ("line", *held_longs)]
+        lists = some.groupBy("line").agg(F.collect_list(F.struct(*kept)).alias("at"), *[F.first(c).alias(c) for c in held_longs])
+        given = lists.join(bodies, "line").withColumn("at", F.explode("at")).select("at.*", "line", "body", *held_longs)
+
+    def run(t: pa.Table) -> pa.Table:
+        body, line, group, a, b = t.column("body").to_pylist(), t.column("line").to_numpy(), t.column("comp").to_numpy().copy(), [], []
+        pending = unlinked(t)
         used = np.flatnonzero(pending.any(0) | pending.any(1))
         if not len(used):
             return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -463,7 +536,7 @@ def block_links(members: DataFrame, bodies: DataFrame, threshold: float, parts=N
             mark[own[x]] = False
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
+    return given.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -484,9 +557,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     n_lines and n_removed are replaced.
     """
     keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("doc_key"), "text").where("text is not null")
-    signed = materialize(signed_lines(keyed), "lines")
-    release(docs.sparkSession)
-    roots = line_components(docs.select("text"), signed, threshold)
+    whole = materialize(signed_lines(keyed), "lines")
+    roots = line_components(docs.select("text"), whole, threshold)
+    # bands and sketches, most of the table, are no longer needed
+    signed = materialize(whole.select("doc", "doc_key", "line_no", "line"), "places")
+    discard(whole)
     # one row per distinct line: its first place and count, then the first place of its component
     place = F.struct("doc", "doc_key", "line_no")
     each = materialize(signed.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
@@ -494,6 +569,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     of_root = materialize(near.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members")), "firsts")
     joined = join_common(near, of_root, "root", "members").select("line", F.col("least").alias("first"), "n")
     repeated = materialize(joined.union(each.where("n > 1").join(roots.select(F.col("node").alias("line")), "line", "left_anti").select("line", "first", "n")), "repeated")
+    discard(each, near, of_root)
     release(docs.sparkSession)
     places = join_common(signed.select("doc_key", "line_no", "line"), repeated, "line")
     gone = places.where("not (first.doc_key = doc_key and first.line_no = line_no)").groupBy("doc_key").agg(F.collect_set("line_no").alias("_gone"))

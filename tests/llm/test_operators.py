@@ -908,3 +908,43 @@ def test_later_links_join_components_by_their_roots(spark):
     as_links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
     groups = lambda df: sorted(sorted(x.members) for x in df.groupBy("root").agg(F.collect_list("node").alias("members")).collect())
     assert groups(lines.joined_roots(connected_components(as_links(first)), as_links(more))) == groups(connected_components(as_links(first + more)))
+
+
+def test_open_buckets_meet_each_text_once(spark, monkeypatch):
+    """Joins with texts and sketches grow with the lines, not with their places in buckets; small buckets are paired in tasks."""
+    rng = random.Random(31)
+    n, text = 60, words(rng, 20)
+    body = [text[:k] + "#" + text[k + 1 :] for k in range(0, n // 2)] + [words(rng, 20) for _ in range(n // 2)]
+    sketch = np.concatenate([lines.band_keys(x, [(0, len(x))])[1] for x in body])
+    held = spark.createDataFrame([(i, *map(int, s)) for i, s in enumerate(sketch)], "line long, " + ", ".join(f"{c} long" for c in lines.SKETCH))
+    bodies = spark.createDataFrame(list(enumerate(body)), "line long, body string")
+    deep = spark.createDataFrame([(b, i, i, n) for b in range(20) for i in range(n)], "band long, line long, comp long, n int")
+    found = connected_components(lines.block_links(deep, bodies, 0.8, sketches=held))
+    assert [sorted(r.node for r in found.collect())] == [list(range(n // 2))]
+    plan = lines.block_links(deep, bodies, 0.8, sketches=held)._jdf.queryExecution().optimizedPlan().toString()
+    below = [plan[m.start() :] for m in __import__("re").finditer(r"Join ", plan)]
+    assert below and not any("Generate explode(at" in x for x in below[-1:])  # the sketches are joined before a line is dealt to its buckets
+    few = spark.createDataFrame([(b, i, i % 7, 20) for b in range(3) for i in range(20)], "band long, line long, comp long, n int")
+    pairs = {tuple(r) for r in lines.bucket_pairs(few, 0.8).collect()}
+    assert pairs == {(i, j) for i in range(20) for j in range(i + 1, 20) if i % 7 != j % 7}
+
+
+def test_members_of_shared_bands_are_those_of_windows(spark):
+    rng = random.Random(32)
+    texts = [words(rng, 12) for _ in range(40)]
+    docs = spark.createDataFrame([(i, i, "\n".join(t[:k] + "#" + t[k + 1 :] for k in range(4))) for i, t in enumerate(texts)], "doc long, doc_key long, text string").repartition(3)
+    signed = lines.signed_lines(docs).cache()
+    got = lines.shared_bands(signed).collect()
+    banded = spark.createDataFrame([(r.line, int.from_bytes(bytes(r.bands[6 * k : 6 * k + 6]), "little")) for r in signed.where("bands is not null").collect() for k in range(lines.BANDS)], "line long, band long")
+    want = lines.members_of(banded).collect()
+    keys = lambda rows: sorted((r.least, r.line, r.before is None, r.before or 0, r.n) for r in rows)
+    assert got and keys(got) == keys(want)
+
+
+def test_written_tables_that_are_discarded_leave_no_files(spark):
+    from millrace.llm.common import discard, materialize
+
+    table = materialize(spark.range(10), "gone")
+    path = table.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    discard(table)
+    assert not __import__("os").path.exists("/" + path.lstrip("/"))
