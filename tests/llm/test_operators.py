@@ -948,3 +948,18 @@ def test_written_tables_that_are_discarded_leave_no_files(spark):
     path = table.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
     discard(table)
     assert not __import__("os").path.exists("/" + path.lstrip("/"))
+
+
+def test_chains_are_deleted_once_passages_are_written(spark, empty):
+    """The chains' other halves are written, so that the texts exchanged for them are gone before the next exchange of texts."""
+    import pathlib
+
+    from millrace.llm.common import shared_dir
+
+    folder = pathlib.Path("/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
+    held = lambda: {p.name for k in ("chains", "halves", "dense") for p in folder.glob(f"millrace-{k}-*")}
+    before, passage = held(), words(random.Random(33), 60)
+    docs = spark.createDataFrame([(i, f"{i} {passage}") for i in range(3)], "doc_id long, text string")
+    found = substrings.repeated_passages(docs)
+    assert held() == before and sorted(r.doc_id for r in found.collect()) == [1, 2]
+    assert substrings.repeated_passages(empty).count() == 0
