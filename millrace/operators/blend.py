@@ -194,27 +194,46 @@ def _rows_of(batch: pa.RecordBatch | pa.Table, n: int) -> np.ndarray:
     return np.stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), float) for i in range(n)])
 
 
+#: Bytes of one packed block. Spark reads thousands of blocks at a time (a batch of Parquet rows, of Arrow rows), whatever they hold.
+BLOCK_BYTES = 1 << 12
+
+
 def _packed(df: DataFrame) -> DataFrame:
-    """df, all of doubles, as blocks of whole columns: (n, x), a block an Arrow batch; read many times, blocks cost far less than rows."""
+    """df, all of doubles, as blocks of whole columns: (n, x), BLOCK_BYTES or one row each; read many times, blocks cost far less than rows."""
+    most = max(1, BLOCK_BYTES // (8 * len(df.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                x = _rows_of(batch.slice(at, 8192), batch.num_columns)
-                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]]), pa.array([x.tobytes()], pa.binary())], ["n", "x"])
+            x = _rows_of(batch, batch.num_columns)
+            parts = [x[:, at : at + most] for at in range(0, x.shape[1], most)]
+            yield pa.RecordBatch.from_arrays([pa.array([p.shape[1] for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["n", "x"])
 
     return df.mapInArrow(run, "n long, x binary")
 
 
+def _blocks(batch: pa.RecordBatch, rows: int = 8192) -> Iterator[np.ndarray]:
+    """The columns of the packed blocks of a batch, as rows of a table; some ``rows`` at a time."""
+    n, x = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+    at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(n)) + 1, [len(n)]]).tolist() if len(n) else [0]
+    for lo, hi in zip(edges, edges[1:]):
+        step = max(1, rows // int(n[lo]))
+        for first in range(lo, hi, step):
+            last = min(hi, first + step)
+            cells = np.frombuffer(x.buffers()[2], count=int(at[last] - at[first]) // 8, offset=int(at[first]))
+            cells = cells.reshape(last - first, -1, n[lo])
+            yield cells.transpose(1, 0, 2).reshape(cells.shape[1], -1)
+
+
 def _summed(packed: DataFrame, of: Callable[[np.ndarray], np.ndarray], size: int) -> tuple[np.ndarray, int]:
     """The sum over all blocks of ``size`` numbers of each, and the rows: sums per task, then one aggregate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size), 0
         for batch in batches:
-            for rows, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total += of(np.frombuffer(x.as_buffer()).reshape(-1, rows))
-                n += rows
+            for table in _blocks(batch):
+                total += of(table)
+                n += table.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total), pa.array(np.full(size, n))], ["i", "total", "n"])
 
     out, n = np.zeros(size), 0

@@ -64,6 +64,19 @@ def test_correlations_of_nineteen_models(spark):
     assert B.prediction_correlation(df.limit(0), names[:2]).collect()[0]["corr"] is None
 
 
+def test_packed_blocks_are_small(spark):
+    """Spark reads thousands of blocks at once, so a block holds few rows however many a task has."""
+    rng = np.random.default_rng(8)
+    for rows, columns in ((30_000, 3), (500, 700)):
+        x = rng.normal(size=(rows, columns))
+        df = spark.createDataFrame(x).coalesce(1)
+        packed = B._packed(df)
+        most, n = packed.agg(F.max(F.octet_length("x")), F.sum("n")).first()
+        assert most <= max(4096, 8 * columns) and n == rows
+        total, n = B._summed(packed, lambda t: t[:3].sum(1), 3)
+        assert n == rows and total == pytest.approx(x[:, :3].sum(0))
+
+
 @pytest.mark.parametrize("loss", ["absolute", "squared"])
 def test_weights_of_a_group_no_task_holds(spark, loss):
     rng = np.random.default_rng(3)
