@@ -722,6 +722,55 @@ def test_passages_of_split_origin_are_found(spark):
         assert (7, 3) in got and any(d == 8 for d, _ in got)
 
 
+def test_changed_passages_of_split_origin_are_found(spark, monkeypatch):
+    """Texts before and after the source hold parts below 50 words of a passage, so it is neither first nor last with any seed of the changed one."""
+    rng = random.Random(44)
+    pad = lambda x: " ".join([words(rng, 30), *x, words(rng, 30)])
+    bodies, want = [], set()
+    for _ in range(12):
+        p = words(rng, 80).split()
+        q = list(p)
+        for at in rng.sample(range(1, 79), 10):
+            q[at] = f"edit{rng.randrange(10**9)}"
+        parts = [p[:35], p[22:58], p[45:80]]
+        n = len(bodies)
+        bodies += [*map(pad, parts), pad(p), *map(pad, parts), pad(q)]
+        want.add((n + 7, n + 3))
+    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    got = [tuple(r) for r in substrings.repeated_passages(df).collect()]
+    assert {(r[0], r[3]) for r in got} == want and all(r[2] >= 75 for r in got)
+    monkeypatch.setattr(substrings, "PAIRED_PLACES", 2)
+    assert sorted(map(tuple, substrings.repeated_passages(df).collect())) == sorted(got)
+
+
+def test_side_bits_lose_no_pair():
+    """Stretches of 50 words at 0.8 pass beside each of their unchanged seeds, whichever words were replaced, left out or put in; other texts don't."""
+    rng = np.random.default_rng(9)
+    sizes, slack, far = substrings.sides(50, 0.8)
+    word = lambda n: rng.integers(0, 40, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    tried = passed = 0
+    for _ in range(300):
+        a = word(50)
+        kept = np.sort(rng.permutation(50)[: 50 - rng.integers(0, 11)])
+        places, b = np.full(50, -1), []
+        for i in range(50):
+            if i in kept:
+                places[i] = len(b)
+                b.append(a[i])
+            elif rng.random() < 0.6:
+                b.append(np.uint64(rng.integers(1 << 40, 1 << 60)))
+        lead = [word(30), word(20)]
+        x, y = np.concatenate([lead[0], a, word(40)]), np.concatenate([lead[1], np.array(b), word(40)])
+        for i in range(47):
+            if (places[i : i + 4] >= 0).all() and places[i + 3] - places[i] == 3:
+                near, wide = substrings.side_bits(x, np.array([30 + i]), sizes, far)[0], substrings.side_bits(y, np.array([20 + places[i]]), sizes, far)[1]
+                tried += 1
+                assert len(substrings.alike_beside(near, ~wide.T, slack)) == 1
+                z = rng.integers(1 << 40, 1 << 60, 200).astype(np.uint64)
+                passed += len(substrings.alike_beside(near, ~substrings.side_bits(z, np.array([100]), sizes, far)[1].T, slack))
+    assert tried > 2000 and passed < 0.01 * tried
+
+
 def test_places_before_are_the_same_in_ranges(spark, monkeypatch):
     rng = random.Random(12)
     places = sorted({(rng.choice([None, *range(40)]), rng.randrange(90), rng.randrange(9), rng.randrange(4)) for _ in range(900)}, key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
